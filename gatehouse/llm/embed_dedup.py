@@ -162,7 +162,9 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     gap = F.aggregate(F.zip_with(F.zip_with("l.lo", "r.hi", lambda x, y: x - y), F.zip_with("r.lo", "l.hi", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y)), F.lit(0.0), lambda s, g: s + g * g)
     meets = l.join(r, (F.col("l.column") == F.col("r.column")) & (F.col("l.interval") <= F.col("r.interval")) & (gap <= (edge + 1e-9) ** 2))
     pairs = materialise(meets.select(F.col("l.interval").alias("a"), F.col("r.interval").alias("b")).distinct())
-    sides = [sorted_.join(pairs.withColumn("interval", F.col(c)), "interval").select("a", "b", "vec_id", "copies", "x", "at") for c in ("a", "b")]
+    columns = ["a", "b", "vec_id", "copies", "x", "at"]
+    # toDF gives the columns of each side identities of their own.
+    sides = [sorted_.join(pairs.withColumn("interval", F.col(c)), "interval").select(columns).toDF(*columns) for c in ("a", "b")]
 
     def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         a = Interval(left, edge)
