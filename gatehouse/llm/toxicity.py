@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the labelled sample: rows of each label, and characters of a text that is learned from.
-ROWS, TEXT_CHARS = 3_000, 50_000
+ROWS, TEXT_CHARS = 1_500, 50_000
 #: Hashed n-gram vectors, their width, and the lengths of character n-grams.
 BUCKETS, WIDTH, NGRAMS = 1 << 16, 8, (3, 4, 5)
-EPOCHS, RATE, SEED = 12, 0.02, 7
+EPOCHS, STEPS, RATE, DECAY, SEED = 6, 100, 0.01, 1e-3, 7
+#: Spread of the outputs at the start: a word of a long text has a small share of the mean, which they must scale up.
+GAIN = 10.0
+#: Texts of the sample in which a word must occur to be learned from.
+LEAST_TEXTS = 3
 #: Words whose score a task remembers, at most; beyond, it starts anew.
 REMEMBERED = 200_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”„«»‘’–—"
@@ -44,19 +48,62 @@ class Softmax:
 
     def __init__(self) -> None:
         rng = np.random.default_rng(SEED)
-        self.vectors = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
-        self.output = rng.normal(0, 0.1, (WIDTH, 2)).astype(np.float32)
+        self.vectors = rng.normal(0, 0.01, (BUCKETS, WIDTH)).astype(np.float32)
+        self.output = rng.normal(0, GAIN, (WIDTH, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
         self._seen: dict[str, float] = {}
 
-    def fit(self, texts: list[str], labels: list[int]) -> Softmax:
-        """Full-length texts, small batches, Adam on vectors and outputs together; labels weigh the same."""
+    def fit(self, texts: list[str], labels: list[int], shares: tuple[float, float] | None = None) -> Softmax:
+        """Learn from whole texts; every fifth is kept back to prune and to calibrate.
+
+        Of the rest, the vectors and outputs are trained together (`_train`).
+        Then bucket numbers are soft-thresholded: the threshold is the one that
+        ranks the texts kept back best, as most buckets hold noise. Last, scale
+        and offset are fitted to those texts. shares: how common the labels are
+        outside the sample; by default as in the sample.
+        """
+        back = [i for i in range(len(texts)) if i % 5 == 0] if min(labels.count(0), labels.count(1)) >= 25 else [*range(len(texts))]
+        rest = sorted(set(range(len(texts))) - set(back)) or back
+        self._train([texts[i] for i in rest], [labels[i] for i in rest])
+        y = np.array([labels[i] for i in back], np.int64)
+        if len(set(y.tolist())) < 2:
+            return self
+        bags = [[word_buckets(w) for w in set(words(texts[i]))] for i in back]
+        flat = np.array([b for bag in bags for w in bag for b in w] or [0], np.int64)
+        scale = np.array([1 / (len(w) * len(bag)) for bag in bags for w in bag for _ in w] or [0.0])
+        owner = np.repeat(np.arange(len(bags)), [sum(map(len, bag)) for bag in bags]) if any(bags) else np.zeros(1, np.int64)
+        size, best = np.abs(self.numbers), None
+        for q in (0, 0.5, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995):
+            numbers = np.sign(self.numbers) * np.maximum(0, size - np.quantile(size, q) * (q > 0))
+            x = np.bincount(owner, weights=numbers[flat] * scale, minlength=len(bags))
+            ranks = np.argsort(np.argsort(x))
+            ranked = float(ranks[y == 1].mean() - ranks[y == 0].mean())
+            if best is None or ranked > best[0]:
+                best = ranked, numbers, x
+        _, self.numbers, x = best
+        target = np.array(shares or (np.mean(y == 0), np.mean(y == 1)))
+        weight = (target / np.array([np.mean(y == 0), np.mean(y == 1)]))[y]
+        spread = x.std() or 1.0
+        z = np.stack([(x - x.mean()) / spread, np.ones(len(x))], axis=1)
+        w = np.zeros(2)
+        for _ in range(50):  # Newton steps with a slight pull to zero
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(2), z.T @ (weight * (y - p)) - 0.1 * w * (1, 0))
+            w += np.clip(step, -2, 2)
+        self.numbers = self.numbers * (w[0] / spread)
+        self.offset = float(w[1] - w[0] * x.mean() / spread)
+        return self
+
+    def _train(self, texts: list[str], labels: list[int]) -> Softmax:
+        """Small batches, Adam on vectors and outputs together; labels weigh the same."""
+        bags = [sorted(set(words(t))) for t in texts]
+        spread = Counter(w for bag in bags for w in bag)
         vocabulary: dict[str, int] = {}
         docs = []
-        for t in texts:
-            counts = Counter(words(t))
-            total = sum(counts.values()) or 1
-            docs.append((np.array([vocabulary.setdefault(w, len(vocabulary)) for w in counts], np.int64), np.array([n / total for n in counts.values()], np.float32)))
+        for bag in bags:
+            # A word of one or two texts tells these texts apart, and nothing else.
+            known = [w for w in bag if spread[w] >= LEAST_TEXTS]
+            docs.append((np.array([vocabulary.setdefault(w, len(vocabulary)) for w in known], np.int64), np.full(len(known), 1 / max(1, len(bag)), np.float32)))
         grams = [np.array(word_buckets(w), np.int64) for w in vocabulary]
         target = np.array(labels, np.int64)
         share = np.bincount(target, minlength=2)
@@ -68,8 +115,9 @@ class Softmax:
         params = [self.vectors, self.output, self.bias]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         rng, step = np.random.default_rng(SEED), 0
-        for epoch in range(EPOCHS):
-            rate = RATE * (1 - epoch / EPOCHS)
+        epochs = max(EPOCHS, STEPS * 64 // len(docs))
+        for epoch in range(epochs):
+            rate = RATE * (1 - epoch / epochs)
             order = rng.permutation(len(docs))
             for at in range(0, len(order), 64):
                 chosen = order[at : at + 64]
@@ -101,7 +149,7 @@ class Softmax:
                     first[k][where] = 0.9 * first[k][where] + 0.1 * grad
                     second[k][where] = 0.99 * second[k][where] + 0.01 * grad * grad
                     mean, square = first[k][where] / (1 - 0.9**step), second[k][where] / (1 - 0.99**step)
-                    params[k][where] -= rate * mean / (np.sqrt(square) + 1e-8)
+                    params[k][where] -= rate * (mean / (np.sqrt(square) + 1e-8) + DECAY * params[k][where] * (k < 2))
         return self.frozen()
 
     def frozen(self) -> Softmax:
@@ -121,7 +169,7 @@ class Softmax:
         return known
 
     def score(self, text: str | None) -> float:
-        found = words(text)
+        found = set(words(text))
         total = sum(map(self.word, found)) / len(found) if found else 0.0
         return float(1 / (1 + np.exp(-np.clip(total + self.offset, -500, 500))))
 
@@ -139,7 +187,8 @@ def learn_toxicity(labelled: DataFrame, *, text: str = "text", label: str = "tox
     for y, n in counts.items():
         upto = F.when(F.col("y") == y, min(1.0, ROWS / n)).otherwise(upto)
     sample = sorted(usable.where(F.col("u") < upto).collect(), key=lambda r: (r["u"], r["t"], r["y"]))
-    return Softmax().fit([r["t"] for r in sample], [r["y"] for r in sample])
+    total = sum(counts.values()) or 1
+    return Softmax().fit([r["t"] for r in sample], [r["y"] for r in sample], (counts.get(0, 0) / total, counts.get(1, 0) / total))
 
 
 def score_toxicity(docs: DataFrame, model: Softmax, *, text: str = "text") -> DataFrame:
