@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 ROWS, TEXT_CHARS = 1_500, 50_000
 #: Hashed n-gram vectors, their width, and the lengths of character n-grams.
 BUCKETS, WIDTH, NGRAMS = 1 << 16, 8, (3, 4, 5)
-EPOCHS, STEPS, RATE, DECAY, SEED = 6, 100, 0.01, 1e-3, 7
+EPOCHS, STEPS, RATE, DECAY, SEED = 6, 300, 0.01, 1e-3, 7
 #: Spread of the outputs at the start: a word of a long text has a small share of the mean, which they must scale up.
 GAIN = 10.0
+#: Texts of a label below which none is kept back.
+FEW = 250
 #: Texts of the sample in which a word must occur to be learned from.
 LEAST_TEXTS = 3
 #: Words whose score a task remembers, at most; beyond, it starts anew.
@@ -59,11 +61,13 @@ class Softmax:
         Of the rest, the vectors and outputs are trained together (`_train`).
         Then bucket numbers are soft-thresholded: the threshold is the one that
         ranks the texts kept back best, as most buckets hold noise. Last, scale
-        and offset are fitted to those texts. shares: how common the labels are
+        and offset are fitted to those texts. With under FEW texts of a label
+        none is kept back, and half of the buckets are pruned. shares: how common the labels are
         outside the sample; by default as in the sample.
         """
-        back = [i for i in range(len(texts)) if i % 5 == 0] if min(labels.count(0), labels.count(1)) >= 25 else [*range(len(texts))]
-        rest = sorted(set(range(len(texts))) - set(back)) or back
+        few = min(labels.count(0), labels.count(1)) < FEW
+        back = [i for i in range(len(texts)) if few or i % 5 == 0]
+        rest = [i for i in range(len(texts)) if few or i % 5]
         self._train([texts[i] for i in rest], [labels[i] for i in rest])
         y = np.array([labels[i] for i in back], np.int64)
         if len(set(y.tolist())) < 2:
@@ -73,7 +77,7 @@ class Softmax:
         scale = np.array([1 / (len(w) * len(bag)) for bag in bags for w in bag for _ in w] or [0.0])
         owner = np.repeat(np.arange(len(bags)), [sum(map(len, bag)) for bag in bags]) if any(bags) else np.zeros(1, np.int64)
         size, best = np.abs(self.numbers), None
-        for q in (0, 0.5, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995):
+        for q in (0.5,) if few else (0, 0.5, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995):
             numbers = np.sign(self.numbers) * np.maximum(0, size - np.quantile(size, q) * (q > 0))
             x = np.bincount(owner, weights=numbers[flat] * scale, minlength=len(bags))
             ranks = np.argsort(np.argsort(x))

@@ -60,11 +60,12 @@ def test_language_edge_rows(spark):
 
 
 def test_op5_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     out = q.op5_toxicity(spark, sf).join(q.table(spark, sf, "labels"), "doc_id").where("held_out").collect()
     labels = [r["toxic"] for r in out]
-    assert sum(labels) >= 3
+    assert sum(labels) >= 50
     assert auc(labels, [r["score"] for r in out]) > 0.9
+    assert np.mean([r["predicted"] for r in out if not r["toxic"]]) < 0.03
     assert np.mean([r["toxic"] == r["predicted"] for r in out]) > 0.9
 
 
@@ -82,7 +83,7 @@ def test_toxicity_shares_subwords_and_edge_rows(spark):
     model = toxicity.Softmax().fit(texts, labels)
     plain = " ".join(calm[:40])
     assert model.score(plain + " horrible dreadful") > 0.5 > model.score(plain)
-    assert model.score(plain + " h0rrible dreadfull") > model.score(plain) + 0.1
+    assert model.score(plain + " h0rrible dreadfull nastyest") > model.score(plain) + 0.1
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (3, "..."), (4, "horrible " * 3000)], "doc_id long, text string").withColumn("score", F.lit("x"))
     got = toxicity.score_toxicity(docs, model).collect()
     assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
