@@ -178,19 +178,25 @@ class Softmax:
         return float(1 / (1 + np.exp(-np.clip(total + self.offset, -500, 500))))
 
 
-def learn_toxicity(labelled: DataFrame, *, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", seed: int = SEED) -> Softmax:
-    """Fit on a bounded sample: of each label about ROWS rows with the smallest seeded hashes.
+def learn_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", seed: int = SEED) -> Softmax:
+    """Fit on a bounded sample: of each label about ROWS ids with the smallest seeded hashes.
 
-    Only rows with label 0 or 1 and a text of at most TEXT_CHARS characters
-    count. With one label alone, or none, the model gives every text that
-    label's side (none: 0).
+    The ids are chosen from the labels alone and, as they are few, broadcast to
+    the documents, so no text is shuffled. Only labels 0 and 1 count, and texts
+    of at most TEXT_CHARS characters; of a repeated id one row. With one label
+    alone, or none, the model gives every text that label's side (none: 0).
     """
-    usable = labelled.where(F.col(label).isin(0, 1) & (F.length(text) <= TEXT_CHARS)).select(F.col(label).cast("int").alias("y"), F.col(text).alias("t"), (F.pmod(F.xxhash64(F.lit(seed), doc_id, F.length(text)), F.lit(1 << 30)) / float(1 << 30)).alias("u"))
-    counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    spark = docs.sparkSession
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y"), (F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << 30)) / float(1 << 30)).alias("u"))
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     upto = F.lit(0.0)
     for y, n in counts.items():
         upto = F.when(F.col("y") == y, min(1.0, ROWS / n)).otherwise(upto)
-    sample = sorted(usable.where(F.col("u") < upto).collect(), key=lambda r: (r["u"], r["t"], r["y"]))
+    chosen = known.where(F.col("u") < upto).dropDuplicates(["_id"]).collect()
+    ids = spark.createDataFrame([tuple(r) for r in chosen], known.schema)
+    texts = docs.where(F.length(text) <= TEXT_CHARS).select(F.col(doc_id).alias("_id"), F.col(text).alias("t"))
+    found = texts.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min_by(F.struct("t", "y", "u"), "t").alias("r")).select("r.*")
+    sample = sorted(found.collect(), key=lambda r: (r["u"], r["t"], r["y"]))
     total = sum(counts.values()) or 1
     return Softmax().fit([r["t"] for r in sample], [r["y"] for r in sample], (counts.get(0, 0) / total, counts.get(1, 0) / total))
 

@@ -89,6 +89,6 @@ def test_toxicity_shares_subwords_and_edge_rows(spark):
     assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
     assert {r["predicted"] for r in got if r["doc_id"] < 4} == {0}
     assert {r["predicted"] for r in got if r["doc_id"] == 4} == {1}
-    nothing = toxicity.learn_toxicity(docs.withColumn("toxic", F.lit(None).cast("int")))
+    nothing = toxicity.learn_toxicity(docs, docs.select("doc_id", F.lit(None).cast("int").alias("toxic")))
     assert {r["predicted"] for r in toxicity.score_toxicity(docs, nothing).collect()} == {0}
     assert toxicity.score_toxicity(docs.where("false"), model).collect() == []
