@@ -22,8 +22,8 @@ GAIN = 10.0
 FEW = 250
 #: Texts of the sample in which a word must occur to be learned from.
 LEAST_TEXTS = 3
-#: Words whose score a task remembers, at most; beyond, it starts anew.
-REMEMBERED = 200_000
+#: Words whose score a task remembers, at most; twice: see _WordNumbers.
+REMEMBERED = 400_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”„«»‘’–—"
 
 
@@ -38,7 +38,26 @@ def word_buckets(word: str) -> list[int]:
     grams = {marked}
     for n in NGRAMS:
         grams.update(marked[i : i + n] for i in range(len(marked) - n + 1))
-    return sorted(zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams)
+    return sorted([zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams])
+
+
+class _WordNumbers(dict):
+    """Word -> mean number of its subwords, filled when asked. When it is full, what wasn't asked since it last was goes."""
+
+    def __init__(self, numbers: list[float]):
+        super().__init__()
+        self.numbers, self.older = numbers, {}
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        known = self.older.get(word)
+        if known is None:
+            numbers, buckets = self.numbers, word_buckets(word)
+            known = sum([numbers[b] for b in buckets]) / len(buckets)
+        self[word] = known
+        return known
 
 
 class Softmax:
@@ -53,7 +72,7 @@ class Softmax:
         self.vectors = rng.normal(0, 0.01, (BUCKETS, WIDTH)).astype(np.float32)
         self.output = rng.normal(0, GAIN, (WIDTH, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
-        self._seen: dict[str, float] = {}
+        self._seen: _WordNumbers | None = None
 
     def fit(self, texts: list[str], labels: list[int], shares: tuple[float, float] | None = None) -> Softmax:
         """Learn from whole texts; every fifth is kept back to prune and to calibrate.
@@ -85,6 +104,7 @@ class Softmax:
             if best is None or ranked > best[0]:
                 best = ranked, numbers, x
         _, self.numbers, x = best
+        self._seen = None
         target = np.array(shares or (np.mean(y == 0), np.mean(y == 1)))
         weight = (target / np.array([np.mean(y == 0), np.mean(y == 1)]))[y]
         spread = x.std() or 1.0
@@ -94,7 +114,7 @@ class Softmax:
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
             step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(2), z.T @ (weight * (y - p)) - 0.1 * w * (1, 0))
             w += np.clip(step, -2, 2)
-        self.numbers = self.numbers * (w[0] / spread)
+        self.numbers, self._seen = self.numbers * (w[0] / spread), None
         self.offset = float(w[1] - w[0] * x.mean() / spread)
         return self
 
@@ -162,19 +182,19 @@ class Softmax:
         return self
 
     def __getstate__(self) -> dict:
-        return {"numbers": self.numbers, "offset": self.offset, "_seen": {}}
+        return {"numbers": self.numbers, "offset": self.offset, "_seen": None}
 
     def word(self, word: str) -> float:
-        seen = self._seen
-        if (known := seen.get(word)) is None:
-            if len(seen) >= REMEMBERED:
-                seen.clear()
-            known = seen[word] = float(self.numbers[word_buckets(word)].mean())
-        return known
+        """Mean number of the word's subwords."""
+        if self._seen is None:
+            self._seen = _WordNumbers(self.numbers.tolist())
+        return self._seen[word]
 
     def score(self, text: str | None) -> float:
         found = set(words(text))
-        total = sum(map(self.word, found)) / len(found) if found else 0.0
+        if self._seen is None:
+            self._seen = _WordNumbers(self.numbers.tolist())
+        total = sum(map(self._seen.__getitem__, found)) / len(found) if found else 0.0
         return float(1 / (1 + np.exp(-np.clip(total + self.offset, -500, 500))))
 
 
