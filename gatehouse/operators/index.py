@@ -36,7 +36,12 @@ def fit_int8(entries: DataFrame, vector: str = "vector", *, dimension: int | Non
     high = F.array(*[F.max(F.element_at(vector, i + 1)) for i in range(dimension)])
     fitted = entries.agg(low.alias("minimum"), high.alias("_high"))
     scale = F.zip_with("_high", "minimum", lambda h, m: F.when(h - m == 0, F.lit(1.0)).otherwise(h.cast("double") - m.cast("double")))
-    return fitted.select("minimum", scale.alias("scale"), F.lit(dimension).alias("dimension"))
+    return fitted.select(F.col("minimum").cast("array<double>").alias("minimum"), scale.alias("scale"), F.lit(dimension).alias("dimension"))
+
+
+def fit_entries(entries: DataFrame) -> DataFrame:
+    """The ranges of the entries' normalised vectors, which `encode_entries` codes."""
+    return fit_int8(entries.select(vectors.l2_normalize("vector").alias("vector")))
 
 
 def intern_policies(entries: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -75,7 +80,7 @@ class VectorIndex:
     def build(cls, entries: DataFrame) -> VectorIndex:
         """From entries (chunk_id, document_id, vector, grants, denies), one per chunk."""
         policies = intern_policies(entries)
-        quant = fit_int8(entries.withColumn("vector", vectors.l2_normalize("vector")))
+        quant = fit_entries(entries)
         return cls(encode_entries(entries, policies, quant), policies, quant)
 
     def permitted(self, permissions: Iterable[str]) -> DataFrame:

@@ -75,7 +75,7 @@ def ingest(tables: Tables, raw: DataFrame, embed: EmbedChunks, *, rules: text.Ch
     if old and not old["quant"].isEmpty():
         out["quant"] = old["quant"]
     elif count:
-        out["quant"] = tables.stage("quant_in", ix.fit_int8(entries))
+        out["quant"] = tables.stage("quant_in", ix.fit_entries(entries))
     codes = ix.encode_entries(entries, out["policies"], out["quant"]) if count else None
     fresh = {"documents": new, "chunks": chunks, "index": codes}
     for name, rows in fresh.items():
@@ -97,7 +97,7 @@ def refit(tables: Tables, embed: EmbedChunks) -> int:
     vectors = embed(now["chunks"].select("chunk_id", "text"))
     entries = tables.stage("entries_in", now["chunks"].join(vectors, "chunk_id").select("chunk_id", "document_id", "vector", "grants", "denies"))
     policies = tables.stage("policies_in", ix.intern_policies(entries))
-    quant = tables.stage("quant_in", ix.fit_int8(entries))
+    quant = tables.stage("quant_in", ix.fit_entries(entries))
     return tables.publish({**now, "policies": policies, "quant": quant, "index": ix.encode_entries(entries, policies, quant)})
 
 

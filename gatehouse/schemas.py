@@ -18,6 +18,6 @@ CHUNKS = _struct(("chunk_id", S, False), ("document_id", S, False), ("ordinal",
 #: The index holds no text.
 INDEX = _struct(("chunk_id", S, False), ("document_id", S, False), ("policy_id", L, False), ("bin", T.ArrayType(L, False), False), ("i8", T.ArrayType(T.ByteType(), False), False))
 POLICIES = _struct(("policy_id", L, False), ("policy_key", S, False), ("grants", _IDS, False), ("denies", _IDS, False))
-QUANT = _struct(("minimum", T.ArrayType(T.FloatType(), False), False), ("scale", T.ArrayType(T.FloatType(), False), False), ("dimension", I, False))
+QUANT = _struct(("minimum", T.ArrayType(T.DoubleType(), False), False), ("scale", T.ArrayType(T.DoubleType(), False), False), ("dimension", I, False))
 EDGES = _struct(("child", S, False), ("parent", S, False))
 RESULT = _struct(("rank", I, False), ("chunk_id", S, False), ("document_id", S, False), ("text", S, False), ("score", T.DoubleType(), True), ("connector", S, True), ("uri", S, True), ("title", S, True), ("version", S, True), ("span_start", I, False), ("span_end", I, False))
