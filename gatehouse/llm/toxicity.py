@@ -91,14 +91,18 @@ class Softmax:
         y = np.array([labels[i] for i in back], np.int64)
         if len(set(y.tolist())) < 2:
             return self
-        bags = [[word_buckets(w) for w in set(words(texts[i]))] for i in back]
-        flat = np.array([b for bag in bags for w in bag for b in w] or [0], np.int64)
-        scale = np.array([1 / (len(w) * len(bag)) for bag in bags for w in bag for _ in w] or [0.0])
-        owner = np.repeat(np.arange(len(bags)), [sum(map(len, bag)) for bag in bags]) if any(bags) else np.zeros(1, np.int64)
+        buckets, owners, bag = [np.zeros(1, np.int32)], [0], [np.inf]
+        for k, i in enumerate(back):
+            distinct = set(words(texts[i]))
+            buckets += [np.array(word_buckets(w), np.int32) for w in distinct]
+            owners += [k] * len(distinct)
+            bag += [len(distinct)] * len(distinct)
+        many = np.array([len(b) for b in buckets])
+        flat, owner, scale = np.concatenate(buckets), np.repeat(owners, many), np.repeat(1 / (many * np.array(bag)), many)
         size, best = np.abs(self.numbers), None
         for q in (0.5,) if few else (0, 0.5, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995):
             numbers = np.sign(self.numbers) * np.maximum(0, size - np.quantile(size, q) * (q > 0))
-            x = np.bincount(owner, weights=numbers[flat] * scale, minlength=len(bags))
+            x = np.bincount(owner, weights=numbers[flat] * scale, minlength=len(back))
             ranks = np.argsort(np.argsort(x))
             ranked = float(ranks[y == 1].mean() - ranks[y == 0].mean())
             if best is None or ranked > best[0]:
