@@ -30,16 +30,11 @@ def unit_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     return rows.select("vec_id", F.transform("x", lambda v: v / F.col("_norm")).alias("x"))
 
 
-def fit_axes(units: DataFrame, dims: int = DIMS, seed: int = 42) -> np.ndarray:
-    """The leading principal axes of about SAMPLE vectors, as rows; any orthonormal axes give right results."""
-    share = min(1.0, SAMPLE / max(1, units.count()))
-    picked = units.where("size(x) > 0").where(F.pmod(F.xxhash64(F.lit(seed), "x"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    rows = [r[0] for r in picked.select("x").limit(2 * SAMPLE).collect()]
-    if not rows:
-        return np.zeros((0, 0))
-    lengths = [len(r) for r in rows]
-    width = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    x = np.array([r for r in rows if len(r) == width])
+def fit_axes(one: DataFrame, n: int, width: int, dims: int = DIMS, seed: int = 42) -> np.ndarray:
+    """The leading principal axes of about SAMPLE of the ``n`` distinct vectors, as rows; any orthonormal axes give right results."""
+    share = min(1.0, SAMPLE / max(1, n))
+    picked = one.where(F.pmod(F.xxhash64(F.lit(seed), "x"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    x = np.array([r[0] for r in picked.select("x").limit(2 * SAMPLE).collect()])
     _, axes = np.linalg.eigh(np.cov(x.T) if len(x) > 1 and width > 1 else np.eye(width))
     return axes[:, ::-1][:, : min(dims, width)].T
 
@@ -123,14 +118,17 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     """
     spark = vectors.sparkSession
     units = materialise(unit_vectors(vectors, vec_id=vec_id, embedding=embedding))
-    axes = fit_axes(units)
-    if not axes.size:
+    # Of lengths that are equally frequent the largest.
+    usual = units.where("size(x) > 0").groupBy(F.size("x").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("width")).first()
+    if usual is None:
         return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    width = axes.shape[1]
+    width = usual["width"]
     edge = float(np.sqrt(max(1e-6, 2 - 2 * least)))
     takes_part = F.coalesce(F.col("vec_id").isNotNull() & (F.size("x") == width), F.lit(False))
     members = units.where(takes_part)
-    one = members.groupBy("x").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    one = materialise(members.groupBy("x").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
+    n = one.count()
+    axes = fit_axes(one, n, width)
 
     @F.pandas_udf("array<double>")
     def project(xs: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -138,7 +136,6 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
             yield pd.Series(list((np.stack(x.to_numpy()) @ axes.T)), dtype=object) if len(x) else pd.Series([], dtype=object)
 
     one = one.withColumn("at", project("x")).withColumn("cell", F.transform("at", lambda v: F.floor(v / edge)))
-    n = one.count()
     # Ranges of the grid order, and in them intervals by the row's number.
     ranges = max(1, -(-n // (8 * INTERVAL)))
     ordered = one.repartitionByRange(ranges, "cell", "vec_id").sortWithinPartitions("cell", "vec_id")

@@ -160,3 +160,17 @@ def test_repeated_ids(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0])]
     got = sorted(tuple(r) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
     assert got == [(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False)]
+
+
+@pytest.mark.parametrize("sample", [20, 0])
+def test_many_copies_of_few_vectors(spark, monkeypatch, sample):
+    """The axes are fitted on distinct vectors, so few of them among many rows aren't missed; no sample at all costs no links."""
+    monkeypatch.setattr(embed_dedup, "SAMPLE", sample)
+    n = 3_000
+    some = F.array(*[F.array(*[F.lit(float(v)) for v in x]) for x in ((3, 1, 0), (3, 1.1, 0), (0, 0, 2))])
+    # Two of three rows are null or zero, and few are of another length.
+    x = F.when(F.col("id") % 3 == 0, F.element_at(some, (F.col("id") / 3 % 3 + 1).cast("int"))).when(F.col("id") % 3 == 1, F.array(*[F.lit(0.0)] * 3))
+    frame = spark.range(n).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 999 == 1, F.array(F.lit(1.0))).otherwise(x).alias("embedding"))
+    got = {tuple(r) for r in embed_dedup.near_duplicates(frame).where("vec_id % 3 = 0").groupBy("n_links", "component_id").count().collect()}
+    group = {c: sum(1 for i in range(0, n, 3) if i // 3 % 3 == c) for c in range(3)}
+    assert got == {(group[0] + group[1] - 1, 0, group[0] + group[1]), (group[2] - 1, 6, group[2])}
