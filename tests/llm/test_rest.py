@@ -249,3 +249,15 @@ def test_site_template_goes_and_prose_stays(spark):
     assert got[3] == "Story 3 of this page" and got[4] == "Story 4 of this page"
     assert got[103] == "Body 3\n\nSame line"
     assert got[203] == "Welcome to the site\n\none\n\ntwo\n\nCopied page"
+
+
+def test_templates_of_hosts_with_copies_and_of_sections(spark):
+    bar = "<div><span>Welcome to the site</span><ul><li>one</li><li>two</li></ul></div>"
+    page = lambda i, top: f"<body>{top}<div><p>Story {i} of this page</p></div></body>"
+    # 10 different pages, 30 copies of each; and 24 sections with a bar of their own on 10 pages each, at both depths.
+    rows = [(i, "http://copies.org/x", page(i % 10, bar)) for i in range(300)]
+    rows += [(1000 + i, f"http://big.org/s{i % 24}/{i}", page(i, f"<div>Part {i % 24}</div>")) for i in range(240)]
+    rows += [(2000 + i, f"http://deep.org/en/s{i % 24}/{i}?a=/b/", page(i, f"<div>Part {i % 24}</div>")) for i in range(240)]
+    got = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == f"Story {i % 10 if i < 1000 else i % 1000} of this page" for i in got)
