@@ -28,11 +28,17 @@ NEAR = {"shingle": 5, "lanes": 4, "block_bits": 16, "blocks": 12, "most": 48}
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each group the smallest doc_id stays, once."""
-    groups = simhash.simhash_groups(docs, **NEAR)
-    leaders = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(leaders, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """SimHash near-dedup: of each group one row stays, of those with the smallest doc_id (a null id comes last).
+
+    Rows are told apart by a hash of all columns, as ids may be null or repeated.
+    """
+    # The hash skips nulls, so it gets them as flags.
+    whole = [*docs.columns, *[F.col(c).isNull() for c in docs.columns]]
+    keyed = docs.withColumns({"_h": F.xxhash64(F.lit(1), *whole), "_g": F.xxhash64(F.lit(2), *whole)})
+    rows = keyed.select("text", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_h", "_g").alias("row"))
+    leaders = simhash.simhash_groups(rows, doc_id="row", **NEAR).select("component_id._h", "component_id._g").distinct()
+    # Equal rows become one before they move, so that no row's copies meet in one task.
+    return keyed.dropDuplicates(["_h", "_g"]).join(leaders, ["_h", "_g"], "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

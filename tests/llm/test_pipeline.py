@@ -54,3 +54,19 @@ def test_run_is_its_stages(spark, sf):
         docs = materialise(stage(spark, docs, sf))
     assert sorted(r["ids_crc32"] for r in cp.run(spark, sf).collect()) == sorted(r["ids_crc32"] for r in docs.collect())
     assert 4 <= len(cp.STAGES) <= 5 and cp.ORACLE_SQL is None
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    rng = random.Random(3)
+    a, b, c, d, e = ([f"w{rng.randrange(5000)}" for _ in range(300)] for _ in range(5))
+    near = lambda words, k: " ".join([*words[:100], f"changed{k}", *words[101:]])
+    a, b, c, d = map(" ".join, (a, b, c, d))
+    rows = [(None, a, "s"), (None, b, "s"), (None, b, "s"), (None, b, None), (None, near(b.split(), 1), "s")]
+    rows += [(1, c, "s"), (1, d, "s"), (1, d, "s"), (2, near(c.split(), 2), "s"), (None, near(c.split(), 3), "s")]
+    # The row of id 0 is another group's than that of id 3, though ids repeat.
+    rows += [(3, " ".join(e), "s"), (0, near(e, 4), "s"), (3, "one text of its own " * 40, "s")]
+    out = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
+    left = sorted(((r["doc_id"], r["text"]) for r in out), key=str)
+    assert [x for x in left if x[0] is not None] == sorted([(0, near(e, 4)), (1, c), (1, d), (3, rows[-1][1])], key=str)
+    nulls = [t for i, t in left if i is None]
+    assert len(nulls) == 2 and a in nulls and (b in nulls or near(b.split(), 1) in nulls)
