@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -46,24 +48,34 @@ class WordTokenizer:
     stands before a single blank between two other characters with what
     follows. So the ids of a text are those of its pieces between such blanks
     (each with its blank), and as pieces recur, most are looked up. ``encode``
-    gives the ids of any string; strings of special tokens are ordinary text.
+    gives the ids of any string, as of ordinary text. ``added`` has the tokens
+    that part a text before all else (of several that match, the longest), with
+    their ids; what stands between two of them is a text of its own.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]]):
+    def __init__(self, encode: Callable[[str], list[int]], added: dict[str, int] | None = None):
         self.first, self.later = _Known(encode, ""), _Known(encode, " ")
+        self.added = {token: array("I", [i]).tobytes() for token, i in (added or {}).items()}
+        self.parting = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
     @classmethod
-    def from_ranks(cls, path: str, pattern: str) -> WordTokenizer:
+    def from_ranks(cls, path: str, pattern: str, added: dict[str, int] | None = None) -> WordTokenizer:
         """From a vocabulary file of lines (base64 of a token's bytes, rank)."""
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        return cls(tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
+        return cls(tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, added)
 
     def ids(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         text = text or ""
+        if not any(token in text for token in self.added):
+            return self._ordinary(text)
+        # The tokens stand at the odd places.
+        return b"".join(self.added[part] if k % 2 else self._ordinary(part) for k, part in enumerate(self.parting.split(text)))
+
+    def _ordinary(self, text: str) -> bytes:
         if not text:
             return b""
         first, *later = text.split(" ") if _plain(text) else _pieces(text)
@@ -71,6 +83,16 @@ class WordTokenizer:
         return self.first[first] + b"".join([known[p] for p in later])
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Added token -> id, of a JSON file of `tokenizers`. They have to be plain: found anywhere in a text as it is."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file).get("added_tokens", [])
+    for t in tokens:
+        if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added token {t['content']!r} is matched in a way that isn't supported")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 _OTHER_SPACE = [chr(c) for c in range(0x110000) if chr(c).isspace() and c != 32]
 
 

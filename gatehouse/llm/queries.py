@@ -19,10 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_tokenizer() -> packing.WordTokenizer:
-    """The public byte-level BPE vocabulary; its ranks file has the ids of byte_bpe_50k.json."""
+    """The public byte-level BPE vocabulary; its ranks file has the ids of byte_bpe_50k.json, but for the added tokens."""
     import public_tokenizers
 
-    return packing.WordTokenizer.from_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.WordTokenizer.from_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

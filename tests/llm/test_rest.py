@@ -261,3 +261,15 @@ def test_templates_of_hosts_with_copies_and_of_sections(spark):
     got = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert len(got) == len(rows)
     assert all(got[i] == f"Story {i % 10 if i < 1000 else i % 1000} of this page" for i in got)
+
+
+def test_added_tokens_keep_their_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ours = q.load_tokenizer()
+    end = "<|endoftext|>"
+    for text in (f"a {end} b", end, f"{end}{end}", f" {end}\n  x {end}y  ", f"<|end{end}oftext|>", "<|endoftext|", f"tab\t{end}\t b", ""):
+        assert np.frombuffer(ours.ids(text), "<u4").tolist() == encode.encode(text, add_special_tokens=False).ids, text
+    assert np.frombuffer(ours.ids(f"a {end} b"), "<u4").tolist() == [64, 220, 50256, 275]
