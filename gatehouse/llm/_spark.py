@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def name(column: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
+def boxed(df: DataFrame, **more: Column) -> DataFrame:
+    """Columns ``more`` and a struct ``row`` of all columns of ``df``, so that no name clashes; ``row.*`` gives them back."""
+    box = F.struct(*[name(c).alias(c) for c in df.columns]) if df.columns else F.struct(F.lit(None).alias("none"))
+    return df.select(box.alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
 def spread(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """Number of tasks for ``rows`` rows: the session's parallelism at least."""
     return max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_task))
