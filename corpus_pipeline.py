@@ -7,50 +7,67 @@ from pyspark.sql import functions as F
 
 from gatehouse.llm import langid, mixing, packing, simhash, toxicity
 from gatehouse.llm import queries as registered
-from gatehouse.llm._spark import materialise
+from gatehouse.llm._spark import boxed, materialise, name
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: texts in none of the learned languages (null, or without a letter) go."""
-    judged = langid.identify_languages(docs, registered.language_model(spark, sf_dir))
-    return judged.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    """Language ID: texts in none of the learned languages (null, or without a letter) go.
 
+    Rows with a null or repeated doc_id, and repeated rows, are judged one by one.
+    """
+    judged = langid.identify_languages(boxed(docs, text=F.col("text")), registered.language_model(spark, sf_dir))
+    return judged.where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxicity: texts that are predicted toxic go."""
-    judged = toxicity.score_toxicity(docs, registered.toxicity_model(spark, sf_dir))
-    return judged.where("predicted = 0").select(*docs.columns)
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: texts that are predicted toxic go.
 
-#: 5-word shingles; a similarity of 0.8 (cosine 0.89 of the shingle counts) turns about
-#: 15 % of a SimHash's bits. Fingerprints of 256 bits link at 48 differing bits (19 %).
-NEAR = {"shingle": 5, "lanes": 4, "block_bits": 16, "blocks": 12, "most": 48}
+    Rows with a null or repeated doc_id, and repeated rows, are judged one by
+    one; a null or empty text has no word that speaks for toxicity and stays
+    unless most learned texts are toxic.
+    """
+    judged = toxicity.score_toxicity(boxed(docs, text=F.col("text")), registered.toxicity_model(spark, sf_dir))
+    return judged.where("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: of each group one row stays, of those with the smallest doc_id (a null id comes last).
 
-    Rows are told apart by a hash of all columns, as ids may be null or repeated.
+    Near-duplicates have a cosine of at least 0.8 between their sets of 5-word
+    shingles (`simhash.near_duplicate_groups`). Rows are told apart by a hash of
+    all columns, as ids may be null or repeated; of equal rows one stays. Texts
+    that are null or have no word are near-duplicates of each other.
     """
     # The hash skips nulls, so it gets them as flags.
-    whole = [*docs.columns, *[F.col(c).isNull() for c in docs.columns]]
-    keyed = docs.withColumns({"_h": F.xxhash64(F.lit(1), *whole), "_g": F.xxhash64(F.lit(2), *whole)})
-    rows = keyed.select("text", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_h", "_g").alias("row"))
-    leaders = simhash.simhash_groups(rows, doc_id="row", **NEAR).select("component_id._h", "component_id._g").distinct()
+    whole = [x for c in docs.columns for x in (name(c), name(c).isNull())]
+    hashes = [F.xxhash64(F.lit(seed), *whole) for seed in (1, 2)]
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), hashes[0].alias("h"), hashes[1].alias("g"))
+    keyed = boxed(docs, text=F.col("text"), key=key)
+    leaders = simhash.near_duplicate_groups(keyed.select("text", "key")).select(F.col("component_id.h").alias("h"), F.col("component_id.g").alias("g")).distinct()
     # Equal rows become one before they move, so that no row's copies meet in one task.
-    return keyed.dropDuplicates(["_h", "_g"]).join(leaders, ["_h", "_g"], "left_semi").select(*docs.columns)
+    rows = keyed.select("row", F.col("key.h").alias("h"), F.col("key.g").alias("g")).dropDuplicates(["h", "g"])
+    return rows.join(leaders, ["h", "g"], "left_semi").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: each document as often as the mix takes it (0 to 2 times)."""
-    sized = docs.withColumn("_words", mixing.words_in("text"))
-    mixed = mixing.mix_to_weights(sized, size="_words")
+    """Mixing: each document as often as the mix takes it (0 to 2 times).
+
+    A null source is a source, the last one; a null or empty text has no words
+    and isn't taken; a null doc_id is an id; repeated rows are documents of
+    their own.
+    """
+    sized = boxed(docs, doc_id=F.col("doc_id"), source=F.col("source"), size=mixing.words_in("text"))
+    mixed = mixing.mix_to_weights(sized)
     copies = F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
-    return mixed.where("copies > 0").select(*docs.columns, copies.alias("_copy")).drop("_copy")
+    return mixed.where("copies > 0").select("row", copies.alias("copy")).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing: the pieces of every document and their places in the sequences."""
+    """Best-fit packing: the pieces of every document and their places in the sequences.
+
+    A null or empty text is one piece of the end token; a null doc_id stays
+    null; repeated rows are packed one by one.
+    """
     return packing.pack_documents(docs, registered.load_tokenizer)
 
 
