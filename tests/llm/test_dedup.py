@@ -114,11 +114,11 @@ def check_vectors(rows, got, least=0.9):
     x = [np.array(v, float) if v is not None and None not in v else None for _, v in rows]
     with np.errstate(all="ignore"):
         x = [v / np.abs(v).max() if v is not None and len(v) and np.isfinite(v).all() and v.any() else v for v in x]
-    ok = [v is not None and i is not None and len(v) == 4 and np.isfinite(v).all() and v.any() for v, (i, _) in zip(x, rows, strict=True)]
+    ok = [v is not None and i is not None and len(v) > 0 and np.isfinite(v).all() and v.any() for v, (i, _) in zip(x, rows, strict=True)]
     links, counts = [], [0] * len(rows)
     for a in range(len(rows)):
         for b in range(len(rows)):
-            if a != b and ok[a] and ok[b] and x[a] @ x[b] / np.linalg.norm(x[a]) / np.linalg.norm(x[b]) >= least:
+            if a != b and ok[a] and ok[b] and len(x[a]) == len(x[b]) and x[a] @ x[b] / np.linalg.norm(x[a]) / np.linalg.norm(x[b]) >= least:
                 links.append((a, b))
                 counts[a] += 1
     label = least_reachable(len(rows), links)
@@ -142,20 +142,30 @@ def test_op9_equals_brute_force(spark, sf):
     assert sorted(tuple(r) for r in q.op9_embed_dedup(spark, sf).collect()) == want
 
 
-def test_embeddings_edge_rows_and_splitting(spark, monkeypatch):
-    monkeypatch.setattr(embed_dedup, "INTERVAL", 40)
-    monkeypatch.setattr(embed_dedup, "LEAF", 8)
+def test_embeddings_edge_rows_and_splitting(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(180)]
     rows += [(200 + i, [1.0, 1.0, 1.0, 1.0]) for i in range(30)] + [(300, [2.0, 2.0, 2.0, 2.0])]
-    rows += [(310, None), (311, [0.0] * 4), (312, [1.0, None, 0.0, 0.0]), (313, [float("nan"), 1.0, 0.0, 0.0]), (314, [float("inf"), 1.0, 0.0, 0.0]), (315, [1.0, 2.0]), (316, []), (None, [1.0, 1.0, 1.0, 1.0]), (317, [1e-200, 0.0, 0.0, 0.0]), (318, [1e200, 0.0, 0.0, 0.0])]
+    rows += [(310, None), (311, [0.0] * 4), (312, [1.0, None, 0.0, 0.0]), (313, [float("nan"), 1.0, 0.0, 0.0]), (314, [float("inf"), 1.0, 0.0, 0.0]), (315, [1.0, 2.0]), (316, []), (319, [2.0, 4.0]), (320, [1.0, 2.1]), (321, [3.0]), (322, [1.0] * 5), (None, [1.0, 1.0, 1.0, 1.0]), (317, [1e-200, 0.0, 0.0, 0.0]), (318, [1e200, 0.0, 0.0, 0.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"x": F.lit(1), "a": F.lit(2), "n_links": F.lit("z")})
-    got = embed_dedup.near_duplicates(frame)
+    got = embed_dedup.near_duplicates(frame, interval=40, leaf=8, visitors=25)
     assert got.count() == len(rows)
     check_vectors(rows, got)
     assert embed_dedup.near_duplicates(frame.where("false")).collect() == []
 
 
+def test_distant_stretches_are_skipped(spark):
+    """Vectors in tight clusters: between intervals and within them, most pairs are never compared, and no link is lost."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(40, 24)), 50, axis=0) + rng.normal(scale=0.05, size=(2000, 24))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(7)
+    compared = spark.sparkContext.accumulator(0)
+    got = embed_dedup.near_duplicates(frame, interval=400, leaf=20, count=compared.add).collect()
+    assert {(r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] < 50} == {(49, 0, False), (49, 0, True)}
+    assert all(r["component_id"] == r["vec_id"] // 50 * 50 for r in got)
+    assert 2000 * 49 / 2 <= compared.value < 0.1 * 2000 * 1999 / 2
+
+
 def test_repeated_ids(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0])]
     got = sorted(tuple(r) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
