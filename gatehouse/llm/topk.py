@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import materialise
+from ._spark import materialise, name
 
-#: Vectors of a block of the index, and queries that one task runs against a block.
-BLOCK, BATCH = 32_768, 512
+#: Vectors of a block of the index at most, and those that are worth a block; queries that one task runs against a block.
+BLOCK, LEAST_BLOCK, BATCH = 32_768, 4_096, 65_536
 #: Values that share a quantised impact.
-STEP = 8
+STEP = 2
 #: Shares of the segments after which the proof is tried.
-TRIALS = (0.55, 0.7, 0.8, 0.88, 0.94)
+TRIALS = (0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 #: The proof ends the scan if at most this share of the block may still be among the best.
-FEW = 1 / 32
+FEW = 1 / 16
+#: A vector's sum, and how many of its postings are in it, are added up in one number: the count stands above this bit.
+_COUNT = 44
+_LONG = (1 << 63) - 1
 
 
 class ImpactIndex:
-    """Posting segments of a block of integer vectors.
+    """Posting segments of a block of integer vectors of one length.
 
     A posting says that a vector has some value in a dimension. Values are
     quantised to steps of STEP; the postings of a dimension with one quantised
@@ -29,102 +34,135 @@ class ImpactIndex:
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.stopped = ids, vectors, 0
+        self.wide = float(np.abs(vectors).max(initial=0)) >= 1 << 40
         dims, levels, self.postings = [], [], []
-        for d in range(vectors.shape[1]):
-            level = vectors[:, d] // STEP
+        for d in range(0 if self.wide else vectors.shape[1]):
+            level = vectors[:, d].astype(np.int64) // STEP
             order = np.argsort(level, kind="stable")
             values, starts = np.unique(level[order], return_index=True)
             dims += [d] * len(values)
             levels += values.tolist()
             self.postings += np.split(order, starts[1:])
-        self.dims, self.low = np.array(dims), np.array(levels, np.int64) * STEP
+        self.dims, self.low = np.array(dims, np.int64), np.array(levels, np.int64) * STEP
 
     def best(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """(score, position) of the k vectors of highest inner product, ties to the smaller id, without id ``own``.
-
-        Impacts are doubled, so that the middle of a step is an integer. After
-        the segments of the largest impacts are added up, a vector's score is
-        at most its sum plus ``above`` (what quantising and the segments left
-        may add) and at least its sum minus ``below``. Vectors whose most is
-        under the k-th largest least are proven out; the scan stops when few
-        are left, and those are scored exactly.
+        """(-score, id) of the k vectors of highest inner product, ties to the smaller id, without id ``own``."""
+        others = np.flatnonzero(self.ids != own)
+        top = max(float(np.abs(query).max(initial=0)), 1.0) * max(float(np.abs(self.vectors).max(initial=0)) + STEP, 1.0) * 2 * len(query)
+        if self.wide or top >= 1 << _COUNT - 2:
+            # Beyond the numbers that the segments can add up: exact integers of any size.
+            scores = self.vectors[others].astype(object) @ np.array([int(v) for v in query], dtype=object) if len(query) else np.zeros(len(others), object)
+        else:
+            others = others[self.possible(query.astype(np.int64), others, k)]
+            scores = self.vectors[others].astype(np.int64) @ query.astype(np.int64)
+            if len(scores) > k:
+                edge = np.partition(scores, len(scores) - k)[len(scores) - k]
+                others, scores = others[scores >= edge], scores[scores >= edge]
+        return sorted((-int(s), int(self.ids[i])) for s, i in zip(scores, others, strict=True))[:k]
+
+    def possible(self, query: np.ndarray, others: np.ndarray, k: int) -> np.ndarray:
+        """Places in ``others`` of the vectors that may be among its k best.
+
+        Impacts are doubled, so that the middle of a step is an integer.
+        Segments are added up from the largest impact on. When the largest of
+        those left is t, a vector of which m postings are missing has a score
+        within m * t, and what quantising adds, of its sum. Vectors whose most
+        is under the k-th largest least are proven out; the scan stops when few
+        are left.
         """
-        part = query[self.dims]
-        impact = part * (2 * self.low + STEP - 1)
+        if len(others) <= k:
+            return np.arange(len(others))
+        impact = query[self.dims] * (2 * self.low + STEP - 1)
         order = np.argsort(-np.abs(impact), kind="stable")
-        n, dims = len(self.ids), len(query)
-        sums = np.zeros(n, np.int64)
-        error = int(np.abs(query).sum()) * (STEP - 1)
-        stops = {int(len(order) * share) for share in TRIALS} | {len(order)}
-        done = np.zeros(len(order), bool)
-        keep = np.arange(n)
-        values = impact.tolist()
-        for at, s in enumerate(order.tolist(), 1):
-            sums[self.postings[s]] += values[s]
-            done[s] = True
-            if at in stops:
-                left = impact[~done]
-                high, low = np.zeros(dims, np.int64), np.zeros(dims, np.int64)
-                np.maximum.at(high, self.dims[~done], left)
-                np.minimum.at(low, self.dims[~done], left)
-                span = int(high.sum() - low.sum()) + 2 * error
-                # One more than k: the query's own row may be among them.
-                edge = np.partition(sums, n - k - 1)[n - k - 1] if n > k + 1 else sums.min()
-                keep = np.flatnonzero(sums >= edge - span)
-                if len(keep) <= max(k + 1, n * FEW):
-                    break
-        scores = self.vectors[keep].astype(np.int64) @ query
-        rows = [(-int(s), int(self.ids[i])) for s, i in zip(scores, keep, strict=True) if self.ids[i] != own] if len(keep) <= 4 * k else None
-        if rows is None:
-            few = min(len(keep), k + 1)
-            edge = np.partition(scores, len(scores) - few)[len(scores) - few]
-            rows = [(-int(scores[j]), int(self.ids[keep[j]])) for j in np.flatnonzero(scores >= edge) if self.ids[keep[j]] != own]
-        return sorted(rows)[:k]
+        error, wanted = int(np.abs(query).sum()) * (STEP - 1), max(k, int(len(others) * FEW))
+        stops = sorted({int(len(order) * share) for share in TRIALS} | {len(order)})
+        values, size = (impact + (1 << _COUNT)).tolist(), np.abs(impact)
+        totals, at, places = np.zeros(len(self.ids), np.int64), 0, order.tolist()
+        for stop in stops:
+            for s in places[at:stop]:
+                totals[self.postings[s]] += values[s]
+            at = stop
+            counts = (totals[others] + (1 << _COUNT - 1)) >> _COUNT
+            sums = totals[others] - (counts << _COUNT)
+            span = (len(query) - counts) * (int(size[order[at]]) if at < len(order) else 0) + error
+            edge = np.partition(sums - span, len(others) - k)[len(others) - k]
+            keep = np.flatnonzero(sums + span >= edge)
+            if len(keep) <= wanted:
+                break
+        self.stopped += at < len(order)
+        return keep
 
 
 def usable(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
-    """(vec_id, x array<int>): floor(scale * component); rows with a null id, or null or non-finite components, go."""
-    x = F.transform(F.col(embedding), lambda v: v.cast("double"))
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & fine)
-    return rows.select("vec_id", F.transform("x", lambda v: F.floor(v * scale).cast("int")).alias("x"))
+    """(vec_id, x array<double>): floor(scale * component), whole numbers of any size.
+
+    Rows with a null id go, and vectors that are null, empty or hold a null or
+    non-finite component, scaled or not.
+    """
+    x = F.transform(name(embedding), lambda v: v.cast("double") * scale)
+    fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    rows = vectors.select(name(vec_id).cast("long").alias("vec_id"), x.alias("x")).where("vec_id IS NOT NULL AND size(x) > 0").where(fine)
+    # From 2^52 on, doubles are whole.
+    return rows.select("vec_id", F.transform("x", lambda v: F.when(F.abs(v) < float(1 << 52), F.floor(v).cast("double")).otherwise(v)).alias("x"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5) -> DataFrame:
     """The k vectors of largest inner product for each query: query_id, rank, vec_id, score.
 
-    Both inputs: vec_id long, x array<int> of one length (see `usable`). A
-    query's own id isn't a candidate; ties go to the smaller vec_id; with fewer
-    than k candidates all are returned. Repeated rows of a vector count as
-    candidates of their own. Empty inputs give an empty result.
-
-    Vectors are dealt into blocks of about BLOCK, queries into batches; each
-    block meets each batch in one task, which builds the block's index and
-    returns k rows a query. Those are merged by a window over the query, of
-    which Spark keeps k rows a task before the shuffle.
+    Both inputs: vec_id long, x array<double> of whole numbers (see `usable`).
+    Candidates are the vectors of the query's length with another id than its
+    own; ties go to the smaller vec_id; with fewer than k candidates all are
+    returned. Repeated rows of a vector are candidates of their own, and
+    repeated rows of a query are queries of their own. A score beyond the range
+    of a long is held to it. Empty inputs give an empty result.
+
+    Vectors are dealt into blocks of at most about BLOCK, and each block's
+    index is built by one task (for up to BATCH queries), through which the
+    queries stream; it returns k rows a query. Those are merged by a window
+    over the query, of which Spark keeps k rows a task before the shuffle.
     """
     spark = vectors.sparkSession
-    vectors, queries = materialise(vectors), materialise(queries)
+    # Numbered as they are written, so that equal queries stay apart.
+    vectors, queries = materialise(vectors.select("vec_id", "x")), materialise(queries.select("vec_id", "x", F.monotonically_increasing_id().alias("number")))
     n, m = vectors.count(), queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    batches = max(1, -(-m // BATCH), min(m, -(-spark.sparkContext.defaultParallelism // blocks)))
+    blocks = max(1, -(-n // BLOCK), min(spark.sparkContext.defaultParallelism, n // LEAST_BLOCK))
+    batches = max(1, -(-m // BATCH))
     block = F.pmod(F.xxhash64(F.lit(1), "vec_id", "x"), F.lit(blocks))
-    batch = F.pmod(F.xxhash64(F.lit(2), "vec_id", "x"), F.lit(batches))
+    batch = F.pmod(F.xxhash64(F.lit(2), "number"), F.lit(batches))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<long>"))
-    left = vectors.select("vec_id", "x", block.alias("block")).select("*", every(batches).alias("batch"))
-    right = queries.select("vec_id", "x", batch.alias("batch")).select("*", every(blocks).alias("block"))
-
-    def search(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(docs) and len(asked):
-            docs = docs.sort_values("vec_id", kind="stable")
-            index = ImpactIndex(docs["vec_id"].to_numpy(np.int64), np.stack(docs["x"].to_numpy()).astype(np.int32))
-            for q, x in zip(asked["vec_id"], asked["x"], strict=True):
-                out += [(q, i, -s) for s, i in index.best(np.asarray(x, np.int64), q, k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = left.groupBy("block", "batch").cogroup(right.groupBy("block", "batch")).applyInPandas(search, "query_id long, vec_id long, score long")
-    ordered = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    index = vectors.withColumn("block", block).select("vec_id", "x", F.lit(-1).cast("long").alias("number"), "block", every(batches).alias("batch"))
+    asked = queries.withColumn("batch", batch).select("vec_id", "x", "number", every(blocks).alias("block"), "batch")
+    cells = index.unionByName(asked).withColumn("cell", F.col("block") * batches + F.col("batch")).drop("block", "batch")
+
+    def search(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # The vectors of a cell come before its queries.
+        cell, own, found = None, [], {}
+        for batch in rows:
+            for at, part in batch.groupby("cell", sort=True):
+                if at != cell:
+                    cell, own, found = at, [], {}
+                asked = (part["number"] >= 0).to_numpy()
+                own.append(part[~asked])
+                out = []
+                for q, number, x in part[asked][["vec_id", "number", "x"]].itertuples(index=False):
+                    if own:
+                        found = _indexes(pd.concat(own))
+                        own = []
+                    if (index := found.get(len(x))) is not None:
+                        out += [(number, q, i, max(-_LONG - 1, min(_LONG, -s))) for s, i in index.best(x, q, k)]
+                if out:
+                    yield pd.DataFrame(out, columns=["number", "query_id", "vec_id", "score"]).astype("int64")
+
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = cells.repartition(min(tasks, blocks * batches), "cell").sortWithinPartitions("cell", "number").mapInPandas(search, "number long, query_id long, vec_id long, score long")
+    ordered = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _indexes(rows: pd.DataFrame) -> dict[int, ImpactIndex]:
+    """An index for each length of vectors."""
+    rows = rows.sort_values("vec_id", kind="stable")
+    lengths = rows["x"].map(len)
+    return {int(n): ImpactIndex(part["vec_id"].to_numpy(np.int64), np.stack(part["x"].to_numpy())) for n, part in rows.groupby(lengths)}

@@ -1,8 +1,10 @@
 """Mixing, top-k, packing, URL rules, chats, page text: against brute force and on edge rows."""
 
+import math
 import random
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -82,27 +84,49 @@ def test_overlapping_sources_and_edge_rows(spark):
 # -- top-k --------------------------------------------------------------------
 
 
+def best_of(rows, asked, k):
+    """Brute force with whole numbers of any size; rows: (id, vector)."""
+    top = (1 << 63) - 1
+    x = [(i, [math.floor(Fraction(v) * 256) for v in w]) for i, w in rows if i is not None and w and all(v is not None and math.isfinite(v) and math.isfinite(v * 256) for v in w)]
+    out = []
+    for i, v in x:
+        if i in asked:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in x if j != i and len(w) == len(v))[:k]
+            out += [(i, n, j, max(-top - 1, min(top, -s))) for n, (s, j) in enumerate(best, 1)]
+    return sorted(out)
+
+
 def test_topk_edge_rows(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 60)
     monkeypatch.setattr(topk, "BATCH", 5)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 8))
     x[100:150] = x[0]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[8].tolist()), (900, None), (901, [1.0, None] * 4), (902, [float("nan")] * 8), (903, [float("inf")] * 8), (None, x[0].tolist())]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"x": F.lit(1), "score": F.lit(2)})
-    fine = [(i, np.floor(np.array(v) * 256).astype(int)) for i, v in rows if i is not None and i < 900]
-    got = topk.top_k(topk.usable(frame), topk.usable(frame).where("vec_id % 50 = 0"), k=5)
-    want = []
-    for i, v in fine:
-        if i % 50 == 0:
-            best = sorted((-int(v @ w), j) for j, w in fine if j != i)[:5]
-            want += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
-    assert sorted(map(tuple, got.collect())) == sorted(want)
-    few = topk.usable(frame).where("vec_id in (0, 1, 50)")
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[8].tolist()), (900, None), (901, [1.0, None] * 4), (902, [float("nan")] * 8), (903, [float("inf")] * 8), (None, x[0].tolist()), (904, [])]
+    # The same id several times, also as a query; other lengths; numbers beyond an int and beyond a long.
+    rows += [(50, x[1].tolist()), (50, x[0].tolist()), (50, x[0].tolist()), (905, [1.0, 2.0]), (950, [1.0, 3.0]), (951, [1e8] * 3), (952, [-1e8] * 3), (953, [3e18, 1.0, -1e-9]), (954, [1e307] * 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"x": F.lit(1), "score": F.lit(2), "number": F.lit(3)})
+    asked = {i for i, _ in rows if i is not None and (i % 50 == 0 or i > 904)}
+    vectors = topk.usable(frame)
+    got = topk.top_k(vectors, vectors.where(F.col("vec_id").isin(*asked)), k=5)
+    assert sorted(map(tuple, got.collect())) == best_of(rows, asked, 5)
+    few = vectors.where("vec_id in (0, 1, 2)")
     assert topk.top_k(few, few.where("vec_id = 0")).count() == 2
     assert topk.top_k(few.where("false"), few.where("false")).collect() == []
 
 
+def test_topk_stops_on_proof():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True))
+    index = topk.ImpactIndex(np.arange(4000), x)
+    for q in range(20):
+        scores = x @ x[q]
+        want = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:5]
+        assert index.best(x[q], q, 5) == want
+    assert index.stopped == 20
+
+
 # -- packing ------------------------------------------------------------------
 
 
@@ -220,6 +244,15 @@ def test_op10_equals_plain_cutting(spark):
         assert r["n_chars"] == len(r["text"])
 
 
+def test_templates_alone_give_the_text(spark):
+    """Without what tags and marks say, the counted templates clean every page; without templates none is clean."""
+    pages = q.table(spark, "/root/testdata/sf0.1", "pages")
+    want = {r["page_id"]: expected(r["html"]) for r in pages.collect()}
+    right = lambda **how: sum(r["text"] == want[r["page_id"]] for r in html.extract_text(pages, landmarks=False, **how).collect())
+    assert right() >= 0.99 * len(want)
+    assert right(least_pages=len(want) + 1) == 0
+
+
 def test_page_edge_rows(spark):
     cases = [
         (None, ""),
@@ -232,6 +265,7 @@ def test_page_edge_rows(spark):
         ("a < b and <c", "a < b and"),
         ("<p title='a>b'>t</p><!-- c --><p>&lt;p&gt; &#233;</p>", "t\n\n<p> é"),
         ("<div>" * 5000 + "deep" + "</div>" * 5000, "deep"),
+        ("<div>" * 5000 + "text<nav>menu</nav><div class=comments><p>first!</p></div>" + "</div></b>" * 5000 + "after", "text\n\nafter"),
         ("<article>" + "<p>long words</p>" * 20000 + "</article>", "\n\n".join(["long words"] * 20000)),
     ]
     frame = spark.createDataFrame([(i, f"http://h{i}.org/", h) for i, (h, _) in enumerate(cases)], "page_id long, url string, html string").withColumns({"host": F.lit(1), "text": F.lit(2), "template": F.lit(3)})
@@ -242,13 +276,17 @@ def test_page_edge_rows(spark):
 
 def test_site_template_goes_and_prose_stays(spark):
     bar = "<div><span>Welcome to the site</span><ul><li>one</li><li>two</li></ul></div>"
+    own_bar = "<div><span>Wylcomy to thy sity</span><ul><li>ony</li><li>other</li></ul></div>"
     rows = [(i, "http://a.org/x" if i % 2 else None, f"<body>{bar}<div><p>Story {i} of this page</p><p>Same words</p></div></body>") for i in range(40)]
     rows += [(100 + i, "http://b.org/x", f"<article><div><p>Read also</p></div><p>Body {i}</p><p>Same line</p></article>") for i in range(30)]
-    rows += [(200 + i, "http://c.org/x", f"{bar}<div><p>Copied page</p></div>") for i in range(30)]
+    rows += [(200 + i, "http://c.org/x", f"{own_bar}<div><p>Copied page</p></div>") for i in range(30)]
+    # Few pages of many hosts with one bar, which names each host; and a text of one host's pages that is another's template.
+    rows += [(300 + i, f"http://h{i}.net/", f"<body><div>On <b>h{i}.net</b></div><div><p>Story {i} alone</p></div></body>") for i in range(12)]
     got = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == "Story 3 of this page" and got[4] == "Story 4 of this page"
     assert got[103] == "Body 3\n\nSame line"
-    assert got[203] == "Welcome to the site\n\none\n\ntwo\n\nCopied page"
+    assert got[203] == "Wylcomy to thy sity\n\nony\n\nother\n\nCopied page"
+    assert got[305] == "Story 5 alone"
 
 
 def test_templates_of_hosts_with_copies_and_of_sections(spark):
