@@ -115,11 +115,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT p.page_id, host, path, split_part(best, ' ', 2) AS rule, coalesce(split_part(best, ' ', 1), 'allow') AS verdict
             FROM p LEFT JOIN m USING (page_id)""",
         "op8_chat": """
-            WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+            WITH t AS (SELECT DISTINCT conv_id, CASE WHEN conv_id IS NULL THEN hash(turn, role, text) END AS alone, turn, role, text FROM conversations),
             c AS (SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS turns,
                          string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
                                     ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS text
-                  FROM t GROUP BY conv_id),
+                  FROM t GROUP BY conv_id, alone),
             d AS (SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies, turns, any_value(text) AS text FROM c GROUP BY n_turns, turns)
             SELECT conv_id, n_turns, n_copies, text FROM d
             WHERE NOT EXISTS (SELECT 1 FROM d AS longer WHERE longer.n_turns > d.n_turns AND longer.turns[1] = d.turns[1] AND longer.turns[1:d.n_turns] = d.turns)""",

@@ -214,15 +214,25 @@ def test_chats(spark):
     def turns(conv, *texts):
         return [(conv, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(texts)]
 
-    rows = [*turns(1, "a"), *turns(2, "a", "b"), *turns(3, "a", "b", "c"), *turns(4, "a", "b", "c"), *turns(5, "a", "x"), *turns(6, None), *turns(7, None, "q"), *turns(8, ""), *turns(8, ""), (9, None, None, None), (None, 0, "user", "n")]
+    rows = [*turns(1, "a"), *turns(2, "a", "b"), *turns(3, "a", "b", "c"), *turns(4, "a", "b", "c"), *turns(5, "a", "x"), *turns(6, None), *turns(7, None, "q"), *turns(8, ""), *turns(8, ""), (9, None, None, None), (None, 0, "user", "n"), (None, 0, "user", "n"), (None, 0, "user", "a"), (None, 3, "user", "")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"pos": F.lit(1), "n_turns": F.lit("x")})
     got = {r["conv_id"]: r for r in chat.render_chats(frame).collect()}
-    assert set(got) == {3, 5, 7, 8, 9, None}
+    assert set(got) == {3, 5, 7, 8, 9, None} and got[None]["n_copies"] == 1
     assert got[3]["n_copies"] == 2 and got[3]["n_turns"] == 3
     assert got[5]["text"] == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nx<|im_end|>\n"
     assert chat.render_chats(frame.where("false")).collect() == []
 
 
+def test_equal_turns_are_ordered_by_text(spark):
+    """Turns of the same number and role, in pairs of conversations of which one starts with the other, if ordered by text."""
+    rng, rows = random.Random(9), []
+    for i in range(40):
+        texts = sorted(f"{rng.random():.12f}" for _ in range(3))
+        rows += [(2 * i, 0, "user", t) for t in texts[:2]] + [(2 * i + 1, 0, "user", t) for t in texts]
+    got = chat.render_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(r["conv_id"] for r in got) == list(range(1, 80, 2))
+
+
 def expected(page):
     """The article's text by plain cutting, for the well-formed part of the generated pages."""
     import re
