@@ -16,11 +16,14 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ._spark import name
 
 #: Documents that one task packs together, about. A task leaves at most a few sequences half empty.
 DOCS_A_TASK = 40_000
-#: Words whose ids a task remembers, at most; beyond, it starts anew.
-REMEMBERED = 400_000
+#: Bytes of pieces and ids that a memory holds before it starts anew, and those of the longest piece that is remembered.
+REMEMBERED, LONGEST = 48 << 20, 256
 
 
 class _Known(dict):
@@ -28,16 +31,20 @@ class _Known(dict):
 
     def __init__(self, encode: Callable[[str], list[int]], before: str):
         super().__init__()
-        self.encode, self.before, self.older = encode, before, {}
+        self.encode, self.before, self.older, self.held = encode, before, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
+        if len(piece) > LONGEST:
+            return array("I", self.encode(self.before + piece)).tobytes()
+        if self.held >= REMEMBERED:
+            self.older, self.held = dict(self), 0
             self.clear()
         ids = self.older.get(piece)
         if ids is None:
             ids = array("I", self.encode(self.before + piece)).tobytes()
         self[piece] = ids
+        # What Python adds to a string and to bytes, and a dictionary to either, is about 200 bytes.
+        self.held += 4 * len(piece) + len(ids) + 200
         return ids
 
 
@@ -65,7 +72,19 @@ class WordTokenizer:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        return cls(tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, added)
+        ranks_of = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+        def encode(text: str) -> list[int]:
+            ids, at = [], 0
+            for blank in _LONG_BLANK.finditer(text):
+                # All but the last character, which may belong to what follows, are one piece of the pattern.
+                end = blank.end() - (blank.end() < len(text))
+                ids += ranks_of.encode_ordinary(text[at : blank.start()])
+                ids += ranks_of._encode_single_piece(text[blank.start() : end])
+                at = end
+            return ids + ranks_of.encode_ordinary(text[at:])
+
+        return cls(encode, added)
 
     def ids(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
@@ -93,6 +112,8 @@ def added_tokens(path: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in tokens}
 
 
+#: White space so long that the pattern's search, which backtracks over it, is left out.
+_LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 _OTHER_SPACE = [chr(c) for c in range(0x110000) if chr(c).isspace() and c != 32]
 
 
@@ -243,8 +264,10 @@ def pack_documents(docs: DataFrame, load: Callable[[], WordTokenizer], *, text:
     the tasks and not with the size of the input. ``load`` makes the tokenizer
     on an executor.
     """
-    id_type = docs.schema[doc_id].dataType.simpleString()
-    pieces = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long"
+    id_type = docs.schema[doc_id].dataType
+    # Whole numbers travel as text: in pandas, a null among them makes them floats.
+    travels = T.StringType() if isinstance(id_type, T.IntegralType) else id_type
+    pieces = f"doc_id {travels.simpleString()}, piece int, start long, length long, ids_crc32 long"
     if keep_ids:
         pieces += ", ids binary"
 
@@ -262,7 +285,6 @@ def pack_documents(docs: DataFrame, load: Callable[[], WordTokenizer], *, text:
                         rows.append((d, k, start, n, zlib.crc32(own), own)[: 5 + keep_ids])
                         start += n
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids])
-                out["doc_id"] = out["doc_id"].astype(part["doc_id"].dtype)
                 yield out
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -289,5 +311,6 @@ def pack_documents(docs: DataFrame, load: Callable[[], WordTokenizer], *, text:
         yield rows
 
     tasks = max(1, -(-docs.count() // DOCS_A_TASK))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(encode, pieces)
-    return slim.repartition(tasks).mapInPandas(pack, f"{pieces}, sequence_id long, offset long")
+    slim = docs.select(name(doc_id).cast(travels).alias("doc_id"), name(text).alias("text")).mapInPandas(encode, pieces)
+    packed = slim.repartition(tasks).mapInPandas(pack, f"{pieces}, sequence_id long, offset long")
+    return packed.withColumn("doc_id", F.col("doc_id").cast(id_type))

@@ -174,11 +174,12 @@ def test_local_search_keeps_items_and_helps():
 
 
 def test_packing_edge_rows(spark):
-    rows = [(1, None), (1, None), (2, ""), (None, "a  b"), (3, "wörd " * 5000), (4, "x" * 9000)]
+    rows = [(1, None), (1, None), (2, ""), (None, "a  b"), (3, "wörd " * 5000), (4, "x" * 9000), ((1 << 60) + 1, "big id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"length": F.lit(1), "piece": F.lit("z")})
     got = packing.pack_documents(docs, q.load_tokenizer, room=64).collect()
     assert sum(r["piece"] == 0 for r in got) == len(rows)
     assert all(1 <= r["length"] <= 64 for r in got)
+    assert {r["doc_id"] for r in got} == {r[0] for r in rows}
     assert packing.pack_documents(docs.where("false"), q.load_tokenizer).collect() == []
 
 
@@ -321,3 +322,18 @@ def test_added_tokens_keep_their_ids():
     for text in (f"a {end} b", end, f"{end}{end}", f" {end}\n  x {end}y  ", f"<|end{end}oftext|>", "<|endoftext|", f"tab\t{end}\t b", ""):
         assert np.frombuffer(ours.ids(text), "<u4").tolist() == encode.encode(text, add_special_tokens=False).ids, text
     assert np.frombuffer(ours.ids(f"a {end} b"), "<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_long_runs_keep_their_ids(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ours = q.load_tokenizer()
+    for text in (" " * 1_000_000, "a" + " " * 200_000 + "b  c", "a\n" + "\t" * 5_000 + " b" + "\n" * 3_000, "x" * 50_000, "\u3000" * 4_000 + "y", " \x1c" * 3_000, "字" * 30_000 + " z"):
+        assert np.frombuffer(ours.ids(text), "<u4").tolist() == encode.encode(text, add_special_tokens=False).ids, text[:20]
+    # A memory that is always full gives the same ids.
+    monkeypatch.setattr(packing, "REMEMBERED", 300)
+    again = q.load_tokenizer()
+    text = "some words and some more words " * 50
+    assert again.ids(text) == ours.ids(text) and len(again.later) < 5
