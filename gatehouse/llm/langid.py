@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,20 +10,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import boxed, name
+
 #: What a text without a letter, or any text where nothing was learned, is called.
 UNKNOWN = "und"
 #: Bounds of the labelled sample: characters a language, all together, of one text.
 CHARS, ALL_CHARS, TEXT_CHARS = 40_000, 1_000_000, 20_000
 #: Rows of a language that are fetched, at most, to fill its characters.
 ROWS = 400
-#: Characters that the automata tell apart; rarer ones match nothing.
-ALPHABET = 96
+#: Characters of a language's sample up to which its automaton is a plain table; that of a larger script is hashed.
+DENSE = 128
 #: Characters of a window; windows are parsed side by side.
 WINDOW = 512
 
 
 class SuffixAutomaton:
-    """All substrings of a text, as a table: state, symbol -> state (0: none; 1: the start)."""
+    """All substrings of a text: (states, symbols) -> states, of whole arrays (0: none; 1: the start).
+
+    Symbols are numbers from 1 to under ``width``; 0 is followed by nothing.
+    Few symbols make a plain table of states by symbols; of many, the edges
+    that exist, under three for each character, are kept in a hash table.
+    """
 
     def __init__(self, symbols: np.ndarray, width: int):
         nexts: list[dict[int, int]] = [{}, {}]
@@ -52,10 +58,40 @@ class SuffixAutomaton:
                         nexts[p][c] = copy
                         p = link[p]
             last = new
-        self.table = np.zeros((len(nexts), width), np.int32)
-        for state, row in enumerate(nexts):
-            for c, to in row.items():
-                self.table[state, c] = to
+        self.width, self.table, self.keys = width, None, None
+        keys = np.array([state * width + c for state, row in enumerate(nexts) for c in row], np.int64)
+        to = np.array([x for row in nexts for x in row.values()], np.int32)
+        if width <= DENSE:
+            self.table = np.zeros(len(nexts) * width, np.int32)
+            self.table[keys] = to
+        else:
+            self.bits = max(1, int(2 * len(keys)).bit_length())
+            self.keys, self.table = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+            left, at = np.arange(len(keys)), self._slots(keys)
+            while len(left):
+                free = self.keys[at[left]] == -1
+                _, first = np.unique(at[left], return_index=True)
+                won = left[first[free[first]]]
+                self.keys[at[won]], self.table[at[won]] = keys[won], to[won]
+                left = np.setdiff1d(left, won, assume_unique=True)
+                at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        # Multiplication by an odd number near 2^64 over the golden ratio (fixed value); the upper bits are the slot.
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def follow(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        keys = states.astype(np.int64) * self.width + symbols
+        if self.keys is None:
+            return self.table[keys]
+        to, at, left = np.zeros(len(keys), np.int32), self._slots(keys), np.arange(len(keys))
+        while len(left):
+            found = self.keys[at]
+            hit = found == keys[left]
+            to[left[hit]] = self.table[at[hit]]
+            go = ~hit & (found != -1)
+            left, at = left[go], (at[go] + 1) & ((1 << self.bits) - 1)
+        return to
 
 
 class CrossParser:
@@ -70,35 +106,32 @@ class CrossParser:
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         folded = {k: fold(samples[k]) for k in self.languages}
-        counts = Counter()
-        for codes in folded.values():
-            values, n = np.unique(codes, return_counts=True)
-            counts.update(dict(zip(values.tolist(), n.tolist(), strict=True)))
-        known = sorted(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 1])
-        self.symbols = np.zeros(0x110000, np.uint8)
+        # Characters of any sample are numbered once, and again among those of each language.
+        known = np.unique(np.concatenate([np.zeros(0, np.uint32), *folded.values()]))
+        self.symbols = np.zeros(0x110000, np.int32)
         self.symbols[known] = np.arange(1, len(known) + 1)
-        self.width = len(known) + 1
-        self.tables, self.weights = [], []
+        self.own, self.automata, self.weights = [], [], []
         for k in self.languages:
-            symbols = self.symbols[folded[k]]
-            table = SuffixAutomaton(symbols, self.width).table
-            table[:, 0] = 0  # a character outside the alphabet matches nothing
-            self.tables.append(table.ravel())
-            self.weights.append(np.log2(max(2, len(symbols))))
+            mine = np.unique(self.symbols[folded[k]])
+            own = np.zeros(len(known) + 1, np.int32)
+            own[mine] = np.arange(1, len(mine) + 1)
+            self.own.append(own)
+            self.automata.append(SuffixAutomaton(own[self.symbols[folded[k]]], len(mine) + 1))
+            self.weights.append(np.log2(max(2, len(folded[k]))))
 
     def phrases(self, lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """lanes: symbols, one window a row, ordered by falling length; gives (language, window)."""
         steps = np.ascontiguousarray(lanes.T)
         live = [int(np.searchsorted(-lengths, -i, side="left")) for i in range(steps.shape[0])]
-        out = np.zeros((len(self.tables), len(lengths)), np.int64)
-        for k, table in enumerate(self.tables):
+        out = np.zeros((len(self.automata), len(lengths)), np.int64)
+        for k, (automaton, own) in enumerate(zip(self.automata, self.own, strict=True)):
             # State 0 has no way on, so the first character, and one after a
             # character that nothing matches, start a phrase like any other.
             state, n = np.zeros(len(lengths), np.int32), np.zeros(len(lengths), np.int64)
-            start = table[self.width : 2 * self.width]
+            start = automaton.follow(np.ones(automaton.width, np.int32), np.arange(automaton.width, dtype=np.int32))
             for m, symbols in zip(live, steps, strict=True):
-                c = symbols[:m]
-                to = table[state[:m] * self.width + c]
+                c = own[symbols[:m]]
+                to = automaton.follow(state[:m], c)
                 ended = np.flatnonzero(to == 0)
                 n[ended] += 1
                 to[ended] = start[c[ended]]
@@ -116,14 +149,14 @@ class CrossParser:
                 pieces.append(symbols[at : at + WINDOW])
         lengths = np.array([len(p) for p in pieces])
         order = np.argsort(-lengths, kind="stable")
-        totals = np.zeros((len(self.tables), len(texts)))
+        totals = np.zeros((len(self.automata), len(texts)))
         for at in range(0, len(order), 8192):
             chosen = order[at : at + 8192]
-            lanes = np.zeros((len(chosen), WINDOW), np.uint8)
+            lanes = np.zeros((len(chosen), WINDOW), np.int32)
             for row, j in enumerate(chosen):
                 lanes[row, : lengths[j]] = pieces[j]
             found = self.phrases(lanes, lengths[chosen])
-            for k in range(len(self.tables)):
+            for k in range(len(self.automata)):
                 totals[k] += np.bincount(np.take(owner, chosen), weights=found[k], minlength=len(texts))
         return (totals * np.array(self.weights)[:, None] / np.array([len(t) for t in texts])).T
 
@@ -186,21 +219,21 @@ def learn_languages(labelled: DataFrame, *, text: str = "text", lang: str = "lan
     (ALL_CHARS over all languages). Texts of over TEXT_CHARS characters aren't
     learned from, unless a language has no other.
     """
-    usable = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).withColumn("_u", F.pmod(F.xxhash64(F.lit(seed), doc_id, F.length(text)), F.lit(1 << 30)) / float(1 << 30))
-    usable = usable.withColumn("_long", F.length(text) > TEXT_CHARS)
-    counts = usable.groupBy(lang).agg(F.count_if(~F.col("_long")).alias("short"), F.count("*").alias("n")).collect()
+    usable = labelled.select(name(lang).alias("lang"), name(text).alias("text"), name(doc_id).alias("id")).where("lang IS NOT NULL AND length(text) > 0")
+    usable = usable.withColumns({"u": F.pmod(F.xxhash64(F.lit(seed), "id", F.length("text")), F.lit(1 << 30)) / float(1 << 30), "long": F.length("text") > TEXT_CHARS})
+    counts = usable.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count("*").alias("n")).collect()
     if not counts:
         return CrossParser({})
     spark = labelled.sparkSession
     rows = [(r[0], r["short"] == 0, min(1.0, ROWS / max(1, r["short"] or r["n"]))) for r in counts]
-    chosen = spark.createDataFrame(rows, f"_lang {labelled.schema[lang].dataType.simpleString()}, _any boolean, _upto double")
-    piece = F.substring(text, 1, TEXT_CHARS)
-    sample = usable.join(F.broadcast(chosen), (F.col(lang) == F.col("_lang")) & (F.col("_u") < F.col("_upto")) & (F.col("_any") | ~F.col("_long")))
+    chosen = spark.createDataFrame(rows, f"of {labelled.schema[lang].dataType.simpleString()}, any boolean, upto double")
+    piece = F.substring("text", 1, TEXT_CHARS)
+    sample = usable.join(F.broadcast(chosen), (F.col("lang") == F.col("of")) & (F.col("u") < F.col("upto")) & (F.col("any") | ~F.col("long")))
     # Half a million characters a language at most leave the executors.
     budget = max(2_000, min(CHARS, ALL_CHARS // len(rows)))
     texts: dict[str, list[str]] = {}
-    for r in sorted(sample.select("_u", "_lang", piece.alias("t")).collect(), key=lambda r: (r["_lang"], r["_u"], r["t"])):
-        texts.setdefault(r["_lang"], []).append(r["t"])
+    for r in sorted(sample.select("u", "lang", piece.alias("t")).collect(), key=lambda r: (r["lang"], r["u"], r["t"])):
+        texts.setdefault(r["lang"], []).append(r["t"])
     return CrossParser({k: "\n".join(v)[:budget] for k, v in texts.items()})
 
 
@@ -219,5 +252,5 @@ def identify_languages(docs: DataFrame, parser: CrossParser, *, text: str = "tex
             langs, scores = shared.value.predict(texts.tolist())
             yield pd.DataFrame({"lang": langs, "score": scores})
 
-    out = docs.drop("lang_pred", "score").withColumn("_found", judge(F.col(text)))
-    return out.withColumns({"lang_pred": F.col("_found.lang"), "score": F.col("_found.score")}).drop("_found")
+    out = boxed(docs.drop("lang_pred", "score"), found=judge(name(text)))
+    return out.select("row.*", F.col("found.lang").alias("lang_pred"), "found.score")

@@ -16,9 +16,12 @@ def auc(labels, scores):
 
 
 def test_cross_parsing_equals_brute_force():
-    samples = {"a": "abracadabra simsalabim hokus pokus", "b": "lorem ipsum dolor sit amet, consectetur"}
+    rng = np.random.default_rng(2)
+    many = "".join(map(chr, rng.choice(np.arange(0x4E00, 0x4E00 + 300), 900)))
+    samples = {"a": "abracadabra simsalabim hokus pokus", "b": "lorem ipsum dolor sit amet, consectetur", "c": many + " lorem"}
     parser = langid.CrossParser(samples)
-    texts = ["abra hokus dolor zz", "Lorem  42 ipsum", "x", "xyzabra" * 200]
+    assert parser.automata[0].keys is None and parser.automata[2].keys is not None
+    texts = ["abra hokus dolor zz", "Lorem  42 ipsum", "x", "xyzabra" * 200, many[100:180] + "abra" + many[::-1]]
     for text, rates in zip(texts, parser.parse([langid.fold(t) for t in texts]), strict=True):
         symbols = langid.fold(text)
         for k, lang in enumerate(parser.languages):
@@ -35,6 +38,17 @@ def test_cross_parsing_equals_brute_force():
             assert np.isclose(rates[k], n * parser.weights[k] / len(symbols))
 
 
+def test_languages_of_many_scripts():
+    """Two languages a script, told apart by their words; each sample's characters all count."""
+    rng = np.random.default_rng(5)
+    scripts = {"latin": range(97, 123), "cyrillic": range(0x430, 0x450), "greek": range(0x3B1, 0x3CA), "han": range(0x4E00, 0x5200), "kana": range(0x3041, 0x3097), "hangul": range(0xAC00, 0xAF00)}
+    words = {f"{k}{i}": ["".join(map(chr, rng.choice(list(c), rng.integers(1, 4 if k in ("han", "hangul") else 8)))) for _ in range(400)] for k, c in scripts.items() for i in range(2)}
+    say = lambda k, n: " ".join(rng.choice(words[k], n))
+    parser = langid.CrossParser({k: say(k, 3000) for k in words})
+    wanted = [k for k in words for _ in range(10)]
+    assert parser.predict([say(k, 30) for k in wanted])[0] == wanted
+
+
 def test_op6_held_out(spark):
     sf = "/root/testdata/sf0.01"
     out = q.op6_langid(spark, sf).join(q.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").collect()
@@ -46,7 +60,7 @@ def test_op6_held_out(spark):
 
 def test_language_edge_rows(spark):
     rows = [(1, "the and of that with this", "en"), (2, "und der die das nicht", "de"), (3, None, "en"), (4, "", None), (5, "123 !?", "de"), (6, "日本語", None), (None, "the the", None), (1, "the and of that with this", "en")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit("x"), "found": F.lit(1), "_found": F.lit(2), "row": F.lit(3), "u": F.lit(4)})
     parser = langid.learn_languages(docs)
     got = langid.identify_languages(docs, parser).orderBy("doc_id").collect()
     by = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in got}
