@@ -48,9 +48,26 @@ def boxed(df: DataFrame, **more: Column) -> DataFrame:
     return df.select(box.alias("row"), *[c.alias(n) for n, c in more.items()])
 
 
-def spread(spark: SparkSession, rows: int, rows_per_task: int) -> int:
-    """Number of tasks for ``rows`` rows: the session's parallelism at least."""
-    return max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_task))
+#: Bits of a sieve: 8 MB, whatever it is made of.
+_SIEVE_BITS = 1 << 26
+
+
+def sieved(df: DataFrame, key: str, wanted: DataFrame, into: str = "maybe") -> DataFrame:
+    """Add a boolean column: false where the long ``key`` is surely not among the keys of ``wanted`` (its only column).
+
+    The keys set bits of a bitmap of a fixed size, which is broadcast. So rows
+    with long texts of which few are wanted need not be shuffled to find out;
+    what may be wanted is then joined as usual. Null keys are never wanted.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(F.lit(17), c), F.lit(_SIEVE_BITS)) + 1
+    named = wanted.toDF("_k").where("_k IS NOT NULL").select(bit(F.col("_k")).alias("_b"))
+    maps = materialise(named.groupBy(F.bitmap_bucket_number("_b").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_b")).alias("_map")))
+    at = F.bitmap_bit_position(bit(name(key)))
+    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    # At most 2,048 maps of 4 KB.
+    met = df.join(F.broadcast(maps), (F.bitmap_bucket_number(bit(name(key))) == F.col("_bucket")) & name(key).isNotNull(), "left")
+    return met.select(*[name(c) for c in df.columns], F.coalesce(is_set, F.lit(False)).alias(into))
 
 
 def crc_of_id(column: str):
