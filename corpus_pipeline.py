@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.llm import langid, mixing, packing, simhash, toxicity
 from gatehouse.llm import queries as registered
-from gatehouse.llm._spark import boxed, materialise, name
+from gatehouse.llm._spark import boxed, materialise, name, sieved
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +43,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     hashes = [F.xxhash64(F.lit(seed), *whole) for seed in (1, 2)]
     key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), hashes[0].alias("h"), hashes[1].alias("g"))
     keyed = boxed(docs, text=F.col("text"), key=key)
-    leaders = simhash.near_duplicate_groups(keyed.select("text", "key")).select(F.col("component_id.h").alias("h"), F.col("component_id.g").alias("g")).distinct()
-    # Equal rows become one before they move, so that no row's copies meet in one task.
-    rows = keyed.select("row", F.col("key.h").alias("h"), F.col("key.g").alias("g")).dropDuplicates(["h", "g"])
-    return rows.join(leaders, ["h", "g"], "left_semi").select("row.*")
+    groups = materialise(simhash.near_duplicate_groups(keyed.select("text", "key")).select("doc_id", "component_id"))
+    # Rows that surely lead their group, once, stay where they are; the others are dealt by their hash and looked up.
+    others = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.first("component_id").alias("leader")).where("n > 1 OR doc_id <> leader")
+    rows = sieved(keyed.select("row", F.col("key.h").alias("h"), F.col("key.g").alias("g")), "h", others.select("doc_id.h"))
+    leaders = groups.where("doc_id = component_id").select(F.col("doc_id.h").alias("h"), F.col("doc_id.g").alias("g")).distinct()
+    looked_up = rows.where("maybe").dropDuplicates(["h", "g"]).join(leaders, ["h", "g"], "left_semi")
+    return rows.where("NOT maybe").unionByName(looked_up.select(rows.columns)).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
