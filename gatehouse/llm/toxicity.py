@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 ROWS, TEXT_CHARS = 1_500, 50_000
 #: Hashed n-gram vectors, their width, and the lengths of character n-grams.
 BUCKETS, WIDTH, NGRAMS = 1 << 16, 8, (3, 4, 5)
-EPOCHS, STEPS, RATE, DECAY, SEED = 6, 300, 0.01, 1e-3, 7
+EPOCHS, STEPS, RATE, DECAY, SLACK, SEED = 6, 300, 0.01, 1e-3, 1e-4, 7
 #: Spread of the outputs at the start: a word of a long text has a small share of the mean, which they must scale up.
 GAIN = 10.0
-#: Texts of a label below which none is kept back.
-FEW = 250
+#: Parts of the sample that are kept back in turn (fewer, if a label has fewer texts), and quantiles that are tried as thresholds.
+FOLDS, QUANTILES = 3, (0, 0.5, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995)
 #: Texts of the sample in which a word must occur to be learned from.
 LEAST_TEXTS = 3
 #: Words whose score a task remembers, at most; twice: see _WordNumbers.
@@ -60,6 +60,82 @@ class _WordNumbers(dict):
         return known
 
 
+def _flat(bags: list[list[str]], grams: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, text, share) of every subword: a word's are its mean, and a text the mean of its words."""
+    own = [grams[w] for bag in bags for w in bag]
+    many = np.array([len(g) for g in own], np.int64)
+    of = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    sizes = np.repeat([max(1, len(b)) for b in bags], [len(b) for b in bags])
+    return np.concatenate([np.zeros(0, np.int64), *own]), np.repeat(of, many), np.repeat(1 / (many * np.maximum(sizes, 1)), many)
+
+
+def _softened(numbers: np.ndarray, quantile: float) -> np.ndarray:
+    size = np.abs(numbers)
+    used = size[size > 0]
+    return np.sign(numbers) * np.maximum(0, size - (np.quantile(used, quantile) if quantile and len(used) else 0))
+
+
+def _train(bags: list[list[str]], target: np.ndarray, grams: dict[str, np.ndarray]) -> np.ndarray:
+    """Each bucket's share of the difference of the two outputs: vectors times outputs, trained together.
+
+    Small batches, Adam on vectors and outputs; labels weigh the same. SLACK
+    keeps Adam from moving what few texts speak for as far as what many do.
+    What no text has stays 0.
+    """
+    rng = np.random.default_rng(SEED)
+    vectors = rng.normal(0, 0.01, (BUCKETS, WIDTH)).astype(np.float32)
+    output = rng.normal(0, GAIN, (WIDTH, 2)).astype(np.float32)
+    spread = Counter(w for bag in bags for w in bag)
+    vocabulary: dict[str, int] = {}
+    docs = []
+    for bag in bags:
+        # A word of one or two texts tells these texts apart, and nothing else.
+        known = [w for w in bag if spread[w] >= LEAST_TEXTS]
+        docs.append((np.array([vocabulary.setdefault(w, len(vocabulary)) for w in known], np.int64), np.full(len(known), 1 / max(1, len(bag)), np.float32)))
+    own_grams = [grams[w] for w in vocabulary]
+    weight = (len(target) / (2 * np.maximum(np.bincount(target, minlength=2), 1)))[target].astype(np.float32)
+    params = [vectors, output, np.zeros(2, np.float32)]
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    step, touched = 0, np.zeros(BUCKETS, bool)
+    epochs = max(EPOCHS, STEPS * 64 // len(docs))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
+        order = rng.permutation(len(docs))
+        for at in range(0, len(order), 64):
+            chosen = order[at : at + 64]
+            ids = np.concatenate([docs[i][0] for i in chosen])
+            if len(ids) == 0:
+                continue
+            shares = np.concatenate([docs[i][1] for i in chosen])
+            rows = np.repeat(np.arange(len(chosen)), [len(docs[i][0]) for i in chosen])
+            used, place = np.unique(ids, return_inverse=True)
+            own = [own_grams[w] for w in used]
+            sizes = np.array([len(g) for g in own])
+            flat = np.concatenate(own)
+            cells, cell = np.unique(flat, return_inverse=True)
+            touched[cells] = True
+            starts = np.r_[0, np.cumsum(sizes)[:-1]]
+            bag = np.add.reduceat(vectors[cells][cell], starts, axis=0) / sizes[:, None]
+            mix = np.zeros((len(chosen), len(used)), np.float32)
+            mix[rows, place] = shares
+            hidden = mix @ bag
+            logits = hidden @ output + params[2]
+            p = np.exp(logits - logits.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(chosen)), target[chosen]] -= 1
+            p *= weight[chosen, None] / len(chosen)
+            g_bag = (mix.T @ (p @ output.T)) / sizes[:, None]
+            g_flat = np.repeat(g_bag, sizes, axis=0)
+            g_cells = np.stack([np.bincount(cell, weights=g_flat[:, d], minlength=len(cells)) for d in range(WIDTH)], axis=1).astype(np.float32)
+            step += 1
+            for k, (where, grad) in enumerate(((cells, g_cells), (slice(None), hidden.T @ p), (slice(None), p.sum(axis=0)))):
+                first[k][where] = 0.9 * first[k][where] + 0.1 * grad
+                second[k][where] = 0.99 * second[k][where] + 0.01 * grad * grad
+                mean, square = first[k][where] / (1 - 0.9**step), second[k][where] / (1 - 0.99**step)
+                params[k][where] -= rate * (mean / (np.sqrt(square) + (SLACK if k == 0 else 1e-8)) + DECAY * params[k][where] * (k < 2))
+    return (vectors @ (output[:, 1] - output[:, 0])).astype(np.float64) * touched
+
+
 class Softmax:
     """p(label 1) = softmax over two linear outputs of the mean of the words' subword means.
 
@@ -68,47 +144,45 @@ class Softmax:
     """
 
     def __init__(self) -> None:
-        rng = np.random.default_rng(SEED)
-        self.vectors = rng.normal(0, 0.01, (BUCKETS, WIDTH)).astype(np.float32)
-        self.output = rng.normal(0, GAIN, (WIDTH, 2)).astype(np.float32)
-        self.bias = np.zeros(2, np.float32)
+        self.numbers, self.offset = np.zeros(BUCKETS), -4.0
         self._seen: _WordNumbers | None = None
 
     def fit(self, texts: list[str], labels: list[int], shares: tuple[float, float] | None = None) -> Softmax:
-        """Learn from whole texts; every fifth is kept back to prune and to calibrate.
-
-        Of the rest, the vectors and outputs are trained together (`_train`).
-        Then bucket numbers are soft-thresholded: the threshold is the one that
-        ranks the texts kept back best, as most buckets hold noise. Last, scale
-        and offset are fitted to those texts. With under FEW texts of a label
-        none is kept back, and half of the buckets are pruned. shares: how common the labels are
-        outside the sample; by default as in the sample.
+        """Learn from whole texts, in FOLDS parts: each is kept back once while vectors and outputs are trained together on the rest.
+
+        The model's numbers are the mean of those of the parts. In between,
+        small numbers, most of which are noise, are soft-thresholded: the
+        threshold is the one that ranks the texts kept back best. Scale and offset are fitted to the scores that texts got while they were kept
+        back. shares: how common the labels are outside the sample; by default
+        as in the sample.
         """
-        few = min(labels.count(0), labels.count(1)) < FEW
-        back = [i for i in range(len(texts)) if few or i % 5 == 0]
-        rest = [i for i in range(len(texts)) if few or i % 5]
-        self._train([texts[i] for i in rest], [labels[i] for i in rest])
-        y = np.array([labels[i] for i in back], np.int64)
-        if len(set(y.tolist())) < 2:
+        y = np.array(labels, np.int64)
+        folds = int(min(FOLDS, *np.bincount(y, minlength=2))) if len(y) else 0
+        if folds < 2:
+            self.offset = 0.0 if not len(y) else 4.0 * np.sign(2 * np.mean(y) - 1)
+            self.offset = self.offset or -4.0
             return self
-        buckets, owners, bag = [np.zeros(1, np.int32)], [0], [np.inf]
-        for k, i in enumerate(back):
-            distinct = set(words(texts[i]))
-            buckets += [np.array(word_buckets(w), np.int32) for w in distinct]
-            owners += [k] * len(distinct)
-            bag += [len(distinct)] * len(distinct)
-        many = np.array([len(b) for b in buckets])
-        flat, owner, scale = np.concatenate(buckets), np.repeat(owners, many), np.repeat(1 / (many * np.array(bag)), many)
-        size, best = np.abs(self.numbers), None
-        for q in (0.5,) if few else (0, 0.5, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995):
-            numbers = np.sign(self.numbers) * np.maximum(0, size - np.quantile(size, q) * (q > 0))
-            x = np.bincount(owner, weights=numbers[flat] * scale, minlength=len(back))
-            ranks = np.argsort(np.argsort(x))
-            ranked = float(ranks[y == 1].mean() - ranks[y == 0].mean())
+        bags = [sorted(set(words(t))) for t in texts]
+        grams = {w: np.array(word_buckets(w), np.int64) for w in set().union(*bags)}
+        fold = np.empty(len(y), np.int64)
+        for label in (0, 1):
+            of_label = np.flatnonzero(y == label)
+            fold[of_label] = np.arange(len(of_label)) % folds
+        trained = [_train([bags[i] for i in np.flatnonzero(fold != k)], y[fold != k], grams) for k in range(folds)]
+        kept = [_flat([bags[i] for i in np.flatnonzero(fold == k)], grams) for k in range(folds)]
+        best = None
+        for quantile in QUANTILES:
+            cut = [_softened(v, quantile) for v in trained]
+            x, ranked = np.zeros(len(y)), 0.0
+            for k, (flat, owner, scale) in enumerate(kept):
+                own = np.bincount(owner, weights=cut[k][flat] * scale, minlength=int((fold == k).sum()))
+                x[fold == k] = own
+                ranks = np.argsort(np.argsort(own, kind="stable"), kind="stable")
+                ranked += float(ranks[y[fold == k] == 1].mean() - ranks[y[fold == k] == 0].mean()) / len(own)
             if best is None or ranked > best[0]:
-                best = ranked, numbers, x
-        _, self.numbers, x = best
-        self._seen = None
+                best = ranked, np.mean(cut, axis=0), x, quantile
+        # How well the texts kept back were ranked (area under the curve), and by which threshold, for reports.
+        self.ranked, numbers, x, self.quantile = best[0] / folds + 0.5, *best[1:]
         target = np.array(shares or (np.mean(y == 0), np.mean(y == 1)))
         weight = (target / np.array([np.mean(y == 0), np.mean(y == 1)]))[y]
         spread = x.std() or 1.0
@@ -118,73 +192,10 @@ class Softmax:
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
             step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(2), z.T @ (weight * (y - p)) - 0.1 * w * (1, 0))
             w += np.clip(step, -2, 2)
-        self.numbers, self._seen = self.numbers * (w[0] / spread), None
+        self.numbers, self._seen = numbers * (w[0] / spread), None
         self.offset = float(w[1] - w[0] * x.mean() / spread)
         return self
 
-    def _train(self, texts: list[str], labels: list[int]) -> Softmax:
-        """Small batches, Adam on vectors and outputs together; labels weigh the same."""
-        bags = [sorted(set(words(t))) for t in texts]
-        spread = Counter(w for bag in bags for w in bag)
-        vocabulary: dict[str, int] = {}
-        docs = []
-        for bag in bags:
-            # A word of one or two texts tells these texts apart, and nothing else.
-            known = [w for w in bag if spread[w] >= LEAST_TEXTS]
-            docs.append((np.array([vocabulary.setdefault(w, len(vocabulary)) for w in known], np.int64), np.full(len(known), 1 / max(1, len(bag)), np.float32)))
-        grams = [np.array(word_buckets(w), np.int64) for w in vocabulary]
-        target = np.array(labels, np.int64)
-        share = np.bincount(target, minlength=2)
-        weight = (len(target) / (2 * np.maximum(share, 1)))[target].astype(np.float32)
-        if len(docs) == 0 or share.min() == 0:
-            self.vectors[:] = 0
-            self.bias[:] = (0, 2) if share[1] > share[0] else (2, 0)
-            return self.frozen()
-        params = [self.vectors, self.output, self.bias]
-        first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        rng, step = np.random.default_rng(SEED), 0
-        epochs = max(EPOCHS, STEPS * 64 // len(docs))
-        for epoch in range(epochs):
-            rate = RATE * (1 - epoch / epochs)
-            order = rng.permutation(len(docs))
-            for at in range(0, len(order), 64):
-                chosen = order[at : at + 64]
-                ids = np.concatenate([docs[i][0] for i in chosen])
-                if len(ids) == 0:
-                    continue
-                shares = np.concatenate([docs[i][1] for i in chosen])
-                rows = np.repeat(np.arange(len(chosen)), [len(docs[i][0]) for i in chosen])
-                used, place = np.unique(ids, return_inverse=True)
-                own = [grams[w] for w in used]
-                sizes = np.array([len(g) for g in own])
-                flat = np.concatenate(own)
-                cells, cell = np.unique(flat, return_inverse=True)
-                starts = np.r_[0, np.cumsum(sizes)[:-1]]
-                bag = np.add.reduceat(self.vectors[cells][cell], starts, axis=0) / sizes[:, None]
-                mix = np.zeros((len(chosen), len(used)), np.float32)
-                mix[rows, place] = shares
-                hidden = mix @ bag
-                logits = hidden @ self.output + self.bias
-                p = np.exp(logits - logits.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(chosen)), target[chosen]] -= 1
-                p *= weight[chosen, None] / len(chosen)
-                g_bag = (mix.T @ (p @ self.output.T)) / sizes[:, None]
-                g_flat = np.repeat(g_bag, sizes, axis=0)
-                g_cells = np.stack([np.bincount(cell, weights=g_flat[:, d], minlength=len(cells)) for d in range(WIDTH)], axis=1).astype(np.float32)
-                step += 1
-                for k, (where, grad) in enumerate(((cells, g_cells), (slice(None), hidden.T @ p), (slice(None), p.sum(axis=0)))):
-                    first[k][where] = 0.9 * first[k][where] + 0.1 * grad
-                    second[k][where] = 0.99 * second[k][where] + 0.01 * grad * grad
-                    mean, square = first[k][where] / (1 - 0.9**step), second[k][where] / (1 - 0.99**step)
-                    params[k][where] -= rate * (mean / (np.sqrt(square) + 1e-8) + DECAY * params[k][where] * (k < 2))
-        return self.frozen()
-
-    def frozen(self) -> Softmax:
-        self.numbers = (self.vectors @ (self.output[:, 1] - self.output[:, 0])).astype(np.float64)
-        self.offset = float(self.bias[1] - self.bias[0])
-        return self
-
     def __getstate__(self) -> dict:
         return {"numbers": self.numbers, "offset": self.offset, "_seen": None}
 
