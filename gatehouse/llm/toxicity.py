@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,13 +59,26 @@ class _WordNumbers(dict):
         return known
 
 
-def _flat(bags: list[list[str]], grams: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, text, share) of every subword: a word's are its mean, and a text the mean of its words."""
-    own = [grams[w] for bag in bags for w in bag]
-    many = np.array([len(g) for g in own], np.int64)
-    of = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    sizes = np.repeat([max(1, len(b)) for b in bags], [len(b) for b in bags])
-    return np.concatenate([np.zeros(0, np.int64), *own]), np.repeat(of, many), np.repeat(1 / (many * np.maximum(sizes, 1)), many)
+class _Words:
+    """The distinct words of texts as numbers, and the buckets of each word, in plain arrays."""
+
+    def __init__(self, texts: list[str]):
+        known: dict[str, int] = {}
+        self.bags = [np.array([known.setdefault(w, len(known)) for w in sorted(set(words(t)))], np.int32) for t in texts]
+        own = [np.array(word_buckets(w), np.int32) for w in known]
+        self.sizes = np.array([len(g) for g in own], np.int64)
+        self.starts = np.r_[0, np.cumsum(self.sizes)]
+        self.flat = np.concatenate([np.zeros(0, np.int32), *own])
+
+    def buckets(self, ids: np.ndarray) -> np.ndarray:
+        """The buckets of these words, one after the other."""
+        sizes = self.sizes[ids]
+        return self.flat[np.repeat(self.starts[ids] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())]
+
+    def scores(self, numbers: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Means over the texts' words of the means of their buckets' numbers."""
+        of_word = np.add.reduceat(numbers[self.flat], self.starts[:-1]) / self.sizes if len(self.sizes) else np.zeros(0)
+        return np.array([of_word[self.bags[i]].mean() if len(self.bags[i]) else 0.0 for i in texts])
 
 
 def _softened(numbers: np.ndarray, quantile: float) -> np.ndarray:
@@ -75,7 +87,7 @@ def _softened(numbers: np.ndarray, quantile: float) -> np.ndarray:
     return np.sign(numbers) * np.maximum(0, size - (np.quantile(used, quantile) if quantile and len(used) else 0))
 
 
-def _train(bags: list[list[str]], target: np.ndarray, grams: dict[str, np.ndarray]) -> np.ndarray:
+def _train(known: _Words, texts: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Each bucket's share of the difference of the two outputs: vectors times outputs, trained together.
 
     Small batches, Adam on vectors and outputs; labels weigh the same. SLACK
@@ -85,14 +97,10 @@ def _train(bags: list[list[str]], target: np.ndarray, grams: dict[str, np.ndarra
     rng = np.random.default_rng(SEED)
     vectors = rng.normal(0, 0.01, (BUCKETS, WIDTH)).astype(np.float32)
     output = rng.normal(0, GAIN, (WIDTH, 2)).astype(np.float32)
-    spread = Counter(w for bag in bags for w in bag)
-    vocabulary: dict[str, int] = {}
-    docs = []
-    for bag in bags:
-        # A word of one or two texts tells these texts apart, and nothing else.
-        known = [w for w in bag if spread[w] >= LEAST_TEXTS]
-        docs.append((np.array([vocabulary.setdefault(w, len(vocabulary)) for w in known], np.int64), np.full(len(known), 1 / max(1, len(bag)), np.float32)))
-    own_grams = [grams[w] for w in vocabulary]
+    spread = np.bincount(np.concatenate([known.bags[i] for i in texts]), minlength=len(known.sizes))
+    # A word of one or two texts tells these texts apart, and nothing else.
+    docs = [known.bags[i][spread[known.bags[i]] >= LEAST_TEXTS] for i in texts]
+    shares_of = [1 / max(1, len(known.bags[i])) for i in texts]
     weight = (len(target) / (2 * np.maximum(np.bincount(target, minlength=2), 1)))[target].astype(np.float32)
     params = [vectors, output, np.zeros(2, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -103,16 +111,15 @@ def _train(bags: list[list[str]], target: np.ndarray, grams: dict[str, np.ndarra
         order = rng.permutation(len(docs))
         for at in range(0, len(order), 64):
             chosen = order[at : at + 64]
-            ids = np.concatenate([docs[i][0] for i in chosen])
+            ids = np.concatenate([docs[i] for i in chosen])
             if len(ids) == 0:
                 continue
-            shares = np.concatenate([docs[i][1] for i in chosen])
-            rows = np.repeat(np.arange(len(chosen)), [len(docs[i][0]) for i in chosen])
+            lengths = [len(docs[i]) for i in chosen]
+            shares = np.repeat([shares_of[i] for i in chosen], lengths).astype(np.float32)
+            rows = np.repeat(np.arange(len(chosen)), lengths)
             used, place = np.unique(ids, return_inverse=True)
-            own = [own_grams[w] for w in used]
-            sizes = np.array([len(g) for g in own])
-            flat = np.concatenate(own)
-            cells, cell = np.unique(flat, return_inverse=True)
+            sizes = known.sizes[used]
+            cells, cell = np.unique(known.buckets(used), return_inverse=True)
             touched[cells] = True
             starts = np.r_[0, np.cumsum(sizes)[:-1]]
             bag = np.add.reduceat(vectors[cells][cell], starts, axis=0) / sizes[:, None]
@@ -162,21 +169,18 @@ class Softmax:
             self.offset = 0.0 if not len(y) else 4.0 * np.sign(2 * np.mean(y) - 1)
             self.offset = self.offset or -4.0
             return self
-        bags = [sorted(set(words(t))) for t in texts]
-        grams = {w: np.array(word_buckets(w), np.int64) for w in set().union(*bags)}
+        known = _Words(texts)
         fold = np.empty(len(y), np.int64)
         for label in (0, 1):
             of_label = np.flatnonzero(y == label)
             fold[of_label] = np.arange(len(of_label)) % folds
-        trained = [_train([bags[i] for i in np.flatnonzero(fold != k)], y[fold != k], grams) for k in range(folds)]
-        kept = [_flat([bags[i] for i in np.flatnonzero(fold == k)], grams) for k in range(folds)]
+        trained = [_train(known, np.flatnonzero(fold != k), y[fold != k]) for k in range(folds)]
         best = None
         for quantile in QUANTILES:
             cut = [_softened(v, quantile) for v in trained]
             x, ranked = np.zeros(len(y)), 0.0
-            for k, (flat, owner, scale) in enumerate(kept):
-                own = np.bincount(owner, weights=cut[k][flat] * scale, minlength=int((fold == k).sum()))
-                x[fold == k] = own
+            for k in range(folds):
+                own = x[fold == k] = known.scores(cut[k], np.flatnonzero(fold == k))
                 ranks = np.argsort(np.argsort(own, kind="stable"), kind="stable")
                 ranked += float(ranks[y[fold == k] == 1].mean() - ranks[y[fold == k] == 0].mean()) / len(own)
             if best is None or ranked > best[0]:

@@ -1,5 +1,7 @@
 """Language ID, toxicity: held-out accuracy, edge rows, the parse against brute force."""
 
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -83,6 +85,27 @@ def test_op5_held_out(spark):
     assert np.mean([r["toxic"] == r["predicted"] for r in out]) > 0.9
 
 
+def test_scores_equal_brute_force():
+    """A text's score by the definition: the mean over its distinct words of the means of their subwords' numbers, through the logistic function."""
+    rng = np.random.default_rng(1)
+    model = toxicity.Softmax()
+    model.numbers, model.offset = rng.normal(size=toxicity.BUCKETS) * 9, 0.3
+    texts = ["One two, TWO three!", "", None, "...", "thrée " * 9, "a b c d"]
+    for text in texts:
+        total, seen = 0.0, []
+        for word in (text or "").lower().split():
+            word = word.strip("!,.")
+            if word and word not in seen:
+                seen.append(word)
+                marked = "<" + word + ">"
+                grams = {marked} | {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked)) if i + n <= len(marked)}
+                total += sum(model.numbers[zlib.crc32(g.encode()) % toxicity.BUCKETS] for g in grams) / len(grams)
+        want = 1 / (1 + np.exp(-(total / max(1, len(seen)) + 0.3)))
+        assert np.isclose(model.score(text), want)
+    known = toxicity._Words([t or "" for t in texts])
+    assert np.allclose(1 / (1 + np.exp(-(known.scores(model.numbers, np.arange(6)) + 0.3))), [model.score(t) for t in texts])
+
+
 def test_toxicity_shares_subwords_and_edge_rows(spark):
     rng = np.random.default_rng(0)
     calm = [f"word{i}" for i in range(200)]
