@@ -54,7 +54,8 @@ def intern_policies(entries: DataFrame, known: DataFrame | None = None) -> DataF
     first = 0
     if known is not None:
         found = found.join(known.select("policy_key"), "policy_key", "left_anti")
-        first = (known.agg(F.max("policy_id")).first()[0] or -1) + 1
+        last = known.agg(F.max("policy_id")).first()[0]
+        first = 0 if last is None else last + 1
     numbered = found.withColumn("policy_id", (F.row_number().over(Window.orderBy("policy_key")) - 1 + first).cast("long")).select("policy_id", "policy_key", "grants", "denies")
     return numbered if known is None else known.select("policy_id", "policy_key", "grants", "denies").unionByName(numbered)
 
@@ -75,6 +76,7 @@ class VectorIndex:
     codes: DataFrame
     policies: DataFrame
     quant: DataFrame
+    bytes_on_disk: int = 0
 
     @classmethod
     def build(cls, entries: DataFrame) -> VectorIndex:
@@ -83,6 +85,16 @@ class VectorIndex:
         quant = fit_entries(entries)
         return cls(encode_entries(entries, policies, quant), policies, quant)
 
+    def validate(self, chunks: int | None = None) -> VectorIndex:
+        """Raises if codes aren't of the fitted dimension, name no stored policy, repeat a chunk, or aren't as many as ``chunks``."""
+        q = self.quant.first()
+        words = 0 if q is None else -(-q["dimension"] // 64)
+        wrong = (F.size("i8") != (q["dimension"] if q else 0)) | (F.size("bin") != words)
+        n, bad, ids = self.codes.agg(F.count("*"), F.count_if(wrong), F.count_distinct("chunk_id")).first()
+        if bad or ids != n or chunks is not None and chunks != n or not self.codes.join(self.policies, "policy_id", "left_anti").isEmpty():
+            raise VectorIndexError("the index doesn't fit its dimension, its policies or its chunks")
+        return self
+
     def permitted(self, permissions: Iterable[str]) -> DataFrame:
         """The codes of the rows that the permissions admit."""
         admitted = self.policies.where(policy.admits("grants", "denies", permissions)).select("policy_id")
@@ -110,11 +122,11 @@ class VectorIndex:
         score = vectors.rescore("i8", vectors.literal(weights), bias)
         return near.select("chunk_id", "document_id", score.alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
 
-    def stats(self, file_bytes: dict[str, int]) -> DataFrame:
+    def stats(self) -> DataFrame:
         """One row: rows, policies, principals, bytes and bytes per chunk (0 if empty)."""
         rows = self.codes.agg(F.count("*").alias("chunks"))
         named = self.policies.select(F.explode(F.concat("grants", "denies")).alias("p")).agg(F.count_distinct("p").alias("principals"))
-        total = sum(file_bytes.values())
+        total = self.bytes_on_disk
         return rows.crossJoin(self.policies.agg(F.count("*").alias("policies"))).crossJoin(named).withColumns({"bytes_on_disk": F.lit(total).cast("long"), "bytes_per_chunk": F.coalesce(F.try_divide(F.lit(float(total)), F.col("chunks")), F.lit(0.0))})
 
 
@@ -132,22 +144,54 @@ def exact_top_k(rows: DataFrame, query: Column, k: int, *, key: str = "vec_id",
     return rows.select(key, vectors.dot(vector, query).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def batch_search(codes: DataFrame, queries: DataFrame, k: int, *, candidates: int, key: str = "chunk_id") -> DataFrame:
-    """Search for many queries, each under its own permissions: query_id, rank, key, score.
+#: Rows of a block that meets every query of a batch in a task.
+BLOCK_ROWS = 65_536
+
 
-    codes: key, grants, denies, bin, i8. queries: query_id, permissions, bin,
-    weights, bias; a bounded batch, so it is broadcast and each task scores its
-    rows for all of them. Spark keeps the best rows of a query in each task
-    before the shuffle, for either stage.
+def in_blocks(rows: DataFrame, queries: DataFrame, key: str, on: Column | None = None) -> DataFrame:
+    """Every row with every query (``on``: that also fits): rows are dealt into blocks, and queries copied to each block.
+
+    A join on the block's number, so neither side is broadcast or held whole.
+    """
+    spark = rows.sparkSession
+    blocks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // BLOCK_ROWS))
+    dealt = rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
+    copied = queries.withColumn("_of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    fits = F.col("_block") == F.col("_of")
+    return dealt.join(copied, fits if on is None else fits & on).drop("_block", "_of")
+
+
+def folded(queries: DataFrame, quant: DataFrame, vector: str = "vector") -> DataFrame:
+    """Queries with bin, weights and bias, so that an inner product with codes needs no decoding; quant is one row."""
+    q = queries.join(F.broadcast(quant.select("minimum", "scale")))
+    weights = F.zip_with(vector, "scale", lambda x, s: x.cast("double") * s / 255.0)
+    parts = F.zip_with(vector, F.zip_with("scale", "minimum", lambda s, m: 128.0 * s / 255.0 + m), lambda x, y: x.cast("double") * y)
+    bias = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+    return q.withColumns({"bin": vectors.binarize(vector), "weights": weights, "bias": bias}).drop("minimum", "scale")
+
+
+def batch_search(index: VectorIndex, queries: DataFrame, k: int, *, candidates: int) -> DataFrame:
+    """Search for many queries, each under its own permissions: query_id, rank, chunk_id, score.
+
+    queries: query_id, permissions, vector. The few policies are matched with
+    the distinct permission sets first; the ids that any set admits are pushed
+    into the scan of the codes, and a code meets the queries that admit its
+    policy (`in_blocks`). For either stage Spark keeps the best rows of a query
+    in each task before the shuffle.
     """
-    asked = queries.select("query_id", "permissions", F.col("bin").alias("_qbin"), "weights", "bias")
-    met = codes.join(F.broadcast(asked), policy.admits("grants", "denies", F.col("permissions")))
-    near = met.select("query_id", key, "i8", "weights", "bias", vectors.hamming("bin", "_qbin").alias("_far"))
-    first = Window.partitionBy("query_id").orderBy("_far", key)
+    asked = folded(queries.withColumns({"vector": vectors.l2_normalize("vector"), "held": policy.ids("permissions")}), index.quant)
+    held = asked.select("held").distinct()
+    admitted = held.join(index.policies, policy.admits("grants", "denies", F.col("held"))).groupBy("held").agg(F.collect_list("policy_id").alias("admitted"))
+    few = [r[0] for r in admitted.select(F.explode("admitted").alias("p")).distinct().limit(LISTED_POLICIES + 1).collect()]
+    codes = index.codes.where(F.col("policy_id").isin(few)) if few and len(few) <= LISTED_POLICIES else index.codes if few else index.codes.limit(0)
+    asked = asked.join(admitted, "held").select("query_id", "admitted", F.col("bin").alias("_qbin"), "weights", "bias")
+    met = in_blocks(codes.select("chunk_id", "policy_id", "bin", "i8"), asked, "chunk_id", F.array_contains("admitted", F.col("policy_id")))
+    near = met.select("query_id", "chunk_id", "i8", "weights", "bias", vectors.hamming("bin", "_qbin").alias("_far"))
+    first = Window.partitionBy("query_id").orderBy("_far", "chunk_id")
     near = near.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= candidates)
-    scored = near.select("query_id", key, (vectors.dot("i8", "weights") + F.col("bias")).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    scored = near.select("query_id", "chunk_id", vectors.rescore("i8", "weights", F.col("bias")).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
 def recall_at_k(exact: DataFrame, found: DataFrame, k: int, *, key: str = "vec_id") -> DataFrame:

@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import InvalidDocumentError
 from ..functions import policy, text
 from ..plans.tables import Tables
 from ..schemas import CHUNKS, DOCUMENTS
 from . import index as ix
-from .store import changed_only, last_version, replace_documents, with_fingerprints
+from .store import changed_only, last_version, with_fingerprints
 
 #: (documents with columns chunk_id and text) -> (chunk_id, vector array<float>)
 EmbedChunks = Callable[[DataFrame], DataFrame]
@@ -58,7 +59,8 @@ def ingest(tables: Tables, raw: DataFrame, embed: EmbedChunks, *, rules: text.Ch
     # Without a sequence any row of a document may be the last; the choice by hash is repeatable.
     last = last_version(fine.withColumn("_seq", F.col(seq) if seq else F.lit(0)), ["document_id"], "_seq").drop("_seq")
     incoming = with_fingerprints(last).select(DOCUMENTS.names)
-    old = tables.read()
+    at = tables.current()
+    old = tables.read(at)
     new = tables.stage("incoming", changed_only(incoming, old["documents"]) if old else incoming)
     gone = None
     if prune and old:
@@ -66,10 +68,12 @@ def ingest(tables: Tables, raw: DataFrame, embed: EmbedChunks, *, rules: text.Ch
     n = new.count()
     unchanged = last.count() - n
     if n == 0 and (gone is None or gone.isEmpty()):
-        return Report(0, 0, unchanged, bad, tables.current() or 0)
+        return Report(0, 0, unchanged, bad, at or 0)
     chunks = tables.stage("chunks_in", chunk_documents(new, rules))
     entries = tables.stage("entries_in", chunks.join(embed(chunks.select("chunk_id", "text")), "chunk_id").select("chunk_id", "document_id", "vector", "grants", "denies"))
-    count = chunks.count()
+    count, wrong = chunks.agg(F.count("*"), F.count_if(~valid_span())).first()
+    if wrong:
+        raise InvalidDocumentError("a chunk's span doesn't fit its text")
     policies = ix.intern_policies(entries, old["policies"] if old else None)
     out = {"policies": tables.stage("policies_in", policies)}
     if old and not old["quant"].isEmpty():
@@ -77,28 +81,24 @@ def ingest(tables: Tables, raw: DataFrame, embed: EmbedChunks, *, rules: text.Ch
     elif count:
         out["quant"] = tables.stage("quant_in", ix.fit_entries(entries))
     codes = ix.encode_entries(entries, out["policies"], out["quant"]) if count else None
-    fresh = {"documents": new, "chunks": chunks, "index": codes}
-    for name, rows in fresh.items():
-        stored = old[name] if old else None
-        if stored is not None and gone is not None:
-            stored = stored.join(gone, "document_id", "left_anti")
-        if stored is None:
-            out[name] = rows if rows is not None else tables.empty(name)
-        elif rows is None:
-            out[name] = stored.join(new.select("document_id"), "document_id", "left_anti")
-        else:
-            out[name] = replace_documents(stored, rows, documents=new)
-    return Report(n, count, unchanged, bad, tables.publish(out))
+    ended = new.select("document_id") if gone is None else new.select("document_id").unionByName(gone)
+    return Report(n, count, unchanged, bad, tables.publish({**out, "documents": new, "chunks": chunks, "index": codes}, ended, after=at))
+
+
+def valid_span() -> Column:
+    """Whether a chunk's span is one: it starts within the document, ends after its start, and is as long as its text."""
+    return F.coalesce((F.col("span_start") >= 0) & (F.col("span_end") > F.col("span_start")) & (F.length("text") == F.col("span_end") - F.col("span_start")), F.lit(False))
 
 
 def refit(tables: Tables, embed: EmbedChunks) -> int:
     """New int8 ranges and codes from the stored chunks; returns the version."""
-    now = tables.read()
+    at = tables.current()
+    now = tables.read(at)
     vectors = embed(now["chunks"].select("chunk_id", "text"))
     entries = tables.stage("entries_in", now["chunks"].join(vectors, "chunk_id").select("chunk_id", "document_id", "vector", "grants", "denies"))
     policies = tables.stage("policies_in", ix.intern_policies(entries))
     quant = tables.stage("quant_in", ix.fit_entries(entries))
-    return tables.publish({**now, "policies": policies, "quant": quant, "index": ix.encode_entries(entries, policies, quant)})
+    return tables.publish({**now, "policies": policies, "quant": quant, "index": ix.encode_entries(entries, policies, quant)}, after=at, anew=True)
 
 
 def local_embedder(dimension: int) -> EmbedChunks:

@@ -7,6 +7,7 @@ customers are members of nations, nations of regions, regions of staff.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,8 +17,11 @@ from .functions import policy, text, vectors
 from .operators import index as ix
 from .operators import ingest as ing
 from .operators import metrics, simulate, store
+from .operators.index import VectorIndex
 from .operators.retrieve import rank_chunks
+from .plans.tables import Tables, shared_folder
 from .principals import effective_principals, whoami
+from .schemas import RAW
 from .service.identity import header_groups
 from .sources.drive import PERMISSIONS, grants_of
 from .sources.filesystem import nearest_rules
@@ -25,8 +29,8 @@ from .streaming.acl_cache import replay_log
 
 CALLERS = {"c1": ["everyone", "team1", "u1"], "c2": ["contractors", "everyone", "team3", "u2"], "c3": [], "c4": ["u3"]}
 READER = ["everyone", "lang:en", "u1"]
-#: The query vectors: embeddings of these ids.
-QUERY_IDS = (0, 1, 2, 3, 4)
+#: The query vectors: embeddings whose id is divisible by this.
+EVERY = 100
 DIMENSION = 64
 WINDOW = 1000
 SQL: dict[str, str] = {}
@@ -285,16 +289,13 @@ def vec_binarize(spark, sf_dir):
     return entries(spark, sf_dir).select("vec_id", F.element_at(vectors.binarize("vector"), 1).alias("code"))
 
 
-ASKED = "(" + ", ".join(map(str, QUERY_IDS)) + ")"
-
-
 @query(f"""WITH {ENTRIES}, {BITS} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, far FROM (
     SELECT q.vec_id AS query_id, c.vec_id, CAST(bit_count(xor(q.bin, c.bin)) AS INTEGER) AS far, row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.bin, c.bin)), c.vec_id) AS rank
-    FROM bits q JOIN bits c ON q.vec_id IN {ASKED}) WHERE rank <= 10""")
+    FROM bits q JOIN bits c ON q.vec_id % {EVERY} = 0) WHERE rank <= 10""")
 def vec_hamming_topk(spark, sf_dir):
     bits = entries(spark, sf_dir).select("vec_id", vectors.binarize("vector").alias("bin"))
-    asked = bits.where(F.col("vec_id").isin(*QUERY_IDS)).select(F.col("vec_id").alias("query_id"), F.col("bin").alias("q"))
-    far = bits.join(F.broadcast(asked)).select("query_id", "vec_id", vectors.hamming("bin", "q").alias("far"))
+    asked = bits.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("bin").alias("q"))
+    far = ix.in_blocks(bits, asked, "vec_id").select("query_id", "vec_id", vectors.hamming("bin", "q").alias("far"))
     best = Window.partitionBy("query_id").orderBy("far", "vec_id")
     return far.withColumn("rank", F.row_number().over(best)).where("rank <= 10")
 
@@ -312,63 +313,63 @@ def quant_fit(spark, sf_dir):
 CODES = f"{FIT}, codes AS (SELECT vec_id, grants, denies, list_transform(range(1, {DIMENSION + 1}), lambda i: greatest(-128, least(127, round_even((vector[i] - minimum[i]) / scale[i] * 255, 0) - 128))) AS i8, minimum, scale FROM entries, q)"
 
 
-def coded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries with their codes i8, and the ranges minimum and scale (one row, hence the broadcast)."""
     rows = entries(spark, sf_dir)
-    q = ix.fit_int8(rows, dimension=DIMENSION).first().asDict()
-    return rows.withColumn("i8", vectors.int8_encode("vector", vectors.literal(q["minimum"]), vectors.literal(q["scale"]))), q
+    q = ix.fit_int8(rows, dimension=DIMENSION)
+    return rows.join(F.broadcast(q)).withColumn("i8", vectors.int8_encode("vector", "minimum", "scale"))
 
 
 @query(f"WITH {ENTRIES}, {CODES} SELECT vec_id, CAST(i AS INTEGER) AS dim, CAST(i8[i] AS INTEGER) AS code FROM codes, range(1, {DIMENSION + 1}) AS t(i)")
 def quant_encode(spark, sf_dir):
-    rows, _ = coded(spark, sf_dir)
-    return rows.select("vec_id", F.posexplode("i8").alias("p", "c")).select("vec_id", (F.col("p") + 1).alias("dim"), F.col("c").cast("int").alias("code"))
+    return coded(spark, sf_dir).select("vec_id", F.posexplode("i8").alias("p", "c")).select("vec_id", (F.col("p") + 1).alias("dim"), F.col("c").cast("int").alias("code"))
 
 
 @query(f"WITH {ENTRIES}, {CODES} SELECT vec_id, CAST(i AS INTEGER) AS dim, round((i8[i] + 128) / 255.0 * scale[i] + minimum[i], 9) AS value FROM codes, range(1, {DIMENSION + 1}) AS t(i)")
 def quant_decode(spark, sf_dir):
-    rows, q = coded(spark, sf_dir)
-    back = vectors.int8_decode("i8", vectors.literal(q["minimum"]), vectors.literal(q["scale"]))
-    return rows.select("vec_id", F.posexplode(back).alias("p", "x")).select("vec_id", (F.col("p") + 1).alias("dim"), F.round("x", 9).alias("value"))
+    return coded(spark, sf_dir).select("vec_id", F.posexplode(vectors.int8_decode("i8", "minimum", "scale")).alias("p", "x")).select("vec_id", (F.col("p") + 1).alias("dim"), F.round("x", 9).alias("value"))
 
 
 DECODED = f"list_inner_product(list_transform(range(1, {DIMENSION + 1}), lambda i: (c.i8[i] + 128) / 255.0 * c.scale[i] + c.minimum[i]), a.vector)"
 
 
-@query(f"WITH {ENTRIES}, {CODES} SELECT a.vec_id AS query_id, c.vec_id, round({DECODED}, 6) AS score FROM codes c JOIN entries a ON a.vec_id IN {ASKED}")
+@query(f"WITH {ENTRIES}, {CODES} SELECT a.vec_id AS query_id, c.vec_id, round({DECODED}, 6) AS score FROM codes c JOIN entries a ON a.vec_id % {EVERY} = 0")
 def quant_rescore(spark, sf_dir):
-    rows, q = coded(spark, sf_dir)
-    asked = asked_queries(spark, sf_dir, q).drop("permissions").distinct()
-    both = rows.select("vec_id", "i8").join(F.broadcast(asked))
+    """Every code against every query vector."""
+    rows = entries(spark, sf_dir)
+    asked = ix.folded(asked_vectors(rows), ix.fit_int8(rows, dimension=DIMENSION)).select("query_id", "weights", "bias")
+    both = ix.in_blocks(coded(spark, sf_dir).select("vec_id", "i8"), asked, "vec_id")
     return both.select("query_id", "vec_id", F.round(vectors.rescore("i8", "weights", F.col("bias")), 6).alias("score"))
 
 
-def asked_queries(spark: SparkSession, sf_dir: str, q: dict, callers: dict | None = None) -> DataFrame:
-    """The batch of query vectors, folded, for each caller: query_id (as text with a caller), permissions, bin, weights, bias."""
-    asked = entries(spark, sf_dir).where(F.col("vec_id").isin(*QUERY_IDS)).select("vec_id", "vector").collect()
-    rows = []
-    for r in asked:
-        weights, bias = vectors.fold_query(r["vector"], q["minimum"], q["scale"])
-        for c, p in (callers or {"": []}).items():
-            rows.append((r["vec_id"], c, p, ix.binary_words(r["vector"]), weights, bias))
-    out = spark.createDataFrame(rows, "vec_id long, caller string, permissions array<string>, bin array<long>, weights array<double>, bias double")
-    return out.withColumn("query_id", F.concat("vec_id", F.lit("/"), "caller") if callers else F.col("vec_id")).drop("vec_id", "caller")
+def asked_vectors(rows: DataFrame) -> DataFrame:
+    """The query set: query_id, vector."""
+    return rows.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "vector")
 
 
 @query(f"""WITH {ENTRIES} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
-    SELECT a.vec_id AS query_id, c.vec_id, list_inner_product(c.vector, a.vector) AS score FROM entries c JOIN entries a ON a.vec_id IN {ASKED})) WHERE rank <= 10""")
+    SELECT a.vec_id AS query_id, c.vec_id, list_inner_product(c.vector, a.vector) AS score FROM entries c JOIN entries a ON a.vec_id % {EVERY} = 0)) WHERE rank <= 10""")
 def exact_topk(spark, sf_dir):
     rows = entries(spark, sf_dir).select("vec_id", "vector")
-    asked = rows.where(F.col("vec_id").isin(*QUERY_IDS)).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q"))
-    scored = rows.join(F.broadcast(asked)).select("query_id", "vec_id", vectors.dot("vector", "q").alias("score"))
+    return best_exact(rows, asked_vectors(rows)).withColumn("score", F.round("score", 6))
+
+
+def best_exact(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    scored = ix.in_blocks(rows, asked.withColumnRenamed("vector", "q"), "vec_id").select("query_id", "vec_id", vectors.dot("vector", "q").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 10").withColumn("score", F.round("score", 6))
+    return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 10")
+
+
+#: The index holds normalised vectors.
+UNITS = ENTRIES.replace("entries AS", "plain AS") + """, entries AS (SELECT vec_id, grants, denies, list_transform(vector, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END) AS vector
+    FROM (SELECT *, sqrt(list_sum(list_transform(vector, lambda x: x * x))) AS n FROM plain))"""
 
 
 def _search_sql(kept: int, k: int, who: str, end: str) -> str:
     """Two stages for every (query, caller) of ``who``."""
-    return f"""WITH {ENTRIES}, {BITS}, {CODES}, {CALLER_ROWS},
-    asked AS (SELECT b.vec_id, b.bin, b.vector, caller, perms FROM bits b CROSS JOIN callers WHERE b.vec_id IN {ASKED} AND {who}),
+    return f"""WITH {UNITS}, {BITS}, {CODES}, {CALLER_ROWS},
+    asked AS (SELECT b.vec_id, b.bin, b.vector, caller, perms FROM bits b CROSS JOIN callers WHERE b.vec_id % {EVERY} = 0 AND {who}),
     near AS (SELECT * FROM (SELECT a.vec_id AS query, a.caller, a.vector, b.vec_id, row_number() OVER (PARTITION BY a.vec_id, a.caller ORDER BY bit_count(xor(a.bin, b.bin)), b.vec_id) AS n
         FROM asked a JOIN bits b ON list_has_any(b.grants, a.perms) AND NOT list_has_any(b.denies, a.perms)) WHERE n <= {kept}),
     scored AS (SELECT a.query, a.caller, c.vec_id, {DECODED} AS score FROM near a JOIN codes c ON c.vec_id = a.vec_id),
@@ -376,11 +377,33 @@ def _search_sql(kept: int, k: int, who: str, end: str) -> str:
     {end.format(k=k)}"""
 
 
+_STORED: dict[tuple[str, str], VectorIndex] = {}
+
+
+def chunk_of(vec_id: Column | str) -> Column:
+    """The chunk id of a vector, in the order of the vectors' ids."""
+    return F.lpad(F.col(vec_id).cast("string") if isinstance(vec_id, str) else vec_id, 12, "0")
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The index of the embeddings, built, published and validated once in an application, and read from its tables."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _STORED:
+        tables = Tables(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+        made = ix.VectorIndex.build(entries(spark, sf_dir).select(chunk_of("vec_id").alias("chunk_id"), F.lit("embeddings").alias("document_id"), "vector", "grants", "denies"))
+        tables.publish({"index": made.codes, "policies": made.policies, "quant": made.quant})
+        now = tables.read()
+        _STORED[at] = ix.VectorIndex(now["index"], now["policies"], now["quant"], tables.bytes_of("index")).validate()
+    return _STORED[at]
+
+
 def _searched(spark: SparkSession, sf_dir: str, callers: dict, k: int, kept: int) -> DataFrame:
-    rows, q = coded(spark, sf_dir)
-    rows = rows.withColumn("bin", vectors.binarize("vector"))
-    found = ix.batch_search(rows, asked_queries(spark, sf_dir, q, callers), k, candidates=kept, key="vec_id")
-    return found.withColumn("score", F.round("score", 6))
+    """The query set for each caller, against the stored index: query_id (vec_id/caller), rank, vec_id, score."""
+    them = F.explode(F.array(*[F.struct(F.lit(c).alias("caller"), policy.ids(p).alias("permissions")) for c, p in callers.items()]))
+    asked = asked_vectors(entries(spark, sf_dir)).withColumn("c", them)
+    asked = asked.select(F.concat("query_id", F.lit("/"), "c.caller").alias("query_id"), "c.permissions", "vector")
+    found = ix.batch_search(stored_index(spark, sf_dir), asked, k, candidates=kept)
+    return found.select("query_id", "rank", F.col("chunk_id").cast("long").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 ONE = "SELECT CAST(query AS VARCHAR) || '/' || caller AS query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM ranked WHERE rank <= {k}"
@@ -403,17 +426,15 @@ def batch_scoped_search(spark, sf_dir):
     return _searched(spark, sf_dir, CALLERS, 10, 40)
 
 
-@query(_search_sql(40, 10, "caller = 'c1'", """, exact AS (SELECT query, vec_id FROM (SELECT a.vec_id AS query, e.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(e.vector, a.vector) DESC, e.vec_id) AS n
+@query(_search_sql(640, 10, "caller = 'c1'", """, exact AS (SELECT query, vec_id FROM (SELECT a.vec_id AS query, e.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(e.vector, a.vector) DESC, e.vec_id) AS n
     FROM asked a JOIN entries e ON list_has_any(e.grants, a.perms) AND NOT list_has_any(e.denies, a.perms)) WHERE n <= {k})
     SELECT CAST(count(DISTINCT x.query) AS BIGINT) AS queries, count(r.vec_id) AS hits, round(count(r.vec_id) / (count(DISTINCT x.query) * {k}.0), 9) AS recall FROM exact x LEFT JOIN ranked r ON r.query = x.query AND r.vec_id = x.vec_id AND r.rank <= {k}"""))
 def recall_at_k(spark, sf_dir):
-    found = _searched(spark, sf_dir, {"c1": CALLERS["c1"]}, 10, 40).withColumn("query_id", F.split("query_id", "/")[0].cast("long"))
-    mine = entries(spark, sf_dir)
-    asked = mine.where(F.col("vec_id").isin(*QUERY_IDS)).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q"))
-    scored = mine.where(policy.admits("grants", "denies", CALLERS["c1"])).join(F.broadcast(asked)).select("query_id", "vec_id", vectors.dot("vector", "q").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    exact = scored.withColumn("n", F.row_number().over(best)).where("n <= 10")
-    return ix.recall_at_k(exact, found, 10).withColumn("recall", F.round("recall", 9))
+    """Recall at 10 of the flagship's setting (64 candidates for each row wanted) over the query set, against brute force."""
+    found = _searched(spark, sf_dir, {"c1": CALLERS["c1"]}, 10, 640).withColumn("query_id", F.split("query_id", "/")[0].cast("long"))
+    rows = entries(spark, sf_dir)
+    mine = rows.where(policy.admits("grants", "denies", CALLERS["c1"])).select("vec_id", "vector")
+    return ix.recall_at_k(best_exact(mine, asked_vectors(rows)), found, 10).withColumn("recall", F.round("recall", 9))
 
 
 @query(f"""WITH {WINDOWS}, hits AS (SELECT 'doc:' || lpad(CAST(vec_id AS VARCHAR), 9, '0') || '#0' AS chunk_id, list_inner_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS score, vec_id FROM embeddings ORDER BY score DESC, vec_id LIMIT 40),
@@ -532,11 +553,27 @@ def id_validation(spark, sf_dir):
 
 
 @query(f"""WITH {ENTRIES} SELECT (SELECT count(*) FROM entries) AS chunks, (SELECT count(*) FROM (SELECT DISTINCT grants, denies FROM entries)) AS policies,
-    (SELECT count(DISTINCT p) FROM (SELECT unnest(list_concat(grants, denies)) AS p FROM entries)) AS principals, CAST(sum(8 + {DIMENSION}) AS BIGINT) AS bytes_on_disk, CAST({8 + DIMENSION} AS DOUBLE) AS bytes_per_chunk FROM entries""")
+    (SELECT count(DISTINCT p) FROM (SELECT unnest(list_concat(grants, denies)) AS p FROM entries)) AS principals""")
 def index_stats(spark, sf_dir):
-    """Counts of an index, with the size of the codes alone (8 bytes of bits, one byte a dimension) as its files."""
-    rows = entries(spark, sf_dir)
-    return ix.VectorIndex(rows, ix.intern_policies(rows), rows.limit(0)).stats({"codes": rows.count() * (8 + DIMENSION)})
+    return stored_index(spark, sf_dir).stats().select("chunks", "policies", "principals")
+
+
+@query()
+def index_bytes(spark, sf_dir):
+    """The bytes of the stored index's files, in all and for each chunk."""
+    return stored_index(spark, sf_dir).stats().select("bytes_on_disk", "bytes_per_chunk")
+
+
+@query(f"WITH {STORED}, p AS (SELECT {_list(READER)} AS perms) SELECT document_id FROM stored, p WHERE {ADMITS} AND regexp_matches(text, '\\S')")
+def ingest_two_versions(spark, sf_dir):
+    """Documents that a reader finds in the index, after those without any grant were ingested first (one policy), and then all."""
+    docs = stored(spark, sf_dir).select(RAW.names)
+    tables = Tables(spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}")
+    for some in (docs.where("size(grants) = 0 AND size(denies) = 0"), docs):
+        ing.ingest(tables, some, ing.local_embedder(DIMENSION))
+    now = tables.read()
+    index = ix.VectorIndex(now["index"], now["policies"], now["quant"]).validate(now["chunks"].count())
+    return index.permitted(READER).select("document_id").distinct()
 
 
 @query("""SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99,

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from ..errors import InvalidRequestError
 from ..functions import text
@@ -14,7 +13,7 @@ from ..operators.retrieve import Request, Result, Retriever
 from ..operators.simulate import simulate
 from ..plans.tables import Tables
 from ..principals import Groups, Principal
-from ..streaming.acl_cache import PermissionCache
+from ..streaming.acl_cache import EpochCache
 from .identity import identity
 from .settings import Settings
 
@@ -26,7 +25,7 @@ class Api:
         self.spark, self.settings, self.rerank = spark, settings, rerank
         self.tables = Tables(spark, settings.root)
         groups = Groups.from_file(settings.groups_file) if settings.groups_file else Groups()
-        self.cache = PermissionCache(groups.resolve, ttl=settings.acl_ttl_seconds)
+        self.cache = EpochCache(groups.resolve, ttl=settings.acl_ttl_seconds)
 
     def embed(self, query: str) -> list[float]:
         row = self.spark.createDataFrame([("q", query)], "id string, text string")
@@ -36,7 +35,7 @@ class Api:
         now = self.tables.read()
         if not now:
             return None
-        return Retriever(self.cache.resolve, self.embed, VectorIndex(now["index"], now["policies"], now["quant"]), now["chunks"], now["documents"], self.rerank)
+        return Retriever(self.cache, self.embed, VectorIndex(now["index"], now["policies"], now["quant"]), now["chunks"], now["documents"], self.rerank)
 
     def retrieve(self, headers: Mapping[str, str], query: str, k: int = 10) -> dict:
         """The caller's best chunks, cited. The identity comes from the headers alone."""
@@ -52,7 +51,7 @@ class Api:
 
     def whoami(self, headers: Mapping[str, str]) -> dict:
         who = identity(headers)
-        return {"principal": who.id, "groups": sorted(who.groups), "effective": sorted(self.cache.resolve(who))}
+        return {"principal": who.id, "groups": sorted(who.groups), "effective": sorted(self.cache(who))}
 
     def health(self) -> dict:
         now = self.tables.read()
@@ -62,16 +61,14 @@ class Api:
         now = self.tables.read()
         if not now:
             return {"chunks": 0, "policies": 0, "principals": 0, "bytes_on_disk": 0, "bytes_per_chunk": 0.0}
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.settings.root}/v={self.tables.current()}/index").select("path", "length").groupBy("path").agg(F.sum("length").alias("n"))
-        total = files.agg(F.sum("n")).first()[0] or 0
-        return VectorIndex(now["index"], now["policies"], now["quant"]).stats({"index": total}).first().asDict()
+        return VectorIndex(now["index"], now["policies"], now["quant"], self.tables.bytes_of("index")).stats().first().asDict()
 
     def simulate(self, principal: str, groups: list[str], query: str | None = None, k: int = 10, limit: int = 500) -> dict:
         """Decisions over the listed documents as any principal, and a real query under the same permissions."""
         if query is not None and query and not query.strip():
             raise InvalidRequestError("the query is blank")
         who = Principal.of(principal, *groups)
-        permissions = self.cache.resolve(who)
+        permissions = self.cache(who)
         now = self.tables.read()
         rows = [r.asDict() for r in simulate(now["documents"], permissions, limit).collect()] if now else []
         results = self._answer(Request(who, query, k), permissions).payload() if query else None
@@ -79,11 +76,6 @@ class Api:
 
     def invalidate(self, *, principal: str | None = None, group: str | None = None, everything: bool = False) -> None:
         """All before principal before group; one of them must be given."""
-        if everything:
-            self.cache.invalidate_all()
-        elif principal:
-            self.cache.invalidate(principal)
-        elif group:
-            self.cache.invalidate_group(group)
-        else:
+        if not (everything or principal or group):
             raise InvalidRequestError("nothing to invalidate")
+        self.cache.signal(*(("all", "") if everything else ("principal", principal) if principal else ("group", group)))

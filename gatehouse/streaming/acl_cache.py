@@ -1,90 +1,103 @@
-"""The permission cache: on the driver for requests, as state per user for a log of memberships."""
+"""Cached permissions: for requests on the driver, and replayed over a log of memberships, as batch and as stream."""
 
 from __future__ import annotations
 
 import time
-from collections import OrderedDict
+from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import AclResolutionError
 from ..principals import Principal
 
+#: A signal of this subject concerns everyone.
+ALL = ("all", "")
 
-@dataclass
-class CacheStats:
-    hits: int = 0
-    misses: int = 0
-    errors: int = 0
-    evictions: int = 0
-    size: int = 0
 
+class EpochCache:
+    """Permissions that were resolved less than ``ttl`` seconds ago and not signalled since.
 
-class PermissionCache:
-    """Resolved permissions by (id, forwarded groups), for ``ttl`` seconds from the time they were fetched.
-
-    Use doesn't prolong an entry. If the resolver fails, the entry goes and the
-    answer is the empty set. A revocation must be signalled by one of the
-    invalidations; without a signal it takes effect after the ttl at the latest.
+    Signals are counted by subject (a principal, a group, all). A fetch keeps
+    the counts of its subjects, as the replay below keeps its epoch, and what is
+    kept is good while none of them has risen. So a signal costs one addition,
+    however many permissions are held. If they can't be resolved, nobody is
+    anything: the answer is the empty set. Without a signal, a revocation takes
+    effect after the ttl. Over ``most`` principals, those fetched first go.
     """
 
-    def __init__(self, resolve: Callable[[Principal], frozenset[str]], *, clock: Callable[[], float] = time.monotonic, ttl: float = 60.0, most: int = 10_000):
+    def __init__(self, fetch: Callable[[Principal], frozenset[str]], *, clock: Callable[[], float] = time.monotonic, ttl: float = 60.0, most: int = 10_000):
         if ttl < 0:
             raise AclResolutionError("the ttl must not be negative")
-        self.inner, self.clock, self.ttl, self.most = resolve, clock, ttl, max(1, most)
-        self.entries: OrderedDict[tuple, tuple[frozenset[str], float]] = OrderedDict()
-        self.stats = CacheStats()
-
-    def resolve(self, who: Principal) -> frozenset[str]:
-        key, now = (who.id, who.groups), self.clock()
-        known = self.entries.get(key)
-        if known and now - known[1] < self.ttl:
-            self.stats.hits += 1
-            self.entries.move_to_end(key)
-            return known[0]
-        self.stats.misses += 1
-        self.entries.pop(key, None)
+        self.fetch, self.clock, self.ttl, self.most = fetch, clock, ttl, most
+        self.signals: Counter[tuple[str, str]] = Counter()
+        self.held: dict[Principal, tuple[float, int, frozenset[str]]] = {}
+        self.outcomes: Counter[str] = Counter()
+
+    def _epoch(self, who: Principal, found: frozenset[str]) -> int:
+        return sum(self.signals[s] for s in (ALL, ("principal", who.id), *(("group", g) for g in who.groups | found)))
+
+    def __call__(self, who: Principal) -> frozenset[str]:
+        at, epoch, found = self.held.get(who, (0.0, -1, frozenset()))
+        if epoch == self._epoch(who, found) and self.clock() - at < self.ttl:
+            self.outcomes["hit"] += 1
+            return found
+        self.outcomes["miss"] += 1
+        self.held.pop(who, None)
         try:
-            found = self.inner(who)
+            found = self.fetch(who)
         except AclResolutionError:
-            self.stats.errors += 1
-            found = frozenset()
-        else:
-            if self.ttl > 0:
-                self.entries[key] = found, now
-                self._drop([*self.entries][: len(self.entries) - self.most])
-        self.stats.size = len(self.entries)
+            self.outcomes["error"] += 1
+            return frozenset()
+        self.held[who] = self.clock(), self._epoch(who, found), found
+        while len(self.held) > self.most:
+            del self.held[next(iter(self.held))]
         return found
 
-    def _drop(self, keys: list[tuple]) -> None:
-        for key in keys:
-            del self.entries[key]
-        self.stats.evictions += len(keys)
-        self.stats.size = len(self.entries)
+    def signal(self, kind: str = "all", name: str = "") -> None:
+        """Something about a ``principal``, a ``group`` or ``all`` has changed."""
+        self.signals[kind, name] += 1
 
-    def invalidate(self, principal: str) -> None:
-        self._drop([k for k in self.entries if k[0] == principal])
+    def narrow(self, principal: str, group: str) -> None:
+        """A principal has left a group, as is known without another resolution."""
+        for who in [w for w in self.held if w.id == principal]:
+            at, epoch, found = self.held[who]
+            if epoch == self._epoch(who, found):
+                self.held[who] = at, self._epoch(who, found - {group}), found - {group}
 
-    def invalidate_group(self, group: str) -> None:
-        self._drop([k for k, (found, _) in self.entries.items() if group in found or group in k[1]])
 
-    def invalidate_all(self) -> None:
-        self._drop([*self.entries])
+#: The columns of a replay.
+_OUT = "user_id long, event_id long, outcome string, cached_version long, true_version long"
+#: Events that change a user's membership; the second kind is signalled.
+GRANTED, REVOKED = "signup", "error"
 
-    def restrict(self, principal: str, group: str) -> None:
-        """Take a group from the entries of a principal, without a new resolution."""
-        for key, (found, at) in self.entries.items():
-            if key[0] == principal:
-                self.entries[key] = found - {group}, at
 
+class _Replay:
+    """The state of one user's cache: when it was fetched (-1: not), the version then, and the version now."""
 
-#: The columns of a replay.
-_OUT = "user_id long, event_id long, outcome string, cached_version long, true_version long"
+    __slots__ = ("cached", "fetched", "true", "ttl")
+
+    def __init__(self, ttl_seconds: int, fetched: int = -1, cached: int = -1, true: int = 0):
+        self.ttl, self.fetched, self.cached, self.true = ttl_seconds * 1_000_000, fetched, cached, true
+
+    def take(self, at: int, kind: str) -> str | None:
+        """The outcome of an event, None if it resolves nothing."""
+        if kind == GRANTED or kind == REVOKED:
+            self.true += 1
+            if kind == REVOKED:
+                self.fetched = -1
+            return None
+        if self.fetched >= 0 and at - self.fetched < self.ttl:
+            return "hit"
+        self.fetched, self.cached = at, self.true
+        return "miss"
+
+
+def _slim(events: DataFrame) -> DataFrame:
+    return events.select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
 
 
 def replay_log(events: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
@@ -94,31 +107,29 @@ def replay_log(events: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
     revokes; either makes a new version of the user's membership, and the
     revocation is signalled, so it empties the cache. Every other event
     resolves. A resolution hits if the last fetch since the last signal is
-    younger than the ttl. As entries live from their fetch, each fetch after a
-    signal is the first resolution at least a ttl after the fetch before, which
-    no window expresses; so the resolutions between two signals of a user are
-    walked in one vectorised group.
+    younger than the ttl. As entries live from their fetch, whether an event
+    hits hangs on the fetch before, which no window expresses; so events are
+    dealt by user, sorted in their partitions, and stream past the state of one
+    user. A user with any number of events takes no more memory than another.
     """
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    changes = F.col("event_type").isin("signup", "error")
-    marked = events.select("event_id", "ts", "user_id", "event_type").withColumns({"true_version": F.count_if(changes).over(order), "epoch": F.count_if(F.col("event_type") == "error").over(order)})
-    asks = marked.where(~changes).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts", "event_type")
-    ttl = ttl_seconds * 1_000_000
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "event_id"], ignore_index=True)
-        at = rows["at"].to_numpy()
-        fetch = np.zeros(len(rows), np.int64)
-        i = 0
-        while i < len(rows):
-            end = int(np.searchsorted(at, at[i] + ttl)) if ttl else i + 1
-            fetch[i:end] = i
-            i = end
-        version = rows["true_version"].to_numpy()
-        outcome = np.where(fetch == np.arange(len(rows)), "miss", "hit")
-        return pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "outcome": outcome, "cached_version": version[fetch], "true_version": version})
-
-    return asks.groupBy("user_id", "epoch").applyInPandas(walk, _OUT)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, state = None, None
+        for batch in batches:
+            rows, outcomes, cached, true = [], [], [], []
+            for n, (u, kind, at) in enumerate(zip(batch["user_id"].tolist(), batch["event_type"].tolist(), batch["at"].tolist(), strict=True)):
+                if state is None or u != user:
+                    user, state = u, _Replay(ttl_seconds)
+                if outcome := state.take(at, kind):
+                    rows.append(n)
+                    outcomes.append(outcome)
+                    cached.append(state.cached)
+                    true.append(state.true)
+            told = batch[["user_id", "event_id"]].iloc[np.array(rows, np.int64)]
+            yield told.assign(outcome=outcomes, cached_version=cached, true_version=true)
+
+    dealt = _slim(events.where("user_id IS NOT NULL AND event_id IS NOT NULL AND ts IS NOT NULL")).repartition("user_id").sortWithinPartitions("user_id", "at", "event_id")
+    return dealt.mapInPandas(walk, _OUT)
 
 
 def replay_stream(events: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
@@ -130,20 +141,13 @@ def replay_stream(events: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fetched, cached, true = state.get if state.exists else (-1, -1, 0)
-        for rows in [pd.concat(list(batches)).sort_values(["at", "event_id"])]:
-            out = []
-            for at, event, kind in zip(rows["at"], rows["event_id"], rows["event_type"], strict=True):
-                if kind in ("signup", "error"):
-                    true += 1
-                    fetched = -1 if kind == "error" else fetched
-                    continue
-                hit = fetched >= 0 and at - fetched < ttl_seconds * 1_000_000
-                if not hit:
-                    fetched, cached = at, true
-                out.append((key[0], event, "hit" if hit else "miss", cached, true))
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "outcome", "cached_version", "true_version"])
-        state.update((int(fetched), int(cached), int(true)))
-
-    keyed = events.select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).groupBy("user_id")
-    return keyed.applyInPandasWithState(run, _OUT, "fetched long, cached long, true long", "append", GroupStateTimeout.NoTimeout)
+        replay = _Replay(ttl_seconds, *(state.get if state.exists else ()))
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        out = []
+        for at, event, kind in zip(rows["at"], rows["event_id"], rows["event_type"], strict=True):
+            if outcome := replay.take(int(at), kind):
+                out.append((key[0], event, outcome, replay.cached, replay.true))
+        state.update((replay.fetched, replay.cached, replay.true))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "outcome", "cached_version", "true_version"])
+
+    return _slim(events).groupBy("user_id").applyInPandasWithState(run, _OUT, "fetched long, cached long, true long", "append", GroupStateTimeout.NoTimeout)

@@ -9,7 +9,7 @@ from gatehouse.errors import AuthError, InvalidPrincipalError
 from gatehouse.functions import policy
 from gatehouse.principals import Groups, Principal, check_id, effective_principals, group_closure
 from gatehouse.service.identity import header_groups, identity, redact, request_scope
-from gatehouse.streaming.acl_cache import PermissionCache
+from gatehouse.streaming.acl_cache import EpochCache
 
 
 def admits(grants, denies, held):
@@ -74,10 +74,15 @@ def test_identity_and_tokens():
         token = tokens["drive"]
         assert "s3cr3t" not in repr(token) and "s3cr3t" not in f"{token}"
         assert redact("sent s3cr3t-value; Bearer abc.def token=xyz") == "sent [REDACTED]; Bearer [REDACTED] token=[REDACTED]"
-        with pytest.raises(AuthError):
-            __import__("pickle").dumps(token)
+        assert token() == "s3cr3t-value"
+        for dumps in (__import__("pickle").dumps, __import__("pyspark").cloudpickle.dumps):
+            with pytest.raises((AttributeError, TypeError, __import__("pickle").PicklingError)):
+                dumps(token)
     with pytest.raises(AuthError):
-        token.reveal()
+        token()
+    for wrong in ({"X-Gatehouse-Token-": "x"}, {"X-Gatehouse-Token-Drive": " "}):
+        with pytest.raises(AuthError), request_scope(wrong):
+            pass
 
 
 def test_header_groups(spark):
@@ -96,28 +101,32 @@ def test_cache_never_outlives_its_ttl_or_a_signal():
             raise AclResolutionError("down")
         return frozenset(truth[who.id])
 
-    cache = PermissionCache(resolve, clock=lambda: now[0], ttl=60, most=2)
+    cache = EpochCache(resolve, clock=lambda: now[0], ttl=60, most=2)
     u = Principal.of("u")
-    assert cache.resolve(u) == {"g"}
+    assert cache(u) == {"g"}
     truth["u"] = {"g", "h"}
     now[0] = 59
-    assert cache.resolve(u) == {"g"}
+    assert cache(u) == {"g"}
     now[0] = 60
-    assert cache.resolve(u) == {"g", "h"}
+    assert cache(u) == {"g", "h"}
     truth["u"] = set()
-    cache.invalidate_group("h")
-    assert cache.resolve(u) == set()
-    truth["u"] = {"g"}
-    cache.invalidate("u")
-    assert cache.resolve(u) == {"g"}
-    cache.restrict("u", "g")
-    assert cache.resolve(u) == set()
-    cache.invalidate_all()
+    cache.signal("group", "other")
+    assert cache(u) == {"g", "h"}
+    cache.signal("group", "h")
+    assert cache(u) == set()
+    truth["u"] = {"g", "k"}
+    cache.signal("principal", "u")
+    assert cache(u) == {"g", "k"}
+    cache.narrow("u", "g")
+    assert cache(u) == {"k"}
+    cache.signal()
+    cache.narrow("u", "k")
     broken[0] = True
-    assert cache.resolve(u) == set() and cache.stats.errors == 1
+    assert cache(u) == set() and cache.outcomes["error"] == 1
     broken[0] = False
+    assert cache(u) == {"g", "k"}
     truth |= {"v": {"x"}, "w": {"y"}}
     for who in ("u", "v", "w"):
-        cache.resolve(Principal.of(who))
-    assert cache.stats.size == 2
-    assert PermissionCache(resolve, ttl=0).resolve(u) == {"g"}
+        cache(Principal.of(who))
+    assert len(cache.held) == 2
+    assert EpochCache(resolve, ttl=0)(u) == {"g", "k"}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatehouse import queries as q
-from gatehouse.errors import AclResolutionError, InvalidRequestError, SourceError
+from gatehouse.errors import AclResolutionError, InvalidRequestError, SourceError, StoreError, VectorIndexError
 from gatehouse.functions import text
 from gatehouse.operators import ingest as ing
 from gatehouse.operators import store
@@ -123,6 +123,44 @@ def test_ingest_skips_replaces_quarantines_and_prunes(spark, tmp_path):
     assert ing.refit(t, ing.local_embedder(64)) == 4
 
 
+def test_versions_grow_by_what_changes(spark, tmp_path):
+    t = Tables(spark, f"file://{tmp_path}/t")
+    docs = raw(spark)
+    # One policy first, which gets id 0, then others.
+    ing.ingest(t, docs.where("title = 'forecast'"), ing.local_embedder(64))
+    ing.ingest(t, docs, ing.local_embedder(64))
+    now = t.read()
+    index = VectorIndex(now["index"], now["policies"], now["quant"]).validate(now["chunks"].count())
+    assert now["policies"].count() == now["policies"].select("policy_id").distinct().count() == 5
+    assert {r["document_id"] for r in index.search([0.1] * 64, ["sre"], 5).collect()} == {"t:runbook"}
+    assert {r["document_id"] for r in index.search([0.1] * 64, ["finance"], 5).collect()} == {"t:forecast"}
+    ing.ingest(t, docs.where("title = 'secret'").withColumn("text", F.lit("other words")), ing.local_embedder(64))
+    last = t.manifest(3)["parts"]
+    assert len(last) == 3 and spark.read.parquet(f"{t.root}/chunks/p={last[2]}").count() == 1
+    before = sorted(map(tuple, t.read()["chunks"].collect()))
+    assert len(before) == 5 and t.bytes_of("index") > 0
+    assert t.compact() == 4 and len(t.manifest(4)["parts"]) == 1
+    assert sorted(map(tuple, t.read()["chunks"].collect())) == before
+    assert sorted(map(tuple, t.read(2)["chunks"].collect())) != before
+    with pytest.raises(StoreError, match="another writer"):
+        t.publish({"policies": now["policies"]}, after=3)
+    with pytest.raises(StoreError, match="ids of their own"):
+        t.publish({"policies": now["policies"].union(now["policies"])}, after=4)
+    assert t.current() == 4
+    with pytest.raises(VectorIndexError):
+        VectorIndex(now["index"], now["policies"].where("policy_id > 1"), now["quant"]).validate()
+    with pytest.raises(VectorIndexError):
+        VectorIndex(now["index"], now["policies"], now["quant"].withColumn("dimension", F.lit(65))).validate()
+
+
+def test_batches_filter_policies_in_the_scan(spark, sf):
+    found = q.scoped_search(spark, sf)
+    plan = executed_plan(found)
+    assert "In(policy_id" in plan.split("PushedFilters")[1] or "EqualTo(policy_id" in plan
+    assert filters_below(found, r"Filter.*policy_id", r"WindowGroupLimit")
+    assert "text" not in plan
+
+
 def test_failed_embedding_publishes_nothing(spark, tmp_path):
     def broken():
         def call(texts):
@@ -216,10 +254,13 @@ def test_drive_source(spark):
     got = {r["uri"]: (r["title"], r["grants"], r["text"]) for r in rows.collect()}
     assert got == {"gdrive://document/1": ("One", ["domain:d.org", "u@x"], "text of /drive/v3/files/1/export"), "gdrive://file/2": ("2", ["everyone"], "text of /drive/v3/files/2")}
     assert [r["uri"] for r in skipped.collect()] == ["gdrive://file/3"]
-    assert drive.parse_uri("gdrive://abc") == ("file", "abc")
-    for wrong in ("http://x", "gdrive://thing/1", "gdrive://file/"):
-        with pytest.raises(SourceError):
-            drive.parse_uri(wrong)
+    uris = ["gdrive://abc", "gdrive://document/d/1", "http://x", "gdrive://thing/1", "gdrive://file/", None]
+    parts = spark.createDataFrame([(u,) for u in uris], "u string").select(drive.uri_parts(F.col("u")).alias("p")).collect()
+    assert [r["p"] and tuple(r["p"]) for r in parts] == [("file", "abc"), ("document", "d/1"), None, None, None, None]
+    with pytest.raises(SourceError):
+        drive.list_drive(spark, lambda path, parameters: {"wrong": 1})
+    rows, skipped = drive.read_drive(spark, lambda path, parameters: {"files": []})
+    assert rows.count() == skipped.count() == 0
 
 
 def test_api(spark, tables, tmp_path):
