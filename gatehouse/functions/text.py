@@ -117,6 +117,19 @@ def ngram_features(text: Column | str) -> Column:
     return F.concat(words, word_pairs(words), char_trigrams(words))
 
 
+def counted(documents: DataFrame, key: str, features: Column) -> DataFrame:
+    """(key, feature, n): how often a row has each of its features. Rows are counted one by one, so nothing is shuffled.
+
+    A row's sorted features are told apart from their neighbours before; the
+    places where a new one begins give the counts. Keys have to be distinct.
+    """
+    sorted_ = documents.select(key, F.array_sort(features).alias("f"))
+    starts = F.filter(F.transform("f", lambda x, i: F.when((i == 0) | (x != F.get("f", i - 1)), i)), lambda i: i.isNotNull())
+    runs = sorted_.select(key, "f", starts.alias("at"))
+    run = F.transform("at", lambda a, i: F.struct(F.get("f", a).alias("feature"), (F.coalesce(F.get("at", i + 1), F.size("f")) - a).cast("long").alias("n")))
+    return runs.select(key, F.inline(run))
+
+
 def hashed_features(documents: DataFrame, key: str, dimension: int, *, text: str = "text") -> DataFrame:
     """(key, bucket, value): signed counts of the hashed features; buckets of sum 0 included."""
     feature = documents.select(key, F.explode(ngram_features(text)).alias("f"))

@@ -1,25 +1,28 @@
-"""Retrieval: resolve, search under the permissions, fetch behind them, check again, rank, cite."""
+"""Retrieval for a batch of requests, as stages of DataFrames: search, fetch behind the policy, check again, rank, cite."""
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..errors import AclResolutionError, InvalidRequestError, RerankError
+from ..errors import InvalidRequestError, RerankError
 from ..functions import policy
 from ..principals import Principal
 from ..schemas import RESULT
-from .index import VectorIndex
-from .store import get_chunks
+from .index import RESCORE, VectorIndex, batch_search
+from .store import chunks_with_sources
 
-log = logging.getLogger(__name__)
 MOST_CANDIDATES = 4_000
+#: The columns of a citation.
+CITED = ("connector", "uri", "title", "version", "span_start", "span_end", "document_id", "chunk_id")
+#: An answer: the request, a row of schemas.RESULT, and how many candidates it was chosen from.
+ANSWER = T.StructType([T.StructField("query_id", T.StringType()), *RESULT.fields, T.StructField("candidates", T.LongType())])
 
-Embed = Callable[[str], Sequence[float]]
 #: (query, texts, n) -> (position, score) of the best n.
 Rerank = Callable[[str, Sequence[str], int], Iterable[tuple[int, float]]]
 
@@ -34,85 +37,70 @@ class Request:
     candidate_multiplier: int = 4
 
     def __post_init__(self) -> None:
-        if not 1 <= self.k <= 1000:
-            raise InvalidRequestError("k must be from 1 to 1000")
-        if not self.query.strip():
-            raise InvalidRequestError("the query is blank")
-        if len(self.query) > 20_000:
-            raise InvalidRequestError("the query is longer than 20000 characters")
-        if self.candidate_multiplier < 1:
-            raise InvalidRequestError("candidate_multiplier must be positive")
+        wrong = {
+            "k must be from 1 to 1000": not 1 <= self.k <= 1000,
+            "the query is blank": not self.query.strip(),
+            "the query is longer than 20000 characters": len(self.query) > 20_000,
+            "candidate_multiplier must be positive": self.candidate_multiplier < 1,
+        }
+        for message in (m for m, is_wrong in wrong.items() if is_wrong):
+            raise InvalidRequestError(message)
 
     @property
     def candidate_k(self) -> int:
         return min(self.k * self.candidate_multiplier, MOST_CANDIDATES)
 
 
-@dataclass(frozen=True)
-class Result:
-    """Rows (schemas.RESULT, by rank) and how many candidates they were chosen from."""
-
-    requested_k: int
-    rows: DataFrame
-    returned: int
-    candidates: int
-
-    def payload(self) -> dict:
-        """Nested values, as a tool would return them."""
-        rows = [r.asDict() for r in self.rows.orderBy("rank").collect()]
-        cited = ("connector", "uri", "title", "version", "span_start", "span_end", "document_id", "chunk_id")
-        return {"requested_k": self.requested_k, "returned": self.returned, "candidates": self.candidates, "results": [{"text": r["text"], "score": r["score"], "citation": {c: r[c] for c in cited}} for r in rows]}
-
-
-class Retriever:
-    """Ties a resolver, an embedder, an index and the text tables together."""
-
-    def __init__(self, resolve: Callable[[Principal], frozenset[str]], embed: Embed, index: VectorIndex, chunks: DataFrame, documents: DataFrame, rerank: Rerank | None = None):
-        self.resolve, self.embed, self.index, self.chunks, self.documents, self.rerank = resolve, embed, index, chunks, documents, rerank
-
-    def permissions(self, who: Principal) -> frozenset[str]:
-        """Fails closed: what can't be resolved is an empty set."""
-        try:
-            return self.resolve(who)
-        except AclResolutionError as e:
-            log.warning("permissions could not be resolved (%s): treated as empty", type(e).__name__)
-            return frozenset()
-
-    def retrieve(self, request: Request) -> Result:
-        return self.retrieve_with(request, self.permissions(request.principal))
-
-    def retrieve_with(self, request: Request, permissions: frozenset[str]) -> Result:
-        spark = self.chunks.sparkSession
-        nothing = Result(request.k, spark.createDataFrame([], RESULT), 0, 0)
-        if not permissions:
-            return nothing  # before anything is embedded or scanned
-        hits = self.index.search(self.embed(request.query), permissions, request.candidate_k).collect()
-        if not hits:
-            return nothing
-        rows = rank_chunks(self.chunks, self.documents, [(h["chunk_id"], h["score"]) for h in hits], permissions).collect()
-        candidates = len(rows)
-        if self.rerank is not None:
-            rows = self._reranked(request, rows)
-        best = [(n, *(r[c] for c in RESULT.names[1:])) for n, r in enumerate(rows[: request.k], 1)]
-        return Result(request.k, spark.createDataFrame(best, RESULT), len(best), candidates)
-
-    def _reranked(self, request: Request, rows: list) -> list:
-        out = []
-        for at, score in self.rerank(request.query, [r["text"] for r in rows], min(request.k, len(rows))) if rows else ():
-            if not 0 <= at < len(rows):
-                raise RerankError("a reranked position is out of range")
-            out.append({**rows[at].asDict(), "score": float(score)})
-        return sorted(out, key=lambda r: (-r["score"], r["chunk_id"]))
-
-
-def rank_chunks(chunks: DataFrame, documents: DataFrame, hits: Sequence[tuple[str, float]], permissions: Iterable[str]) -> DataFrame:
-    """The hit chunks that are admitted, by falling index score: columns of schemas.RESULT without rank.
-
-    hits are at most MOST_CANDIDATES, hence the broadcast. The policy is tested
-    on the chunk before the fetch, and again on what was fetched.
+def fetch_hits(hits: DataFrame, requests: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Hits with the text and the source of their chunks, where the request's permissions admit the chunk.
+
+    hits: query_id, chunk_id, score (null: 0). requests: query_id, permissions.
+    An index that names too much gives nothing away: the text lies behind the
+    chunk's own policy, which is tested as a filter of the join and again, by
+    its explanation, on what was fetched. Unknown chunks are skipped.
+    """
+    asked = hits.join(requests.select("query_id", "permissions"), "query_id")
+    mine = asked.join(chunks, "chunk_id").where(policy.admits("grants", "denies", F.col("permissions")))
+    again = chunks_with_sources(mine, documents).where(policy.explain("grants", "denies", F.col("permissions"))["admitted"])
+    return again.withColumn("score", F.coalesce("score", F.lit(0.0))).select("query_id", *RESULT.names[1:])
+
+
+def rerank_hits(rows: DataFrame, requests: DataFrame, rerank: Rerank, n: int) -> DataFrame:
+    """The rows that ``rerank`` chooses for each request, with its scores. A request has at most MOST_CANDIDATES rows."""
+    schema = T.StructType([T.StructField("query_id", T.StringType()), *RESULT.fields[1:]])
+
+    def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["score", "chunk_id"], ascending=[False, True], ignore_index=True)
+        chosen = list(rerank(rows["query"].iloc[0], rows["text"].tolist(), min(n, len(rows))))
+        if any(not 0 <= at < len(rows) for at, _ in chosen):
+            raise RerankError("a reranked position is out of range")
+        return rows.iloc[[at for at, _ in chosen]].assign(score=[float(s) for _, s in chosen]).drop(columns="query")
+
+    asked = rows.join(requests.select("query_id", "query"), "query_id")
+    return asked.groupBy("query_id").applyInPandas(judge, schema)
+
+
+def answer(index: VectorIndex, chunks: DataFrame, documents: DataFrame, requests: DataFrame, k: int, *, candidate_k: int, rerank: Rerank | None = None) -> DataFrame:
+    """The best ``k`` chunks of every request, cited: columns of ANSWER, in no order.
+
+    requests: query_id string, query, permissions array<string>, vector. A
+    request without permissions has no answer.
     """
-    permissions = frozenset(permissions)
-    wanted = chunks.sparkSession.createDataFrame([(c, i, float(s)) for i, (c, s) in enumerate(hits)], "chunk_id string, position int, hit double")
-    fetched = get_chunks(chunks, documents, F.broadcast(wanted), permissions)
-    again = fetched.where(policy.explain("grants", "denies", permissions)["admitted"])
-    return again.select(*[F.coalesce("hit", F.lit(0.0)).alias("score") if c == "score" else F.col(c) for c in RESULT.names[1:]]).orderBy(F.desc("score"), "chunk_id")
+    able = requests.where(F.size(policy.ids("permissions")) > 0)
+    hits = batch_search(index, able, candidate_k, candidates=candidate_k * RESCORE)
+    rows = fetch_hits(hits, able, chunks, documents)
+    counted = rows.groupBy("query_id").agg(F.count("*").alias("candidates"))
+    return ranked(rows if rerank is None else rerank_hits(rows, able, rerank, k), k).join(counted, "query_id").select(ANSWER.names)
+
+
+def ranked(rows: DataFrame, k: int) -> DataFrame:
+    """The best k rows of each request by falling score, ties by chunk, numbered from 1."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def payload(rows: Iterable, k: int) -> dict:
+    """Nested values of one request's rows of `answer`, as a tool would return them."""
+    told = sorted((r.asDict() for r in rows), key=lambda r: r["rank"])
+    results = [{"text": r["text"], "score": r["score"], "citation": {c: r[c] for c in CITED}} for r in told]
+    return {"requested_k": k, "returned": len(told), "candidates": told[0]["candidates"] if told else 0, "results": results}

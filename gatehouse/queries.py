@@ -18,7 +18,7 @@ from .operators import index as ix
 from .operators import ingest as ing
 from .operators import metrics, simulate, store
 from .operators.index import VectorIndex
-from .operators.retrieve import rank_chunks
+from .operators.retrieve import fetch_hits, ranked
 from .plans.tables import Tables, shared_folder
 from .principals import effective_principals, whoami
 from .schemas import RAW
@@ -355,10 +355,10 @@ def exact_topk(spark, sf_dir):
     return best_exact(rows, asked_vectors(rows)).withColumn("score", F.round("score", 6))
 
 
-def best_exact(rows: DataFrame, asked: DataFrame) -> DataFrame:
+def best_exact(rows: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
     scored = ix.in_blocks(rows, asked.withColumnRenamed("vector", "q"), "vec_id").select("query_id", "vec_id", vectors.dot("vector", "q").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 10")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 #: The index holds normalised vectors.
@@ -437,19 +437,21 @@ def recall_at_k(spark, sf_dir):
     return ix.recall_at_k(best_exact(mine, asked_vectors(rows)), found, 10).withColumn("recall", F.round("recall", 9))
 
 
-@query(f"""WITH {WINDOWS}, hits AS (SELECT 'doc:' || lpad(CAST(vec_id AS VARCHAR), 9, '0') || '#0' AS chunk_id, list_inner_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS score, vec_id FROM embeddings ORDER BY score DESC, vec_id LIMIT 40),
-    p AS (SELECT {_list(READER)} AS perms)
-    SELECT CAST(row_number() OVER (ORDER BY h.score DESC, c.chunk_id) AS INTEGER) AS rank, c.chunk_id, c.document_id, md5(c.text) AS text_md5, round(h.score, 6) AS score, connector, uri, title, version, span_start, span_end
-    FROM chunks c JOIN hits h ON c.chunk_id = h.chunk_id JOIN stored s ON s.document_id = c.document_id CROSS JOIN p WHERE list_has_any(c.grants, perms) AND NOT list_has_any(c.denies, perms)""")
+@query(f"""WITH {WINDOWS}, e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    hits AS (SELECT *, 'doc:' || lpad(CAST(vec_id AS VARCHAR), 9, '0') || '#0' AS chunk_id FROM (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(c.x, q.x) AS score,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(c.x, q.x) DESC, c.vec_id) AS n FROM e q JOIN e c ON q.vec_id % {EVERY} = 0) WHERE n <= 40),
+    p AS (SELECT {_list(READER)} AS perms),
+    r AS (SELECT h.query_id, row_number() OVER (PARTITION BY h.query_id ORDER BY h.score DESC, c.chunk_id) AS rank, c.chunk_id, c.document_id, md5(c.text) AS text_md5, round(h.score, 6) AS score, connector, uri, title, version, span_start, span_end
+    FROM chunks c JOIN hits h ON c.chunk_id = h.chunk_id JOIN stored s ON s.document_id = c.document_id CROSS JOIN p WHERE list_has_any(c.grants, perms) AND NOT list_has_any(c.denies, perms))
+    SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM r WHERE rank <= 10""")
 def retrieve_cited(spark, sf_dir):
-    """Text of the best 40 vectors of a query, behind the documents' own policies, cited."""
-    rows = entries(spark, sf_dir)
-    q = rows.where("vec_id = 0").first()["vector"]
-    hits = ix.exact_top_k(rows, vectors.literal(q), 40, vector="vector").collect()
-    named = [(f"doc:{h['vec_id']:09d}#0", h["score"]) for h in hits]
-    ranked = rank_chunks(windows(spark, sf_dir), stored(spark, sf_dir), named, READER)
-    best = Window.orderBy(F.desc("score"), "chunk_id")  # at most 40 rows
-    return ranked.withColumn("rank", F.row_number().over(best)).withColumns({"text_md5": F.md5(F.col("text").cast("binary")), "score": F.round("score", 6)}).drop("text")
+    """For each query of the set the best 10 of its 40 best vectors' texts that the documents' own policies admit, cited."""
+    rows = entries(spark, sf_dir).select("vec_id", "vector")
+    chunk = F.concat(F.lit("doc:"), F.lpad(F.col("vec_id").cast("string"), 9, "0"), F.lit("#0"))
+    hits = best_exact(rows, asked_vectors(rows), 40).select("query_id", chunk.alias("chunk_id"), "score")
+    asked = asked_vectors(rows).select("query_id", policy.ids(READER).alias("permissions"))
+    best = ranked(fetch_hits(hits, asked, windows(spark, sf_dir), stored(spark, sf_dir)), 10)
+    return best.withColumns({"text_md5": F.md5(F.col("text").cast("binary")), "score": F.round("score", 6)}).drop("text")
 
 
 @query(f"""WITH {DOCUMENTS}, p AS (SELECT {_list(READER)} AS perms) SELECT doc_id, CAST(length(text) % 997 AS INTEGER) AS score FROM docs, p WHERE {ADMITS} ORDER BY score DESC, doc_id LIMIT 10""")
@@ -494,8 +496,7 @@ WORDS = "words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')),
 
 
 def _grams(spark, sf_dir, kind) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(kind(text.feature_words("text"))).alias("feature"))
-    return rows.groupBy("doc_id", "feature").agg(F.count("*").alias("n"))
+    return text.counted(table(spark, sf_dir, "documents"), "doc_id", kind(text.feature_words("text")))
 
 
 @query(f"WITH {WORDS} SELECT doc_id, feature, count(*) AS n FROM (SELECT doc_id, unnest(w) AS feature FROM words) GROUP BY 1, 2")

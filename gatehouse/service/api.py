@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from ..errors import InvalidRequestError
 from ..functions import text
 from ..operators.index import VectorIndex
-from ..operators.retrieve import Request, Result, Retriever
+from ..operators.retrieve import Request, answer, payload
 from ..operators.simulate import simulate
 from ..plans.tables import Tables
 from ..principals import Groups, Principal
@@ -31,23 +31,19 @@ class Api:
         row = self.spark.createDataFrame([("q", query)], "id string, text string")
         return list(text.local_embeddings(row, "id", self.settings.dimension).first()["vector"])
 
-    def _retriever(self) -> Retriever | None:
-        now = self.tables.read()
-        if not now:
-            return None
-        return Retriever(self.cache, self.embed, VectorIndex(now["index"], now["policies"], now["quant"]), now["chunks"], now["documents"], self.rerank)
-
     def retrieve(self, headers: Mapping[str, str], query: str, k: int = 10) -> dict:
         """The caller's best chunks, cited. The identity comes from the headers alone."""
-        return self._answer(Request(identity(headers), query, k), None).payload()
-
-    def _answer(self, request: Request, permissions: frozenset[str] | None) -> Result:
-        from ..schemas import RESULT
-
-        ready = self._retriever()
-        if ready is None:
-            return Result(request.k, self.spark.createDataFrame([], RESULT), 0, 0)
-        return ready.retrieve(request) if permissions is None else ready.retrieve_with(request, permissions)
+        request = Request(identity(headers), query, k)
+        return self.ask(request, self.cache(request.principal))
+
+    def ask(self, request: Request, permissions: frozenset[str]) -> dict:
+        """A batch of one request. Without permissions nothing is embedded or read."""
+        now = self.tables.read() if permissions else None
+        if now is None:
+            return payload([], request.k)
+        asked = self.spark.createDataFrame([("q", request.query, sorted(permissions), self.embed(request.query))], "query_id string, query string, permissions array<string>, vector array<float>")
+        index = VectorIndex(now["index"], now["policies"], now["quant"])
+        return payload(answer(index, now["chunks"], now["documents"], asked, request.k, candidate_k=request.candidate_k, rerank=self.rerank).collect(), request.k)
 
     def whoami(self, headers: Mapping[str, str]) -> dict:
         who = identity(headers)
@@ -71,7 +67,7 @@ class Api:
         permissions = self.cache(who)
         now = self.tables.read()
         rows = [r.asDict() for r in simulate(now["documents"], permissions, limit).collect()] if now else []
-        results = self._answer(Request(who, query, k), permissions).payload() if query else None
+        results = self.ask(Request(who, query, k), permissions) if query else None
         return {"principal": principal, "effective_principals": sorted(permissions), "documents": rows, "visible_count": sum(r["visible"] for r in rows), "total_listed": len(rows), "results": results}
 
     def invalidate(self, *, principal: str | None = None, group: str | None = None, everything: bool = False) -> None:

@@ -12,7 +12,7 @@ from gatehouse.functions import text
 from gatehouse.operators import ingest as ing
 from gatehouse.operators import store
 from gatehouse.operators.index import VectorIndex
-from gatehouse.operators.retrieve import Request, Retriever, rank_chunks
+from gatehouse.operators.retrieve import Request, answer, fetch_hits
 from gatehouse.operators.simulate import simulate
 from gatehouse.plans.shape import executed_plan, filters_below
 from gatehouse.plans.tables import Tables
@@ -22,7 +22,7 @@ from gatehouse.service.api import Api
 from gatehouse.service.settings import Settings
 from gatehouse.sources import drive, filesystem
 from gatehouse.sources.registry import Registry, Source
-from gatehouse.streaming.acl_cache import replay_log, replay_stream
+from gatehouse.streaming.acl_cache import EpochCache, replay_log, replay_stream
 from gatehouse.streaming.ingest import stream_ingest
 
 TEXTS = {
@@ -47,37 +47,51 @@ def tables(spark, tmp_path_factory):
     return t
 
 
-def retriever(spark, tables, resolve, rerank=None):
-    now = tables.read()
-    return Retriever(resolve, lambda s: text.embed_text(s, 64).tolist(), VectorIndex(now["index"], now["policies"], now["quant"]), now["chunks"], now["documents"], rerank)
+def ask(spark, tables, who, query, k=10, rerank=None):
+    """The answer to one request, of what the groups make of a principal, or of a permission set."""
+    api = Api(spark, Settings(tables.root, None, 60.0, 64), rerank)
+    held = GROUPS.resolve(who) if isinstance(who, Principal) else frozenset(who)
+    return api.ask(Request(Principal.of("u"), query, k), held)
 
 
 GROUPS = Groups({"sre": ["eng"], "eng": ["staff"]})
 
 
 def test_end_to_end_scopes_and_counts(spark, tables):
-    got = retriever(spark, tables, GROUPS.resolve).retrieve(Request(Principal.of("carol", "sre", "contractors"), "how is the retrieval index designed", 5))
-    found = {r["citation"]["document_id"] for r in got.payload()["results"]}
-    assert found == {"t:runbook", "t:onboarding"} and (got.returned, got.candidates) == (2, 2)
-    everyone = retriever(spark, tables, GROUPS.resolve).retrieve(Request(Principal.of("dan", "eng"), "retrieval index design", 5)).payload()["results"]
+    got = ask(spark, tables, Principal.of("carol", "sre", "contractors"), "how is the retrieval index designed", 5)
+    found = {r["citation"]["document_id"] for r in got["results"]}
+    assert found == {"t:runbook", "t:onboarding"} and (got["returned"], got["candidates"]) == (2, 2)
+    everyone = ask(spark, tables, Principal.of("dan", "eng"), "retrieval index design", 5)["results"]
     assert {r["citation"]["document_id"] for r in everyone} == {"t:index-design", "t:runbook", "t:onboarding"}
     assert [r["score"] for r in everyone] == sorted((r["score"] for r in everyone), reverse=True)
 
 
-def test_nothing_runs_for_an_empty_permission_set(spark, tables):
+def test_batches_of_requests(spark, tables):
+    now = tables.read()
+    index = VectorIndex(now["index"], now["policies"], now["quant"])
+    words = "the retrieval index"
+    asked = spark.createDataFrame([(n, words, p, text.embed_text(words, 64).tolist()) for n, p in (("a", ["eng"]), ("b", ["finance", "everyone"]), ("c", []), ("d", None))], "query_id string, query string, permissions array<string>, vector array<float>")
+    rows = answer(index, now["chunks"], now["documents"], asked, 1, candidate_k=4).collect()
+    assert {r["query_id"]: r["candidates"] for r in rows} == {"a": 2, "b": 3}
+    assert all(r["rank"] == 1 for r in rows)
+
+
+def test_nothing_runs_for_an_empty_permission_set(spark, tables, monkeypatch):
     def fail(_):
         raise AclResolutionError("down")
 
-    scoped = retriever(spark, tables, fail)
-    scoped.embed = lambda _: pytest.fail("the query was embedded")
-    got = scoped.retrieve(Request(Principal.of("x"), "index"))
-    assert got.returned == 0 and got.rows.count() == 0
+    api = Api(spark, Settings(tables.root, None, 60.0, 64))
+    api.cache = EpochCache(fail)
+    monkeypatch.setattr(api, "embed", lambda _: pytest.fail("the query was embedded"))
+    monkeypatch.setattr(api.tables, "read", lambda: pytest.fail("a table was read"))
+    assert api.retrieve({"X-Gatehouse-Principal": "x"}, "index")["returned"] == 0
 
 
 def test_a_leaky_index_leaks_no_text(spark, tables):
     now = tables.read()
-    hits = [(r["chunk_id"], 1.0) for r in now["chunks"].collect()]
-    got = rank_chunks(now["chunks"], now["documents"], hits, {"u", "everyone"}).collect()
+    hits = now["chunks"].select(F.lit("q").alias("query_id"), "chunk_id", F.lit(1.0).alias("score"))
+    asked = spark.createDataFrame([("q", ["u", "everyone"])], "query_id string, permissions array<string>")
+    got = fetch_hits(hits, asked, now["chunks"], now["documents"]).collect()
     assert {r["document_id"] for r in got} == {"t:index-design", "t:onboarding"}
     assert "text" not in INDEX.names
 
@@ -99,9 +113,9 @@ def test_returned_equals_admitted_for_random_policies(spark, tmp_path):
     ing.ingest(t, raw(spark, texts), ing.local_embedder(64))
     for held in (["g0"], ["g1", "g3"], ids, ["other"]):
         want = {f"t:{n}" for n, (g, d, _) in texts.items() if set(g) & set(held) and not set(d) & set(held)}
-        got = retriever(spark, t, lambda _, h=held: frozenset(h)).retrieve(Request(Principal.of("u"), "text", 200))
-        assert {r["document_id"] for r in got.rows.collect()} == want
-        assert got.returned == len(want)
+        got = ask(spark, t, held, "text", 200)
+        assert {r["citation"]["document_id"] for r in got["results"]} == want
+        assert got["returned"] == len(want)
 
 
 def test_ingest_skips_replaces_quarantines_and_prunes(spark, tmp_path):
@@ -182,15 +196,15 @@ def test_requests_and_reranking(spark, tables):
         with pytest.raises(InvalidRequestError):
             Request(**{"principal": Principal.of("u"), "query": "q", **bad})
     assert Request(Principal.of("u"), "q", 1000, 10).candidate_k == 4000
-    seen = []
 
     def rerank(query, texts, n):
-        seen.extend(texts)
-        return [(i, float(i)) for i in range(len(texts))][-n:]
+        assert not any("Nobody" in t or "confidential" in t for t in texts)
+        return [(i, float(i) + 10 * len(texts)) for i in range(len(texts))][-n:]
 
-    got = retriever(spark, tables, GROUPS.resolve, rerank).retrieve(Request(Principal.of("u", "eng"), "retrieval index", 2))
-    assert len(seen) == 3 and not any("Nobody" in t or "confidential" in t for t in seen)
-    assert [r["score"] for r in got.rows.orderBy("rank").collect()] == [2.0, 1.0]
+    got = ask(spark, tables, Principal.of("u", "eng"), "retrieval index", 2, rerank)
+    assert [r["score"] for r in got["results"]] == [32.0, 31.0] and got["candidates"] == 3
+    with pytest.raises(Exception, match="out of range"):
+        ask(spark, tables, Principal.of("u", "eng"), "retrieval index", 2, lambda q, t, n: [(9, 1.0)])
 
 
 def test_store_reads(spark, tables):
