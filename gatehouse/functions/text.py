@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -138,14 +138,44 @@ def hashed_features(documents: DataFrame, key: str, dimension: int, *, text: str
     return feature.select(key, (h % dimension).alias("bucket"), sign.alias("sign")).groupBy(key, "bucket").agg(F.sum("sign").alias("value"))
 
 
+def embed_texts(texts: Sequence[str | None], dimension: int) -> np.ndarray:
+    """The unit vectors (float32) of the texts' hashed features, one a row; zeros for a text that has none.
+
+    Of the texts together, every word and every pair of words is hashed once;
+    the rest are sums over (text, word) and (text, pair).
+    """
+    known: dict[str, int] = {}
+    ids = [np.array([known.setdefault(w, len(known)) for w in _WORD.findall((t or "").lower())], np.int64) for t in texts]
+    words, n = list(known), len(known)
+    # The features of a word alone: itself and its trigrams.
+    own = [[w, *(f"#{p[i : i + 3]}" for i in range(len(w)))] for w in words for p in (f" {w} ",)]
+    sizes = np.array([len(f) for f in own], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    of_text = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+    met, times = np.unique(of_text * max(n, 1) + np.concatenate([np.zeros(0, np.int64), *ids]), return_counts=True)
+    text, word = met // max(n, 1), met % max(n, 1)
+    many = sizes[word] if n else sizes
+    at = np.repeat(starts[word] - (np.cumsum(many) - many), many) + np.arange(many.sum()) if n else np.zeros(0, np.int64)
+    hashes = _hashed(f for x in own for f in x)[at]
+    out = _signed(np.repeat(text, many), hashes, np.repeat(times, many), len(ids), dimension)
+    later = np.concatenate([np.zeros(0, np.int64), *(i[:-1] * n + i[1:] for i in ids)])
+    pairs, place = np.unique(later, return_inverse=True)
+    hashes = _hashed(f"{words[x // n]} {words[x % n]}" for x in pairs.tolist())[place]
+    out += _signed(np.repeat(np.arange(len(ids)), [max(0, len(i) - 1) for i in ids]), hashes, np.ones(len(later)), len(ids), dimension)
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return (out / np.where(length == 0, 1.0, length)).astype(np.float32)
+
+
+def _hashed(features: Iterable[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(f.encode()) for f in features), np.int64)
+
+
+def _signed(text: np.ndarray, hashes: np.ndarray, times: np.ndarray, rows: int, dimension: int) -> np.ndarray:
+    return np.bincount(text * dimension + hashes % dimension, weights=np.where(hashes >> 31, times, -times), minlength=rows * dimension).reshape(rows, dimension)
+
+
 def embed_text(text: str | None, dimension: int) -> np.ndarray:
-    """The unit vector (float32) of a text's hashed features; zeros if it has none."""
-    words = _WORD.findall((text or "").lower())
-    grams = [f"#{p[i : i + 3]}" for w in words for p in (f" {w} ",) for i in range(len(w))]
-    features = [*words, *map(" ".join, zip(words, words[1:], strict=False)), *grams]
-    h = np.fromiter((zlib.crc32(f.encode()) for f in features), np.int64, len(features))
-    v = np.bincount(h % dimension, weights=np.where(h >> 31, 1.0, -1.0), minlength=dimension)
-    return (v / (np.sqrt((v * v).sum()) or 1.0)).astype(np.float32)
+    return embed_texts([text], dimension)[0]
 
 
 def local_embeddings(documents: DataFrame, key: str, dimension: int, *, text: str = "text") -> DataFrame:
@@ -158,7 +188,8 @@ def local_embeddings(documents: DataFrame, key: str, dimension: int, *, text: st
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([embed_text(t, dimension) for t in texts], dtype=object)
+            # Some at a time: what they have in common is hashed once, and no more than that is in memory.
+            yield pd.Series([v for at in range(0, len(texts), 1024) for v in embed_texts(texts.iloc[at : at + 1024].tolist(), dimension)], dtype=object)
 
     return documents.select(key, embed(F.col(text)).alias("vector"))
 

@@ -515,17 +515,48 @@ def ngrams_trigrams(spark, sf_dir):
     return _grams(spark, sf_dir, text.char_trigrams)
 
 
-@query()
+#: CRC-32 of ASCII strings (fixed value: the reversed polynomial), of each distinct feature once.
+HASHED = f"""{WORDS}, f AS (
+        SELECT doc_id, unnest(w) AS feature FROM words
+        UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+        UNION ALL SELECT doc_id, unnest(list_transform(range(1, length(p) - 1), lambda i: '#' || substr(p, i, 3))) FROM (SELECT doc_id, ' ' || unnest(w) || ' ' AS p FROM words)),
+    crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+    h AS (SELECT feature, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(feature, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS h
+        FROM (SELECT DISTINCT feature FROM f), crc),
+    hashed AS (SELECT doc_id, CAST(h % 256 AS BIGINT) AS bucket, CAST(sum(CASE WHEN (h >> 31) & 1 = 1 THEN 1 ELSE -1 END) AS BIGINT) AS value FROM f JOIN h USING (feature) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {HASHED} SELECT doc_id, bucket, value FROM hashed")
 def feature_hash(spark, sf_dir):
     return text.hashed_features(table(spark, sf_dir, "documents"), "doc_id", 256)
 
 
-@query()
+@query(f"""WITH {HASHED}, n AS (SELECT doc_id, sqrt(sum(value * value)) AS n FROM hashed GROUP BY 1)
+    SELECT doc_id, bucket, round(CAST(CAST(value / n AS FLOAT) AS DOUBLE), 6) AS value FROM hashed JOIN n USING (doc_id) WHERE value <> 0""")
 def local_embedding(spark, sf_dir):
-    return text.local_embeddings(table(spark, sf_dir, "documents"), "doc_id", 256)
-
-
-@query()
+    """The dimensions other than 0 of every text's vector."""
+    made = text.local_embeddings(table(spark, sf_dir, "documents"), "doc_id", 256)
+    flat = made.select("doc_id", F.posexplode("vector").alias("bucket", "value")).where("value <> 0")
+    return flat.select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+#: White space as Python has it (fixed values), and the cut of a chunk that starts at s and may reach to e, w characters long.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_LAST = "CASE WHEN instr(reverse(w), reverse({m})) > 0 AND length(w) - instr(reverse(w), reverse({m})) - 1 >= q THEN length(w) - instr(reverse(w), reverse({m})) + 1 END"
+_MARKS = [f"'{m[0]}' || {'chr(10)' if m[1] == chr(10) else repr(m[1])}" for m in text.SENTENCE_ENDS]
+CHUNKED = f"""cut AS (SELECT doc_id, t, n, ordinal, s, CASE WHEN e = n THEN n ELSE s + coalesce({_LAST.format(m='(chr(10) || chr(10))')}, greatest({', '.join(_LAST.format(m=f'({m})') for m in _MARKS)}),
+        CASE WHEN regexp_matches(w, '{SPACE}') AND length(w) - 1 - length(regexp_extract(reverse(w), '^([^{SPACE[1:]}*){SPACE}', 1)) > q
+            THEN length(w) - length(regexp_extract(reverse(w), '^([^{SPACE[1:]}*){SPACE}', 1)) END, length(w)) END AS e
+    FROM (SELECT *, greatest(1, (e - s) // 4) AS q, substr(t, s + 1, e - s) AS w FROM (SELECT *, least(n, s + 1200) AS e FROM @rows)))"""
+
+
+@query(f"""WITH RECURSIVE first AS (SELECT doc_id, text AS t, length(text) AS n, 0 AS ordinal, CAST(0 AS BIGINT) AS s FROM documents WHERE regexp_matches(text, '[^{SPACE[1:]}')),
+    chunks AS (
+        (WITH {CHUNKED.replace('@rows', 'first')} SELECT * FROM cut)
+        UNION ALL
+        (WITH {CHUNKED.replace('@rows', '(SELECT doc_id, t, n, ordinal + 1 AS ordinal, greatest(s + 1, e - 150) AS s FROM chunks WHERE e < n)')} SELECT * FROM cut))
+    SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(s AS INTEGER) AS span_start, CAST(e AS INTEGER) AS span_end, md5(substr(t, s + 1, e - s)) AS chunk_md5
+    FROM chunks WHERE regexp_matches(substr(t, s + 1, e - s), '[^{SPACE[1:]}')""")
 def split_text(spark, sf_dir):
     cut = text.split_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "ordinal", "span_start", "span_end", F.md5(F.col("chunk_text").cast("binary")).alias("chunk_md5"))
