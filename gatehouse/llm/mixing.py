@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._spark import boxed, name
+
 #: Patterns and sources are aggregates that go to the driver; more than this raises.
 MAX_PATTERNS = 100_000
 #: Documents that a bucket of the seeded order holds on average.
@@ -144,7 +146,7 @@ def mix_sources(docs: DataFrame, sources: str, quotas: dict[object, int], *, siz
     repeats = max(1, repeats)
     spark, docs = docs.sparkSession, docs.drop("copies", "taken")
     kind = docs.schema[sources].dataType
-    keyed = docs.withColumns({"_pattern": F.array_sort(F.array_distinct(F.coalesce(F.col(sources), F.array().cast(kind)))), "_size": F.coalesce(F.col(size), F.lit(0)).cast("long")})
+    keyed = boxed(docs, _pattern=F.array_sort(F.array_distinct(F.coalesce(name(sources), F.array().cast(kind)))), _size=F.coalesce(name(size), F.lit(0)).cast("long"), _id=name(doc_id))
     stats = keyed.groupBy("_pattern").agg(F.sum("_size").alias("total"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(stats) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -161,7 +163,7 @@ def mix_sources(docs: DataFrame, sources: str, quotas: dict[object, int], *, siz
     # Both broadcasts have one row for each pattern, so at most MAX_PATTERNS.
     planned = spark.createDataFrame(plan, f"_pattern {kind}, _whole long, _part long, _buckets long")
     keyed = keyed.join(F.broadcast(planned), "_pattern")
-    keyed = keyed.withColumn("_seeded", F.xxhash64(F.lit(seed), doc_id, "_size")).withColumn("_bucket", F.pmod("_seeded", "_buckets"))
+    keyed = keyed.withColumn("_seeded", F.xxhash64(F.lit(seed), "_id", "_size")).withColumn("_bucket", F.pmod("_seeded", "_buckets"))
     sums = keyed.where("_part > 0").groupBy("_pattern", "_bucket").agg(F.sum("_size").alias("_sum"), F.first("_part").alias("_part"))
     upto = F.sum("_sum").over(Window.partitionBy("_pattern").orderBy("_bucket"))
     edges = sums.withColumn("_upto", upto).where("_upto > _part").groupBy("_pattern").agg(F.min(F.struct("_bucket", (F.col("_part") - F.col("_upto") + F.col("_sum")).alias("room"))).alias("e"))
@@ -174,7 +176,7 @@ def mix_sources(docs: DataFrame, sources: str, quotas: dict[object, int], *, siz
     schema = T.StructType([*keyed.schema.fields, T.StructField("_more", T.LongType())])
     filled = keyed.where(at_edge).groupBy("_pattern").applyInArrow(_fill_edge, schema)
     copies = F.col("_whole") + F.col("_more")
-    return clear.unionByName(filled).select(*docs.columns, copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
+    return clear.unionByName(filled).select("row.*", copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
 
 
 def mix_to_weights(docs: DataFrame, *, source: str = "source", size: str = "size", doc_id: str = "doc_id", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
@@ -185,8 +187,8 @@ def mix_to_weights(docs: DataFrame, *, source: str = "source", size: str = "size
     ``docs`` is read several times, so it had best be a table.
     """
     spark = docs.sparkSession
-    docs = docs.drop("source_size", "target")
-    sizes = docs.groupBy(source).agg(F.sum(size).alias("n")).limit(MAX_PATTERNS + 1).collect()
+    docs = docs.drop("source_size", "target", "copies", "taken")
+    sizes = docs.groupBy(name(source)).agg(F.sum(name(size)).alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(sizes) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} sources")
     sizes = {r[0]: int(r["n"] or 0) for r in sorted(sizes, key=lambda r: (r[0] is None, r[0] or ""))}
@@ -195,7 +197,10 @@ def mix_to_weights(docs: DataFrame, *, source: str = "source", size: str = "size
     w = [weights[i % len(weights)] for i in range(len(sizes))]
     targets = fill_targets(list(sizes.values()), w, share * sum(sizes.values()), most)
     rows = [(s, n, float(t)) for (s, n), t in zip(sizes.items(), targets, strict=True)]
-    known = spark.createDataFrame(rows, f"_source {docs.schema[source].dataType.simpleString()}, source_size long, target double")
-    out = docs.join(F.broadcast(known), F.col(source).eqNullSafe(F.col("_source"))).drop("_source").withColumn("_sources", F.array(source))
+    known = spark.createDataFrame(rows, f"of {docs.schema[source].dataType.simpleString()}, source_size long, target double")
+    keyed = boxed(docs, id=name(doc_id), size=name(size), sources=F.array(name(source)))
+    # One row for each source, so at most MAX_PATTERNS.
+    keyed = keyed.join(F.broadcast(known), F.get("sources", F.lit(0)).eqNullSafe(F.col("of"))).drop("of")
     quotas = {s: round(t) for s, _, t in rows}
-    return mix_sources(out, "_sources", quotas, size=size, doc_id=doc_id, repeats=int(most), seed=seed).drop("_sources")
+    mixed = mix_sources(keyed, "sources", quotas, doc_id="id", repeats=int(most), seed=seed)
+    return mixed.select("row.*", "source_size", "target", "copies", "taken")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import boxed, name
+
 #: The rule list travels to every task, so its size is bounded.
 MAX_RULES = 1_000_000
 
@@ -104,9 +106,9 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], *, url:
             found = [trie.value.lookup(h, p) or (default, None) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame({"rule": [r for _, r in found], "verdict": [v for v, _ in found]}, dtype=object)
 
-    address = F.when(F.instr(url, "://") > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")).otherwise("")
+    link = name(url)
+    address = F.when(F.instr(link, "://") > 0, link.substr(F.instr(link, "://") + 3, F.length(link))).otherwise("")
     host = F.translate(F.regexp_extract(address, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(address, r"^[^/?#]*(/[^?#]*)?", 1)
-    out = pages.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
-    found = match("host", "path")
-    return out.withColumn("_found", found).withColumns({"rule": F.col("_found.rule"), "verdict": F.col("_found.verdict")}).drop("_found")
+    out = boxed(pages.drop("host", "path", "rule", "verdict"), host=host, path=path).withColumn("found", match("host", "path"))
+    return out.select("row.*", "host", "path", "found.rule", "found.verdict")

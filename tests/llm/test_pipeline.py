@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from gatehouse.llm import queries as q
 from gatehouse.llm._spark import materialise
@@ -70,3 +72,25 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark):
     assert [x for x in left if x[0] is not None] == sorted([(0, near(e, 4)), (1, c), (1, d), (3, rows[-1][1])], key=str)
     nulls = [t for i, t in left if i is None]
     assert len(nulls) == 2 and a in nulls and (b in nulls or near(b.split(), 1) in nulls)
+
+
+def test_stages_take_any_rows(spark, sf):
+    """Nulls in any column, empty and long texts, repeated rows and ids, columns of any name, and empty tables, through every stage."""
+    words = " ".join(f"the w{i % 97} of x{i % 89} and" for i in range(400))
+    rows = [(None, None, None, None), (None, words, None, "s"), (1, words + " and more", "en", None), (1, "", "en", "s"), (1, "", "en", "s"), (2, "the of and " * 20_000, "en", "s"), (3, "12 !", "en", "t"), (None, "that this with for", None, None)]
+    mine = {c: F.lit(f"my {c}") for c in ("_words", "_copy", "_h", "_g", "row", "found", "key", "h", "g", "maybe", "score", "size", "copies")}
+    docs = materialise(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns(mine))
+    for name, stage in cp.STAGES:
+        for some in (docs, docs.where("false")):
+            out = stage(spark, some, sf)
+            got = out.collect()
+            assert name == "best_fit_packing" or out.columns == docs.columns
+            assert name == "best_fit_packing" or all(r[c] == f"my {c}" for r in got for c in mine)
+            assert bool(got) == (some is docs), name
+        if name == "simhash_near_dedup":
+            # The texts without words are one group, words and its longer version another.
+            assert sorted((r["text"] or "")[:9] for r in stage(spark, docs, sf).collect()) == ["", "12 !", "that this", "the of an", "the w0 of"]
+        if name == "language_id":
+            assert {r["text"] for r in stage(spark, docs, sf).collect()} == {t for _, t, _, _ in rows if t and t != "12 !"}
+        if name == "best_fit_packing":
+            assert sum(r["piece"] == 0 for r in stage(spark, docs, sf).collect()) == len(rows)

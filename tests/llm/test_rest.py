@@ -69,9 +69,10 @@ def test_fill_targets_and_flow():
 def test_overlapping_sources_and_edge_rows(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice([["a"], ["b"], ["a", "b"], ["b", "a", "a"], [], None, [None]]), rng.choice([0, None, 1, 5, 50])) for i in range(400)] + [(None, ["a"], 3), (1, ["a"], 5), (1, ["a"], 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, s array<string>, size long").withColumns({"taken": F.lit("x"), "_x": F.lit(1)})
+    docs = spark.createDataFrame(rows, "doc_id long, s array<string>, size long").withColumns({"taken": F.lit("x"), **{c: F.lit("mine") for c in ("_x", "_size", "_pattern", "_id", "row", "_more", "_bucket")}})
     out = mixing.mix_sources(docs, "s", {"a": 2000, "b": 1500, None: 10})
     got = out.collect()
+    assert all(r["_size"] == r["_pattern"] == r["row"] == r["_bucket"] == "mine" for r in got)
     assert len(got) == len(rows)
     assert all(r["taken"] == r["copies"] * (r["size"] or 0) and 0 <= r["copies"] <= 2 for r in got)
     assert abs(sum(r["taken"] for r in got) - 3510) < 60
@@ -201,7 +202,8 @@ def test_url_edge_rows(spark):
         "": ("", "", None, "allow"),
         None: ("", "", None, "allow"),
     }
-    frame = spark.createDataFrame([(u,) for u in cases] * 2, "url string").withColumns({"host": F.lit(1), "rule": F.lit(2)})
+    frame = spark.createDataFrame([(u,) for u in cases] * 2, "url string").withColumns({"host": F.lit(1), "rule": F.lit(2), "found": F.lit(3), "row": F.lit(4), "_found": F.lit(5)})
+    assert {"found", "row", "_found"} <= set(urls.judge_urls(frame, q.URL_RULES).columns)
     for r in urls.judge_urls(frame, q.URL_RULES).collect():
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == cases[r["url"]]
     trie = urls.UrlTrie([("block", "b.c", "/x"), ("allow", "b.c", "/x"), ("allow", "c", "/x/long/path"), ("block", "c", "")])
