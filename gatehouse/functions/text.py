@@ -37,10 +37,9 @@ class Chunking:
     overlap_chars: int = 150
 
     def __post_init__(self) -> None:
-        if self.max_chars <= 0:
-            raise InvalidDocumentError("max_chars must be positive")
+        # So every chunk ends after the one before it.
         if not 0 <= self.overlap_chars < self.max_chars:
-            raise InvalidDocumentError("overlap_chars must be at least 0 and below max_chars")
+            raise InvalidDocumentError(f"chunks of {self.max_chars} characters can't share {self.overlap_chars}")
 
 
 def last_break(text: str, start: int, end: int) -> int:

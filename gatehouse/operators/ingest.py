@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import InvalidDocumentError
@@ -61,19 +61,21 @@ def ingest(tables: Tables, raw: DataFrame, embed: EmbedChunks, *, rules: text.Ch
     incoming = with_fingerprints(last).select(DOCUMENTS.names)
     at = tables.current()
     old = tables.read(at)
-    new = tables.stage("incoming", changed_only(incoming, old["documents"]) if old else incoming)
+    # Counted as they are written, without jobs of their own.
+    of_new, of_chunks = Observation(), Observation()
+    new = tables.stage("incoming", (changed_only(incoming, old["documents"]) if old else incoming).observe(of_new, F.count("*").alias("n")))
     gone = None
     if prune and old:
         gone = tables.stage("gone", old["documents"].select("document_id").join(fine.select("document_id"), "document_id", "left_anti"))
-    n = new.count()
+    n = of_new.get["n"]
     unchanged = last.count() - n
     if n == 0 and (gone is None or gone.isEmpty()):
         return Report(0, 0, unchanged, bad, at or 0)
-    chunks = tables.stage("chunks_in", chunk_documents(new, rules))
-    entries = tables.stage("entries_in", chunks.join(embed(chunks.select("chunk_id", "text")), "chunk_id").select("chunk_id", "document_id", "vector", "grants", "denies"))
-    count, wrong = chunks.agg(F.count("*"), F.count_if(~valid_span())).first()
-    if wrong:
+    chunks = tables.stage("chunks_in", chunk_documents(new, rules).observe(of_chunks, F.count("*").alias("n"), F.count_if(~valid_span()).alias("wrong")))
+    count = of_chunks.get["n"]
+    if of_chunks.get["wrong"]:
         raise InvalidDocumentError("a chunk's span doesn't fit its text")
+    entries = tables.stage("entries_in", chunks.join(embed(chunks.select("chunk_id", "text")), "chunk_id").select("chunk_id", "document_id", "vector", "grants", "denies"))
     policies = ix.intern_policies(entries, old["policies"] if old else None)
     out = {"policies": tables.stage("policies_in", policies)}
     if old and not old["quant"].isEmpty():

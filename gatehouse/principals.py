@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .errors import AclResolutionError, InvalidPrincipalError
 from .functions.policy import EVERYONE
+from .plans.tables import shared_folder
 from .schemas import EDGES
 
 LONGEST_ID = 256
@@ -94,8 +96,11 @@ def group_closure(edges: DataFrame) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder; without one (local sessions) the plan stays whole."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+    """A round written to the shared folder and read again, so that nothing is held in memory and no plan grows."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/closure-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def effective_principals(callers: DataFrame, edges: DataFrame) -> DataFrame:
