@@ -108,7 +108,8 @@ class CrossParser:
         folded = {k: fold(samples[k]) for k in self.languages}
         # Characters of any sample are numbered once, and again among those of each language.
         known = np.unique(np.concatenate([np.zeros(0, np.uint32), *folded.values()]))
-        self.symbols = np.zeros(0x110000, np.int32)
+        # In as few bytes as they need, as texts are held in them.
+        self.symbols = np.zeros(0x110000, np.min_scalar_type(len(known)))
         self.symbols[known] = np.arange(1, len(known) + 1)
         self.own, self.automata, self.weights = [], [], []
         for k in self.languages:
@@ -152,7 +153,7 @@ class CrossParser:
         totals = np.zeros((len(self.automata), len(texts)))
         for at in range(0, len(order), 8192):
             chosen = order[at : at + 8192]
-            lanes = np.zeros((len(chosen), WINDOW), np.int32)
+            lanes = np.zeros((len(chosen), WINDOW), self.symbols.dtype)
             for row, j in enumerate(chosen):
                 lanes[row, : lengths[j]] = pieces[j]
             found = self.phrases(lanes, lengths[chosen])
