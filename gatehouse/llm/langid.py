@@ -104,7 +104,7 @@ class CrossParser:
     """
 
     def __init__(self, samples: dict[str, str]):
-        self.languages = sorted(samples)
+        self.samples, self.languages = samples, sorted(samples)
         folded = {k: fold(samples[k]) for k in self.languages}
         # Characters of any sample are numbered once, and again among those of each language.
         known = np.unique(np.concatenate([np.zeros(0, np.uint32), *folded.values()]))
@@ -238,6 +238,17 @@ def learn_languages(labelled: DataFrame, *, text: str = "text", lang: str = "lan
     return CrossParser({k: "\n".join(v)[:budget] for k, v in texts.items()})
 
 
+#: Samples and the parser of them: the last ones only, as workers outlive parsers.
+_last: tuple = (None, None)
+
+
+def _built(samples: dict[str, str]) -> CrossParser:
+    global _last
+    if _last[0] != samples:
+        _last = samples, CrossParser(samples)
+    return _last[1]
+
+
 def identify_languages(docs: DataFrame, parser: CrossParser, *, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` (0 to 1) to every row, from its whole text.
 
@@ -245,12 +256,13 @@ def identify_languages(docs: DataFrame, parser: CrossParser, *, text: str = "tex
     text if nothing was learned. Otherwise the language is one that was learned.
     Columns of these names in the input are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(parser)
+    # The samples are small; what is built from them is not, and each worker builds it once.
+    shared = docs.sparkSession.sparkContext.broadcast(parser.samples)
 
     @F.pandas_udf("struct<lang string, score double>")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            langs, scores = shared.value.predict(texts.tolist())
+            langs, scores = _built(shared.value).predict(texts.tolist())
             yield pd.DataFrame({"lang": langs, "score": scores})
 
     out = boxed(docs.drop("lang_pred", "score"), found=judge(name(text)))

@@ -143,6 +143,10 @@ def _train(known: _Words, texts: np.ndarray, target: np.ndarray) -> np.ndarray:
     return (vectors @ (output[:, 1] - output[:, 0])).astype(np.float64) * touched
 
 
+#: A model and its memory.
+_last: tuple = (None, None)
+
+
 class Softmax:
     """p(label 1) = softmax over two linear outputs of the mean of the words' subword means.
 
@@ -152,7 +156,6 @@ class Softmax:
 
     def __init__(self) -> None:
         self.numbers, self.offset = np.zeros(BUCKETS), -4.0
-        self._seen: _WordNumbers | None = None
 
     def fit(self, texts: list[str], labels: list[int], shares: tuple[float, float] | None = None) -> Softmax:
         """Learn from whole texts, in FOLDS parts: each is kept back once while vectors and outputs are trained together on the rest.
@@ -196,24 +199,20 @@ class Softmax:
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
             step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(2), z.T @ (weight * (y - p)) - 0.1 * w * (1, 0))
             w += np.clip(step, -2, 2)
-        self.numbers, self._seen = numbers * (w[0] / spread), None
+        self.numbers = numbers * (w[0] / spread)
         self.offset = float(w[1] - w[0] * x.mean() / spread)
         return self
 
-    def __getstate__(self) -> dict:
-        return {"numbers": self.numbers, "offset": self.offset, "_seen": None}
-
-    def word(self, word: str) -> float:
-        """Mean number of the word's subwords."""
-        if self._seen is None:
-            self._seen = _WordNumbers(self.numbers.tolist())
-        return self._seen[word]
+    def seen(self) -> _WordNumbers:
+        """The memory of words' numbers. A process has one, of the model that was asked last, as its workers outlive models."""
+        global _last
+        if _last[0] is not self:
+            _last = self, _WordNumbers(self.numbers.tolist())
+        return _last[1]
 
     def score(self, text: str | None) -> float:
         found = set(words(text))
-        if self._seen is None:
-            self._seen = _WordNumbers(self.numbers.tolist())
-        total = sum(map(self._seen.__getitem__, found)) / len(found) if found else 0.0
+        total = sum(map(self.seen().__getitem__, found)) / len(found) if found else 0.0
         return float(1 / (1 + np.exp(-np.clip(total + self.offset, -500, 500))))
 
 
