@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +76,20 @@ def sieved(df: DataFrame, key: str, wanted: DataFrame, into: str = "maybe") -> D
 def crc_of_id(column: str):
     """crc32 of the decimal text of an id; null for a null id."""
     return F.crc32(F.col(column).cast("string"))
+
+
+def utf8_rows(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The bytes of each text of an Arrow array, without a copy; none for a null."""
+    if pa.types.is_large_string(texts.type):
+        kind = np.int64
+    else:
+        kind = np.int32
+        texts = texts.cast(pa.string())
+    _, places, data = texts.buffers()
+    if not len(texts):
+        return
+    at = np.frombuffer(places, kind)[texts.offset : texts.offset + len(texts) + 1].tolist()
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    valid = texts.is_valid().to_pylist() if texts.null_count else None
+    for i in range(len(texts)):
+        yield data[at[i] : at[i + 1]] if valid is None or valid[i] else data[:0]
