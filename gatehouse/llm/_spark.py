@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -93,3 +95,27 @@ def utf8_rows(texts: pa.Array) -> Iterator[np.ndarray]:
     valid = texts.is_valid().to_pylist() if texts.null_count else None
     for i in range(len(texts)):
         yield data[at[i] : at[i + 1]] if valid is None or valid[i] else data[:0]
+
+
+#: What this worker keeps between tasks, and what it was made for.
+_held: list = []
+
+
+def held(kind: str, key: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` makes, kept by a Python worker until something else is asked for.
+
+    A worker outlives tasks, stages and queries, and so would the models and
+    memories of all operators that it has run. It keeps one of them.
+    """
+    if not _held or _held[0] != kind or not (_held[1] is key or _held[1] == key):
+        let_go()
+        _held[:] = kind, key, make()
+    return _held[2]
+
+
+def let_go() -> None:
+    """Give back what is kept."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import boxed, name
+from ._spark import boxed, held, name
 
 #: What a text without a letter, or any text where nothing was learned, is called.
 UNKNOWN = "und"
@@ -238,17 +238,6 @@ def learn_languages(labelled: DataFrame, *, text: str = "text", lang: str = "lan
     return CrossParser({k: "\n".join(v)[:budget] for k, v in texts.items()})
 
 
-#: Samples and the parser of them: the last ones only, as workers outlive parsers.
-_last: tuple = (None, None)
-
-
-def _built(samples: dict[str, str]) -> CrossParser:
-    global _last
-    if _last[0] != samples:
-        _last = samples, CrossParser(samples)
-    return _last[1]
-
-
 def identify_languages(docs: DataFrame, parser: CrossParser, *, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` (0 to 1) to every row, from its whole text.
 
@@ -262,7 +251,8 @@ def identify_languages(docs: DataFrame, parser: CrossParser, *, text: str = "tex
     @F.pandas_udf("struct<lang string, score double>")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            langs, scores = _built(shared.value).predict(texts.tolist())
+            parser = held("languages", shared.value, lambda: CrossParser(shared.value))
+            langs, scores = parser.predict(texts.tolist())
             yield pd.DataFrame({"lang": langs, "score": scores})
 
     out = boxed(docs.drop("lang_pred", "score"), found=judge(name(text)))

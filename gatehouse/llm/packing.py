@@ -10,6 +10,7 @@ from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -18,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import name
+from ._spark import held, name
 
 #: Documents that one task packs together, about. A task leaves at most a few sequences half empty.
 DOCS_A_TASK = 40_000
 #: Bytes of pieces and ids that a memory holds before it starts anew, and those of the longest piece that is remembered.
-REMEMBERED, LONGEST = 48 << 20, 256
+REMEMBERED, LONGEST = 24 << 20, 256
 
 
 class _Known(dict):
@@ -153,6 +154,24 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
+def needed(sizes: list[int], room: int) -> int:
+    """A number of bins that any packing needs at least (Martello and Toth's second bound).
+
+    Items of over half the room need a bin each, and of the smaller ones, from
+    some size on, those that don't fit beside them need more.
+    """
+    order = np.sort(np.array(sizes, np.int64))
+    sums = np.concatenate([[0], np.cumsum(order)])
+    half = int(np.searchsorted(order, room // 2, side="right"))
+    best = len(order) - half
+    for least in np.unique(order[:half]).tolist():
+        low, alone = int(np.searchsorted(order, least)), int(np.searchsorted(order, room - least, side="right"))
+        alone = max(alone, half)
+        beside = room * (alone - half) - int(sums[alone] - sums[half])
+        best = max(best, len(order) - half + max(0, -(-(int(sums[half] - sums[low]) - beside) // room)))
+    return best
+
+
 def improve(bins: list[list[int]], sizes: list[int], room: int) -> list[list[int]]:
     """Swap-based local search over the bins that aren't full.
 
@@ -167,22 +186,36 @@ def improve(bins: list[list[int]], sizes: list[int], room: int) -> list[list[int
     slack = {b for b in fill if fill[b] < room}
     if len(slack) < 2 or sum(fill[b] for b in slack) > room * (len(slack) - 1):
         return bins  # even a perfect packing of these bins needs as many
-    where: dict[int, set[tuple[int, int]]] = defaultdict(set)  # size -> (bin, item) in bins with slack
-    for b in slack:
-        for i in bins[b]:
-            where[sizes[i]].add((b, i))
+    if needed([sizes[i] for b in slack for i in bins[b]], room) >= len(slack):
+        return bins  # these can't do with fewer
+    home = {i: b for b in slack for i in bins[b]}
+    # By size, the items of bins with slack, those in the emptiest bin first; and the bins. What has changed since it was put in goes when it is met.
+    where: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for i, b in home.items():
+        where[sizes[i]].append((fill[b], b, i))
+    for heap in where.values():
+        heapify(heap)
+    emptiest = [(fill[b], b) for b in slack]
+    heapify(emptiest)
     present = sorted(where)
 
     def giver(size: int, taker: int) -> tuple[int, int] | None:
         """An item of this size in the emptiest bin that is emptier than the taker."""
-        best = min(where.get(size, ()), key=lambda x: (fill[x[0]], x), default=None)
-        return best if best and best[0] != taker and (fill[best[0]], best[0]) < (fill[taker], taker) else None
+        heap = where[size]
+        while heap and (heap[0][1] not in slack or home[heap[0][2]] != heap[0][1] or fill[heap[0][1]] != heap[0][0]):
+            heappop(heap)
+        return heap[0][1:] if heap and heap[0][1] != taker and heap[0][:2] < (fill[taker], taker) else None
+
+    def least() -> int | None:
+        """The emptiest bin."""
+        while emptiest and (emptiest[0][1] not in slack or fill[emptiest[0][1]] != emptiest[0][0]):
+            heappop(emptiest)
+        return emptiest[0][1] if emptiest else None
 
     def put(i: int, a: int, b: int) -> None:
         bins[a].remove(i)
-        where[sizes[i]].discard((a, i))
         bins[b].append(i)
-        where[sizes[i]].add((b, i))
+        home[i] = b
         fill[a] -= sizes[i]
         fill[b] += sizes[i]
 
@@ -205,8 +238,8 @@ def improve(bins: list[list[int]], sizes: list[int], room: int) -> list[list[int
                     break
         if best[0] < free:
             # Two of the emptiest bin for one of this one.
-            a = min((x for x in slack if x != b), key=lambda x: (fill[x], x), default=None)
-            if a is not None and (fill[a], a) < (fill[b], b):
+            a = least()
+            if a is not None and a != b and (fill[a], a) < (fill[b], b):
                 own = sorted(bins[a], key=lambda i: sizes[i])
                 for j in bins[b]:
                     lo, hi, most = 0, len(own) - 1, sizes[j] + free
@@ -228,8 +261,10 @@ def improve(bins: list[list[int]], sizes: list[int], room: int) -> list[list[int
         for x in (a, b):
             if fill[x] in (0, room):
                 slack.discard(x)
-                for i in bins[x]:
-                    where[sizes[i]].discard((x, i))
+                continue
+            heappush(emptiest, (fill[x], x))
+            for i in bins[x]:
+                heappush(where[sizes[i]], (fill[x], x, i))
         return True
 
     moved = True
@@ -272,7 +307,7 @@ def pack_documents(docs: DataFrame, load: Callable[[], WordTokenizer], *, text:
         pieces += ", ids binary"
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, end = load(), np.array([end_id], "<u4").tobytes()
+        tokenizer, end = held("tokenizer", load, load), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.iloc[lo : lo + 500]

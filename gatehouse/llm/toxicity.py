@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import held
+
 #: Bounds of the labelled sample: rows of each label, and characters of a text that is learned from.
 ROWS, TEXT_CHARS = 1_500, 50_000
 #: Hashed n-gram vectors, their width, and the lengths of character n-grams.
@@ -143,10 +145,6 @@ def _train(known: _Words, texts: np.ndarray, target: np.ndarray) -> np.ndarray:
     return (vectors @ (output[:, 1] - output[:, 0])).astype(np.float64) * touched
 
 
-#: A model and its memory.
-_last: tuple = (None, None)
-
-
 class Softmax:
     """p(label 1) = softmax over two linear outputs of the mean of the words' subword means.
 
@@ -204,11 +202,8 @@ class Softmax:
         return self
 
     def seen(self) -> _WordNumbers:
-        """The memory of words' numbers. A process has one, of the model that was asked last, as its workers outlive models."""
-        global _last
-        if _last[0] is not self:
-            _last = self, _WordNumbers(self.numbers.tolist())
-        return _last[1]
+        """The memory of words' numbers, of the model that this process asked last."""
+        return held("words", self, lambda: _WordNumbers(self.numbers.tolist()))
 
     def score(self, text: str | None) -> float:
         found = set(words(text))
