@@ -9,16 +9,23 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import InvalidRequestError, VectorIndexError
 from ..functions import policy, vectors
+from ..plans.tables import written
+from . import topk
 
 #: Candidates that the Hamming stage keeps for each wanted row.
 RESCORE = 64
 #: More policy ids than this are joined and not listed in the filter.
 LISTED_POLICIES = 1_000
+#: Bytes of one of Spark's bitmaps.
+_BUCKET_BYTES = 4096
 
 
 def fit_int8(entries: DataFrame, vector: str = "vector", *, dimension: int | None = None) -> DataFrame:
@@ -47,8 +54,9 @@ def fit_entries(entries: DataFrame) -> DataFrame:
 def intern_policies(entries: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(policy_id, policy_key, grants, denies) of all distinct policies; those known keep their ids.
 
-    The key is a SHA-256; ids are dense numbers in the order of the key. There
-    are few policies, so the window that numbers them runs over them alone.
+    The key is a SHA-256; ids are dense numbers in the order of the key, which
+    are given without gathering the policies in a task: they are sorted by
+    ranges and written, and each range counts on from those before it.
     """
     found = entries.select(policy.ids("grants").alias("grants"), policy.ids("denies").alias("denies")).distinct().withColumn("policy_key", policy.policy_key("grants", "denies"))
     first = 0
@@ -56,10 +64,55 @@ def intern_policies(entries: DataFrame, known: DataFrame | None = None) -> DataF
         found = found.join(known.select("policy_key"), "policy_key", "left_anti")
         last = known.agg(F.max("policy_id")).first()[0]
         first = 0 if last is None else last + 1
-    numbered = found.withColumn("policy_id", (F.row_number().over(Window.orderBy("policy_key")) - 1 + first).cast("long")).select("policy_id", "policy_key", "grants", "denies")
+    dealt = found.repartitionByRange("policy_key").sortWithinPartitions("policy_key")
+    # The upper bits of this number are the range, the lower 33 count its rows.
+    placed = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "policies")
+    within, part = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright("_at", 33)
+    offsets, so_far = [], first
+    for p, n in sorted(tuple(r) for r in placed.groupBy(part.alias("p")).count().collect()):
+        offsets.append((p, so_far))
+        so_far += n
+    # A row a range, of which a shuffle has a stated number.
+    starts = F.broadcast(entries.sparkSession.createDataFrame(offsets, "_part long, _start long"))
+    numbered = placed.join(starts, part == F.col("_part")).select((F.col("_start") + within).alias("policy_id"), "policy_key", "grants", "denies")
     return numbered if known is None else known.select("policy_id", "policy_key", "grants", "denies").unionByName(numbered)
 
 
+def policy_bitmaps(policies: DataFrame) -> DataFrame:
+    """(principal, bucket, granted, denied): which policies name a principal, as bitmaps of 32,768 policies each."""
+
+    def named(rules: str, column: str) -> DataFrame:
+        by = policies.select(F.explode(rules).alias("principal"), (F.col("policy_id") + 1).alias("_p"))
+        return by.groupBy("principal", F.bitmap_bucket_number("_p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias(column))
+
+    return named("grants", "granted").join(named("denies", "denied"), ["principal", "bucket"], "full")
+
+
+@F.arrow_udf(T.BinaryType())
+def _and_not(granted: pa.Array, denied: pa.Array) -> pa.Array:
+    out = []
+    for g, d in zip(granted.to_pylist(), denied.to_pylist(), strict=True):
+        bits = np.frombuffer(g or b"", np.uint8)
+        out.append((bits & ~np.frombuffer(d, np.uint8)).tobytes() if d and len(bits) else bits.tobytes())
+    return pa.array(out, pa.binary())
+
+
+def admitted_bitmaps(held: DataFrame, policies: DataFrame) -> DataFrame:
+    """(held, admitted): the policies that each permission set admits, as one bitmap, the policy's id being the bit.
+
+    held: one column of distinct sets. Sets meet the bitmaps of their
+    principals by an equality join; what any of them is granted is or-ed, and
+    what any is denied taken away. Sets that nothing grants aren't returned.
+    """
+    met = held.select("held", F.explode("held").alias("principal")).join(policy_bitmaps(policies), "principal")
+    by_set = met.groupBy("held", "bucket").agg(F.bitmap_or_agg(F.coalesce("granted", F.lit(b""))).alias("granted"), F.bitmap_or_agg(F.coalesce("denied", F.lit(b""))).alias("denied"))
+    by_set = by_set.select("held", "bucket", _and_not("granted", "denied").alias("bits"))
+    # Buckets (from 1 on) that a set lacks are empty.
+    whole = F.map_from_entries(F.collect_list(F.struct("bucket", "bits")))
+    empty = F.lit(bytes(_BUCKET_BYTES))
+    return by_set.groupBy("held").agg(whole.alias("_m"), F.max("bucket").alias("_last")).select("held", F.unhex(F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), "_last"), lambda i: F.hex(F.coalesce(F.try_element_at("_m", i), empty))), "")).alias("admitted"))
+
+
 def encode_entries(entries: DataFrame, policies: DataFrame, quant: DataFrame) -> DataFrame:
     """Index rows of entries (chunk_id, document_id, vector, grants, denies): codes and policy ids, no text."""
     unit = entries.withColumn("_v", vectors.l2_normalize("vector")).withColumn("policy_key", policy.policy_key("grants", "denies"))
@@ -151,7 +204,7 @@ BLOCK_ROWS = 65_536
 def in_blocks(rows: DataFrame, queries: DataFrame, key: str, on: Column | None = None) -> DataFrame:
     """Every row with every query (``on``: that also fits): rows are dealt into blocks, and queries copied to each block.
 
-    A join on the block's number, so neither side is broadcast or held whole.
+    For results that have a row for each pair; `topk.k_best` is for the best of them.
     """
     spark = rows.sparkSession
     blocks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // BLOCK_ROWS))
@@ -173,25 +226,31 @@ def folded(queries: DataFrame, quant: DataFrame, vector: str = "vector") -> Data
 def batch_search(index: VectorIndex, queries: DataFrame, k: int, *, candidates: int) -> DataFrame:
     """Search for many queries, each under its own permissions: query_id, rank, chunk_id, score.
 
-    queries: query_id, permissions, vector. The few policies are matched with
-    the distinct permission sets first; the ids that any set admits are pushed
-    into the scan of the codes, and a code meets the queries that admit its
-    policy (`in_blocks`). For either stage Spark keeps the best rows of a query
-    in each task before the shuffle.
+    queries: query_id, permissions, vector. The distinct permission sets are
+    matched with bitmaps of the policies, and the ids that any set admits are
+    pushed into the scan of the codes. Each task keeps, by `topk.k_best`, the
+    nearest ``candidates`` rows that a query's bitmap admits with their int8
+    scores; of all of them the nearest are ranked by score.
     """
     asked = folded(queries.withColumns({"vector": vectors.l2_normalize("vector"), "held": policy.ids("permissions")}), index.quant)
-    held = asked.select("held").distinct()
-    admitted = held.join(index.policies, policy.admits("grants", "denies", F.col("held"))).groupBy("held").agg(F.collect_list("policy_id").alias("admitted"))
-    few = [r[0] for r in admitted.select(F.explode("admitted").alias("p")).distinct().limit(LISTED_POLICIES + 1).collect()]
-    codes = index.codes.where(F.col("policy_id").isin(few)) if few and len(few) <= LISTED_POLICIES else index.codes if few else index.codes.limit(0)
-    asked = asked.join(admitted, "held").select("query_id", "admitted", F.col("bin").alias("_qbin"), "weights", "bias")
-    met = in_blocks(codes.select("chunk_id", "policy_id", "bin", "i8"), asked, "chunk_id", F.array_contains("admitted", F.col("policy_id")))
-    near = met.select("query_id", "chunk_id", "i8", "weights", "bias", vectors.hamming("bin", "_qbin").alias("_far"))
-    first = Window.partitionBy("query_id").orderBy("_far", "chunk_id")
-    near = near.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= candidates)
-    scored = near.select("query_id", "chunk_id", vectors.rescore("i8", "weights", F.col("bias")).alias("score"))
+    admitted = written(admitted_bitmaps(asked.select("held").where(F.size("held") > 0).distinct(), index.policies), "admitted")
+    asked = written(asked.join(admitted, "held").select("query_id", "bin", "weights", "bias", "admitted"), "asked")
+    few = _policies_of(admitted)
+    codes = index.codes if few is None else index.codes.where(F.col("policy_id").isin(few)) if few else index.codes.limit(0)
+    near = topk.k_best(codes.select("chunk_id", "policy_id", "bin", "i8"), asked, candidates, topk.scored_candidates, key="chunk_id", order="far long", more="score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+
+
+def _policies_of(admitted: DataFrame) -> list[int] | None:
+    """The policies that any of the bitmaps has; None if they are too many to list."""
+    longest = admitted.agg(F.max(F.octet_length("admitted"))).first()[0]
+    found = np.zeros(longest or 0, np.uint8)
+    for (bits,) in admitted.select("admitted").distinct().toLocalIterator():
+        own = np.frombuffer(bits, np.uint8)
+        found[: len(own)] |= own
+    ids = np.flatnonzero(np.unpackbits(found, bitorder="little")).tolist()
+    return ids if len(ids) <= LISTED_POLICIES else None
 
 
 def recall_at_k(exact: DataFrame, found: DataFrame, k: int, *, key: str = "vec_id") -> DataFrame:

@@ -25,9 +25,18 @@ def shared_folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise StoreError("set spark.checkpoint.dir to a folder that all hosts share")
-    return f"file://{tempfile.mkdtemp(prefix='gatehouse-')}"
+    shared = f"file://{tempfile.mkdtemp(prefix='gatehouse-')}"
+    spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written to the shared folder and read again: nothing is computed twice, and lost executors cost a read."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Tables:
@@ -55,7 +64,7 @@ class Tables:
         files, folder = self._file("versions")
         if not files.exists(folder):
             return None
-        return max((int(f.getPath().getName()) for f in files.listStatus(folder) if f.getPath().getName().isdigit()), default=None)
+        return max((int(f.getPath().getName()) for f in files.listStatus(folder) if f.getPath().getName().isdigit() and f.getLen()), default=None)
 
     def manifest(self, version: int) -> dict:
         try:
@@ -115,15 +124,27 @@ class Tables:
         if not n == ids == keys:
             raise StoreError("policies don't have ids of their own")
         parts = [*([] if anew or after is None else self.manifest(after)["parts"]), part]
-        files, path = self._file(f"versions/{version}")
-        try:
-            out = files.create(path, False)
-        except Exception:
-            raise StoreError(f"another writer published version {version}") from None
-        out.write(json.dumps({"version": version, "parts": parts}).encode())
-        out.close()
+        self._appear(version, json.dumps({"version": version, "parts": parts}))
         return version
 
+    def _appear(self, version: int, text: str) -> None:
+        """Make a version visible, whole: its text is written aside and the file renamed, which fails if there is one of this number.
+
+        A writer that dies before the rename leaves a file that nobody reads.
+        Stores like HDFS rename in one step and never over a file; a local disk
+        leaves a moment between the test and the renaming.
+        """
+        files, aside = self._file(f"versions/.{version}-{uuid.uuid4().hex}")
+        out = files.create(aside, False)
+        out.write(text.encode())
+        out.close()
+        _, path = self._file(f"versions/{version}")
+        if files.exists(path) and not files.getFileStatus(path).getLen():
+            files.delete(path, False)  # nobody's: a version is never empty
+        if files.exists(path) or not files.rename(aside, path):
+            files.delete(aside, False)
+            raise StoreError(f"another writer published version {version}")
+
     def compact(self) -> int:
         """The latest version's rows as one part, as a new version; returns it."""
         now = self.current()

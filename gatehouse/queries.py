@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from .functions import policy, text, vectors
 from .operators import index as ix
 from .operators import ingest as ing
-from .operators import metrics, simulate, store
+from .operators import metrics, simulate, store, topk
 from .operators.index import VectorIndex
-from .operators.retrieve import fetch_hits, ranked
+from .operators.retrieve import answer
 from .plans.tables import Tables, shared_folder
 from .principals import effective_principals, whoami
 from .schemas import RAW
@@ -294,10 +294,14 @@ def vec_binarize(spark, sf_dir):
     FROM bits q JOIN bits c ON q.vec_id % {EVERY} = 0) WHERE rank <= 10""")
 def vec_hamming_topk(spark, sf_dir):
     bits = entries(spark, sf_dir).select("vec_id", vectors.binarize("vector").alias("bin"))
-    asked = bits.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("bin").alias("q"))
-    far = ix.in_blocks(bits, asked, "vec_id").select("query_id", "vec_id", vectors.hamming("bin", "q").alias("far"))
-    best = Window.partitionBy("query_id").orderBy("far", "vec_id")
-    return far.withColumn("rank", F.row_number().over(best)).where("rank <= 10")
+    asked = bits.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "bin")
+    best = topk.k_best(bits, asked, 10, topk.nearest_codes, key="vec_id", order="far long")
+    return numbered(best, "far").withColumn("far", F.col("far").cast("int"))
+
+
+def numbered(best: DataFrame, *order: str | Column) -> DataFrame:
+    """Ranks of the few best rows of each query."""
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "vec_id")))
 
 
 FIT = f"""fit AS (SELECT i, min(vector[i]) AS minimum, CASE WHEN max(vector[i]) = min(vector[i]) THEN 1 ELSE max(vector[i]) - min(vector[i]) END AS scale
@@ -356,9 +360,8 @@ def exact_topk(spark, sf_dir):
 
 
 def best_exact(rows: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
-    scored = ix.in_blocks(rows, asked.withColumnRenamed("vector", "q"), "vec_id").select("query_id", "vec_id", vectors.dot("vector", "q").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    best = topk.k_best(rows.select("vec_id", "vector"), asked, k, topk.largest_products, key="vec_id", order="under double")
+    return numbered(best.select("query_id", "vec_id", (-F.col("under")).alias("score")), F.desc("score"))
 
 
 #: The index holds normalised vectors.
@@ -377,7 +380,7 @@ def _search_sql(kept: int, k: int, who: str, end: str) -> str:
     {end.format(k=k)}"""
 
 
-_STORED: dict[tuple[str, str], VectorIndex] = {}
+_STORED: dict[tuple[str, str], object] = {}
 
 
 def chunk_of(vec_id: Column | str) -> Column:
@@ -415,15 +418,15 @@ def scoped_search(spark, sf_dir):
     return _searched(spark, sf_dir, {"c1": CALLERS["c1"]}, 10, 640)
 
 
-@query(_search_sql(40, 10, "caller = 'c1'", ONE))
+@query(_search_sql(160, 10, "caller = 'c1'", ONE))
 def scoped_search_narrow(spark, sf_dir):
-    """With so few candidates that the Hamming stage cuts."""
-    return _searched(spark, sf_dir, {"c1": CALLERS["c1"]}, 10, 40)
+    """With so few candidates that the Hamming stage cuts; its recall is a row of recall_by_setting."""
+    return _searched(spark, sf_dir, {"c1": CALLERS["c1"]}, 10, 160)
 
 
-@query(_search_sql(40, 10, "true", ONE))
+@query(_search_sql(640, 10, "true", ONE))
 def batch_scoped_search(spark, sf_dir):
-    return _searched(spark, sf_dir, CALLERS, 10, 40)
+    return _searched(spark, sf_dir, CALLERS, 10, 640)
 
 
 @query(_search_sql(640, 10, "caller = 'c1'", """, exact AS (SELECT query, vec_id FROM (SELECT a.vec_id AS query, e.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(e.vector, a.vector) DESC, e.vec_id) AS n
@@ -437,23 +440,77 @@ def recall_at_k(spark, sf_dir):
     return ix.recall_at_k(best_exact(mine, asked_vectors(rows)), found, 10).withColumn("recall", F.round("recall", 9))
 
 
-@query(f"""WITH {WINDOWS}, e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
-    hits AS (SELECT *, 'doc:' || lpad(CAST(vec_id AS VARCHAR), 9, '0') || '#0' AS chunk_id FROM (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(c.x, q.x) AS score,
-        row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(c.x, q.x) DESC, c.vec_id) AS n FROM e q JOIN e c ON q.vec_id % {EVERY} = 0) WHERE n <= 40),
-    p AS (SELECT {_list(READER)} AS perms),
-    r AS (SELECT h.query_id, row_number() OVER (PARTITION BY h.query_id ORDER BY h.score DESC, c.chunk_id) AS rank, c.chunk_id, c.document_id, md5(c.text) AS text_md5, round(h.score, 6) AS score, connector, uri, title, version, span_start, span_end
-    FROM chunks c JOIN hits h ON c.chunk_id = h.chunk_id JOIN stored s ON s.document_id = c.document_id CROSS JOIN p WHERE list_has_any(c.grants, perms) AND NOT list_has_any(c.denies, perms))
-    SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM r WHERE rank <= 10""")
+def _recall_sql(kept: int) -> str:
+    """Recall of one setting for every caller who sees anything, as a row a caller."""
+    return _search_sql(kept, 10, "len(perms) > 0", """, exact AS (SELECT query, caller, vec_id FROM (SELECT a.vec_id AS query, a.caller, e.vec_id, row_number() OVER (PARTITION BY a.vec_id, a.caller ORDER BY list_inner_product(e.vector, a.vector) DESC, e.vec_id) AS n
+        FROM asked a JOIN plain e ON list_has_any(e.grants, a.perms) AND NOT list_has_any(e.denies, a.perms)) WHERE n <= {k})
+        SELECT @kept AS candidates, x.caller, count(*) AS wanted, count(r.vec_id) AS hits, round(count(r.vec_id) / count(*), 9) AS recall
+        FROM exact x LEFT JOIN ranked r ON r.query = x.query AND r.caller = x.caller AND r.vec_id = x.vec_id AND r.rank <= {k} GROUP BY x.caller""").replace("@kept", str(kept))
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_recall_sql(kept)})" for kept in (160, 640)))
+def recall_by_setting(spark, sf_dir):
+    """Recall at 10 of each registered setting, for each caller who sees anything, over the query set, against brute force."""
+    rows = entries(spark, sf_dir)
+    who = {c: p for c, p in CALLERS.items() if p}
+    asked = asked_vectors(rows)
+    exact = None
+    for c, p in who.items():
+        own = best_exact(rows.where(policy.admits("grants", "denies", p)), asked).select(F.concat("query_id", F.lit(f"/{c}")).alias("query_id"), "vec_id")
+        exact = own if exact is None else exact.unionByName(own)
+    out = None
+    for kept in (160, 640):
+        found = _searched(spark, sf_dir, who, 10, kept).select("query_id", "vec_id", F.lit(1).alias("hit"))
+        both = exact.join(found, ["query_id", "vec_id"], "left").groupBy(F.split("query_id", "/")[1].alias("caller")).agg(F.count("*").alias("wanted"), F.count("hit").alias("hits"))
+        of = both.select(F.lit(kept).alias("candidates"), "caller", "wanted", "hits", F.round(F.col("hits") / F.col("wanted"), 9).alias("recall"))
+        out = of if out is None else out.unionByName(of)
+    return out
+
+
+#: Text chunks with the vector of the same number and their document's policy: what an index of the documents has.
+FIRST_CHUNK = "'doc:' || lpad(CAST(vec_id AS VARCHAR), 9, '0')"
+CHUNK_SEARCH = f"""{WINDOWS}, joined AS (SELECT {FIRST_CHUNK} || '#0' AS vec_id, vec_id AS number, CAST(embedding AS DOUBLE[]) AS plain_vector, grants, denies FROM embeddings JOIN stored ON document_id = {FIRST_CHUNK}),
+    entries AS (SELECT vec_id, number, grants, denies, list_transform(plain_vector, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END) AS vector
+        FROM (SELECT *, sqrt(list_sum(list_transform(plain_vector, lambda x: x * x))) AS n FROM joined)),
+    {BITS.replace("SELECT vec_id, grants", "SELECT vec_id, number, grants")}, {CODES}"""
+
+
+@query(f"""WITH {CHUNK_SEARCH}, p AS (SELECT {_list(READER)} AS perms),
+    asked AS (SELECT vec_id AS query_id, bin, vector FROM (SELECT vec_id, list_transform(x, lambda y: y / CASE WHEN n = 0 THEN 1 ELSE n END) AS vector, CAST(0 AS BIGINT) AS bin FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))) AS n FROM embeddings WHERE vec_id % {EVERY} = 0))),
+    coded AS (SELECT query_id, vector, CAST(CASE WHEN s >= 9223372036854775808 THEN s - 18446744073709551616 ELSE s END AS BIGINT) AS bin
+        FROM (SELECT *, list_sum(list_transform(range(64), lambda i: CASE WHEN vector[i + 1] > 0 THEN CAST(1 AS HUGEINT) << CAST(63 - i AS INTEGER) ELSE CAST(0 AS HUGEINT) END)) AS s FROM asked)),
+    near AS (SELECT * FROM (SELECT a.query_id, a.vector, b.vec_id, row_number() OVER (PARTITION BY a.query_id ORDER BY bit_count(xor(a.bin, b.bin)), b.vec_id) AS n
+        FROM coded a CROSS JOIN p JOIN bits b ON list_has_any(b.grants, perms) AND NOT list_has_any(b.denies, perms)) WHERE n <= 2560),
+    hits AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n
+        FROM (SELECT a.query_id, c.vec_id AS chunk_id, {DECODED} AS score FROM near a JOIN codes c ON c.vec_id = a.vec_id)) WHERE n <= 40),
+    r AS (SELECT h.query_id, row_number() OVER (PARTITION BY h.query_id ORDER BY h.score DESC, c.chunk_id) AS rank, count(*) OVER (PARTITION BY h.query_id) AS candidates, c.chunk_id, c.document_id, md5(c.text) AS text_md5, round(h.score, 6) AS score, connector, uri, title, version, span_start, span_end
+        FROM chunks c JOIN hits h ON c.chunk_id = h.chunk_id JOIN stored s ON s.document_id = c.document_id CROSS JOIN p WHERE list_has_any(c.grants, perms) AND NOT list_has_any(c.denies, perms))
+    SELECT * REPLACE (CAST(rank AS INTEGER) AS rank, CAST(query_id AS VARCHAR) AS query_id) FROM r WHERE rank <= 10""")
 def retrieve_cited(spark, sf_dir):
-    """For each query of the set the best 10 of its 40 best vectors' texts that the documents' own policies admit, cited."""
-    rows = entries(spark, sf_dir).select("vec_id", "vector")
-    chunk = F.concat(F.lit("doc:"), F.lpad(F.col("vec_id").cast("string"), 9, "0"), F.lit("#0"))
-    hits = best_exact(rows, asked_vectors(rows), 40).select("query_id", chunk.alias("chunk_id"), "score")
-    asked = asked_vectors(rows).select("query_id", policy.ids(READER).alias("permissions"))
-    best = ranked(fetch_hits(hits, asked, windows(spark, sf_dir), stored(spark, sf_dir)), 10)
+    """The whole path for each query of the set: the stored index of the texts' chunks is searched for the 40 best that
+    the reader may see, their texts are fetched behind the policy, checked again, and the best 10 cited."""
+    index, chunks, docs = stored_chunks(spark, sf_dir)
+    asked = asked_vectors(entries(spark, sf_dir)).select(F.col("query_id").cast("string").alias("query_id"), F.lit("").alias("query"), policy.ids(READER).alias("permissions"), "vector")
+    best = answer(index, chunks, docs, asked, 10, candidate_k=40)
     return best.withColumns({"text_md5": F.md5(F.col("text").cast("binary")), "score": F.round("score", 6)}).drop("text")
 
 
+def stored_chunks(spark: SparkSession, sf_dir: str) -> tuple[VectorIndex, DataFrame, DataFrame]:
+    """The index of the documents' first chunks, each with the embedding of the same number, and the tables of chunks and documents: published once in an application."""
+    at = (spark.sparkContext.applicationId, f"{sf_dir}#chunks")
+    if at not in _STORED:
+        tables = Tables(spark, f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}")
+        chunk = F.concat(F.lit("doc:"), F.lpad(F.col("vec_id").cast("string"), 9, "0"), F.lit("#0")).alias("chunk_id")
+        of_chunk = table(spark, sf_dir, "embeddings").select(chunk, F.col("embedding").alias("vector"))
+        docs = tables.stage("documents", stored(spark, sf_dir))
+        first = docs.select(ing.chunk_id("document_id", F.lit(0)).alias("chunk_id"), "document_id", "grants", "denies")
+        made = ix.VectorIndex.build(tables.stage("entries", of_chunk.join(first, "chunk_id").select("chunk_id", "document_id", "vector", "grants", "denies")))
+        tables.publish({"index": made.codes, "policies": made.policies, "quant": made.quant, "documents": docs, "chunks": windows(spark, sf_dir)})
+        now = tables.read()
+        _STORED[at] = ix.VectorIndex(now["index"], now["policies"], now["quant"]).validate(), now["chunks"], now["documents"]
+    return _STORED[at]
+
+
 @query(f"""WITH {DOCUMENTS}, p AS (SELECT {_list(READER)} AS perms) SELECT doc_id, CAST(length(text) % 997 AS INTEGER) AS score FROM docs, p WHERE {ADMITS} ORDER BY score DESC, doc_id LIMIT 10""")
 def rerank_order(spark, sf_dir):
     """The order of a reranker (its score here: the text's length modulo 997), best 10 of what is admitted."""

@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,8 +11,8 @@ from gatehouse import queries as q
 from gatehouse.errors import AclResolutionError, InvalidRequestError, SourceError, StoreError, VectorIndexError
 from gatehouse.functions import text
 from gatehouse.operators import ingest as ing
-from gatehouse.operators import store
-from gatehouse.operators.index import VectorIndex
+from gatehouse.operators import store, topk
+from gatehouse.operators.index import VectorIndex, admitted_bitmaps, batch_search, intern_policies
 from gatehouse.operators.retrieve import Request, answer, fetch_hits
 from gatehouse.operators.simulate import simulate
 from gatehouse.plans.shape import executed_plan, filters_below
@@ -168,11 +169,99 @@ def test_versions_grow_by_what_changes(spark, tmp_path):
 
 
 def test_batches_filter_policies_in_the_scan(spark, sf):
-    found = q.scoped_search(spark, sf)
+    found = q.batch_scoped_search(spark, sf)
     plan = executed_plan(found)
     assert "In(policy_id" in plan.split("PushedFilters")[1] or "EqualTo(policy_id" in plan
-    assert filters_below(found, r"Filter.*policy_id", r"WindowGroupLimit")
-    assert "text" not in plan
+    assert filters_below(found, r"Filter.*policy_id", r"MapInArrow")
+    assert "text" not in plan and "Join" not in plan and "CartesianProduct" not in plan
+    # What is sorted has left the tasks as the best of a query.
+    assert plan.index("Sort") < plan.index("MapInArrow")
+
+
+@pytest.mark.parametrize("batch", [topk.BATCH_BYTES, 700])
+def test_bounded_top_k_equals_brute_force(spark, batch, monkeypatch):
+    rng = np.random.default_rng(3)
+    n, dim = 700, 70
+    v = np.round(rng.normal(size=(n, dim)), 1)
+    v[50:90] = v[10:50]  # ties
+    v[95] = 0
+    rules = [(sorted(rng.choice(list("abcdef"), rng.integers(0, 3), replace=False).tolist()), sorted(rng.choice(list("abcdef"), rng.integers(0, 2), replace=False).tolist())) for _ in range(n)]
+    entries = spark.createDataFrame([(f"c{i:04d}", "d", v[i].tolist(), *rules[i]) for i in range(n)], "chunk_id string, document_id string, vector array<double>, grants array<string>, denies array<string>").repartition(5)
+    index = VectorIndex.build(entries)
+    asked = [(f"q{i}", sorted(rng.choice(list("abcdefg"), rng.integers(0, 4), replace=False).tolist()), v[i].tolist()) for i in range(12)]
+    monkeypatch.setattr(topk.k_best, "__kwdefaults__", {**topk.k_best.__kwdefaults__, "batch_bytes": batch})
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 64)
+    queries = spark.createDataFrame(asked, "query_id string, permissions array<string>, vector array<double>")
+    got = {}
+    for r in batch_search(index, queries, 7, candidates=60).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"], round(r["score"], 9)))
+    for name, held, x in asked:
+        # As many candidates as the batch keeps.
+        want = index.search(x, held, 60, rescore=1).limit(7).collect() if held else []
+        assert sorted(got.get(name, [])) == [(i + 1, r["chunk_id"], round(r["score"], 9)) for i, r in enumerate(want)], name
+    rows = spark.createDataFrame([(i, v[i].tolist()) for i in range(n)] + [(9999, None)], "id long, vector array<double>").repartition(4)
+    some = spark.createDataFrame([(i, v[i].tolist()) for i in range(9)], "query_id long, vector array<double>")
+    best = {}
+    for r in topk.k_best(rows, some, 5, topk.largest_products, key="id", order="under double").collect():
+        best.setdefault(r["query_id"], []).append((r["under"], r["id"]))
+    for i in range(9):
+        assert sorted(best[i]) == sorted((-float(np.cumsum(v[j] * v[i])[-1]), j) for j in range(n))[:5]
+
+
+def test_bitmaps_of_policies_equal_the_predicate(spark, monkeypatch):
+    rng = random.Random(8)
+    ids = [f"p{i}" for i in range(9)]
+    rules = {(tuple(sorted(rng.sample(ids, rng.randint(0, 4)))), tuple(sorted(rng.sample(ids, rng.randint(0, 3))))) for _ in range(300)}
+    made = intern_policies(spark.createDataFrame([(list(g), list(d)) for g, d in rules], "grants array<string>, denies array<string>").repartition(7))
+    known = {r["policy_id"]: r for r in made.collect()}
+    # Dense, in the order of the key, and more than a bitmap of Spark holds when moved up.
+    assert sorted(known) == list(range(len(rules))) and [known[i]["policy_key"] for i in range(len(rules))] == sorted(r["policy_key"] for r in known.values())
+    sets = [sorted(rng.sample(ids, n)) for n in range(10)]
+    for shift in (0, 70_000):
+        held = spark.createDataFrame([(s,) for s in sets], "held array<string>").distinct()
+        found = admitted_bitmaps(held, made.withColumn("policy_id", F.col("policy_id") + shift))
+        plan = executed_plan(found)
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "array_contains" not in plan
+        bits = {tuple(r["held"]): np.flatnonzero(np.unpackbits(np.frombuffer(r["admitted"], np.uint8), bitorder="little")).tolist() for r in found.collect()}
+        for s in sets:
+            want = [i + shift for i, r in known.items() if set(r["grants"]) & set(s) and not set(r["denies"]) & set(s)]
+            assert bits.get(tuple(s), []) == sorted(want)
+
+
+def test_a_dead_writer_leaves_the_store_whole(spark, tmp_path, monkeypatch):
+    t = Tables(spark, f"file://{tmp_path}/t")
+    ing.ingest(t, raw(spark), ing.local_embedder(64))
+    before = sorted(map(tuple, t.read()["chunks"].collect()))
+    changed = raw(spark).where("title = 'secret'").withColumn("text", F.lit("other words"))
+
+    class Died(BaseException):
+        pass
+
+    def die(*_):
+        raise Died
+
+    steps = [(Tables, "_appear", die), (Tables, "stage", die)]
+    # In between: the text of the version is written aside and not yet renamed.
+    whole = Tables._appear
+
+    def written_aside(self, version, text):
+        files, aside = self._file(f"versions/.{version}-dead")
+        files.create(aside, False).close()
+        die()
+
+    for owner, name, how in [*steps, (Tables, "_appear", written_aside)]:
+        with monkeypatch.context() as m, pytest.raises(Died):
+            m.setattr(owner, name, how)
+            ing.ingest(t, changed, ing.local_embedder(64))
+        assert t.current() == 1 and sorted(map(tuple, t.read()["chunks"].collect())) == before
+    # What an older writer may have left: an empty file of the next number.
+    files, path = t._file("versions/2")
+    files.create(path, False).close()
+    assert t.current() == 1 and sorted(map(tuple, t.read()["chunks"].collect())) == before
+    assert Tables._appear is whole and ing.ingest(t, changed, ing.local_embedder(64)).version == 2
+    assert {r["text"] for r in t.read()["chunks"].where("document_id = 't:secret'").collect()} == {"other words"}
+    with pytest.raises(StoreError, match="another writer"):
+        t.publish({"policies": t.read()["policies"]}, after=1)
 
 
 def test_failed_embedding_publishes_nothing(spark, tmp_path):
