@@ -51,6 +51,34 @@ def fit_entries(entries: DataFrame) -> DataFrame:
     return fit_int8(entries.select(vectors.l2_normalize("vector").alias("vector")))
 
 
+#: Cells of a dimension's histogram between the ends of its range.
+CELLS = 16
+
+
+def range_histograms(entries: DataFrame, quant: DataFrame) -> DataFrame:
+    """(dimension, cells): how the components of normalised vectors lie in the ranges that codes are made with.
+
+    cells: counts below the range, in CELLS equal parts of it, and above. Histograms of
+    versions, tasks or batches add up cell by cell.
+    """
+    ranges = quant.select(F.posexplode(F.arrays_zip("minimum", "scale")).alias("dimension", "r"))
+    # As many rows as a vector has dimensions.
+    met = entries.select(F.posexplode(vectors.l2_normalize("vector")).alias("dimension", "x")).join(F.broadcast(ranges), "dimension")
+    at = F.floor((F.col("x") - F.col("r.minimum")) / F.col("r.scale") * CELLS)
+    # The upper end is in the range; rounding may put a bound just outside.
+    slack = 1e-9
+    cell = F.when(F.col("x") < F.col("r.minimum") - slack, 0).when(F.col("x") > F.col("r.minimum") + F.col("r.scale") + slack, CELLS + 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(CELLS), at + 1)))
+    counted = met.select("dimension", cell.alias("cell"))
+    return counted.groupBy("dimension").agg(F.array(*[F.count_if(F.col("cell") == i) for i in range(CELLS + 2)]).alias("cells"))
+
+
+def clipped_share(histograms: DataFrame) -> float:
+    """The share of components outside their ranges, of all histograms together; 0 for none."""
+    outside = F.element_at("cells", 1) + F.element_at("cells", CELLS + 2)
+    row = histograms.agg(F.sum(outside), F.sum(F.aggregate("cells", F.lit(0).cast("long"), lambda a, x: a + x))).first()
+    return row[0] / row[1] if row[1] else 0.0
+
+
 def intern_policies(entries: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(policy_id, policy_key, grants, denies) of all distinct policies; those known keep their ids.
 

@@ -18,6 +18,8 @@ from .store import changed_only, last_version, with_fingerprints
 #: (documents with columns chunk_id and text) -> (chunk_id, vector array<float>)
 EmbedChunks = Callable[[DataFrame], DataFrame]
 LONGEST_DOCUMENT_ID = 512
+#: Share of components outside the int8 ranges, of all that came in since they were fitted, beyond which they are fitted anew.
+MOST_CLIPPED = 0.01
 
 
 @dataclass(frozen=True)
@@ -27,6 +29,7 @@ class Report:
     skipped_unchanged: int
     quarantined: int
     version: int
+    refitted: bool = False
 
 
 def valid_document_id(column: str) -> Column:
@@ -35,6 +38,16 @@ def valid_document_id(column: str) -> Column:
     return F.coalesce((F.length(c) > 0) & (F.length(c) <= LONGEST_DOCUMENT_ID) & ~c.rlike(r"(?U)^[\s\x1c-\x1f]|[\s\x1c-\x1f]$|[\x00-\x1f]"), F.lit(False))
 
 
+def id_fault(column: str) -> Column:
+    """What is wrong with a document's id; null if nothing."""
+    c = F.col(column)
+    faults = (c.isNull() | (F.length(c) == 0), "empty id"), (F.length(c) > LONGEST_DOCUMENT_ID, "id too long"), (~valid_document_id(column), "padded id or control characters in it")
+    out = F.lit(None).cast("string")
+    for is_wrong, why in reversed(faults):
+        out = F.when(is_wrong, why).otherwise(out)
+    return out
+
+
 def chunk_id(document_id: Column | str, ordinal: Column | str) -> Column:
     return F.concat(document_id, F.lit("#"), F.col(ordinal).cast("string") if isinstance(ordinal, str) else ordinal.cast("string"))
 
@@ -45,17 +58,21 @@ def chunk_documents(documents: DataFrame, rules: text.Chunking | None = None) ->
     return cut.withColumn("text", F.col("chunk_text")).withColumn("chunk_id", chunk_id("document_id", "ordinal")).select(CHUNKS.names)
 
 
-def ingest(tables: Tables, raw: DataFrame, embed: EmbedChunks, *, rules: text.Chunking | None = None, seq: str | None = None, prune: bool = False) -> Report:
+def ingest(tables: Tables, raw: DataFrame, embed: EmbedChunks, *, rules: text.Chunking | None = None, seq: str | None = None, prune: bool = False, skipped: DataFrame | None = None, most_clipped: float = MOST_CLIPPED) -> Report:
     """Bring the tables up to date with ``raw`` (schemas.RAW), as one new version.
 
-    Rows with a malformed id are set aside and counted. Of the rows of a
+    Rows with a malformed id are set aside with the reason, as is what the
+    source has ``skipped`` (uri, error), and counted: see `Tables.set_aside`. Of the rows of a
     document the last by ``seq`` counts. Vectors are made before the version is
     published, so a failure publishes nothing and a retry starts afresh. The
-    int8 ranges are those of the first version that had chunks; `refit` makes
-    new ones. With ``prune``, documents that ``raw`` lacks are deleted.
+    int8 ranges stay while at most ``most_clipped`` of the components that came
+    in since lie outside; beyond, all chunks are coded anew (`refit`). With ``prune``, documents that ``raw`` lacks are deleted.
     """
     fine = raw.where(valid_document_id("document_id"))
-    bad = raw.count() - fine.count()
+    aside = raw.select("document_id", "uri", id_fault("document_id").alias("reason")).where("reason IS NOT NULL")
+    if skipped is not None:
+        aside = aside.unionByName(skipped.select(F.lit(None).cast("string").alias("document_id"), "uri", F.concat(F.lit("unreadable: "), "error").alias("reason")))
+    bad = tables.note_set_aside(aside)
     # Without a sequence any row of a document may be the last; the choice by hash is repeatable.
     last = last_version(fine.withColumn("_seq", F.col(seq) if seq else F.lit(0)), ["document_id"], "_seq").drop("_seq")
     incoming = with_fingerprints(last).select(DOCUMENTS.names)
@@ -84,7 +101,11 @@ def ingest(tables: Tables, raw: DataFrame, embed: EmbedChunks, *, rules: text.Ch
         out["quant"] = tables.stage("quant_in", ix.fit_entries(entries))
     codes = ix.encode_entries(entries, out["policies"], out["quant"]) if count else None
     ended = new.select("document_id") if gone is None else new.select("document_id").unionByName(gone)
-    return Report(n, count, unchanged, bad, tables.publish({**out, "documents": new, "chunks": chunks, "index": codes}, ended, after=at))
+    version = tables.publish({**out, "documents": new, "chunks": chunks, "index": codes}, ended, after=at)
+    if count:
+        tables.note_ranges(ix.range_histograms(entries, out["quant"]), version)
+    drifted = bool(count) and ix.clipped_share(tables.ranges()) > most_clipped
+    return Report(n, count, unchanged, bad, refit(tables, embed) if drifted else version, drifted)
 
 
 def valid_span() -> Column:
@@ -100,7 +121,9 @@ def refit(tables: Tables, embed: EmbedChunks) -> int:
     entries = tables.stage("entries_in", now["chunks"].join(vectors, "chunk_id").select("chunk_id", "document_id", "vector", "grants", "denies"))
     policies = tables.stage("policies_in", ix.intern_policies(entries))
     quant = tables.stage("quant_in", ix.fit_entries(entries))
-    return tables.publish({**now, "policies": policies, "quant": quant, "index": ix.encode_entries(entries, policies, quant)}, after=at, anew=True)
+    version = tables.publish({**now, "policies": policies, "quant": quant, "index": ix.encode_entries(entries, policies, quant)}, after=at, anew=True)
+    tables.note_ranges(ix.range_histograms(entries, quant), version, fitted=True)
+    return version
 
 
 def local_embedder(dimension: int) -> EmbedChunks:

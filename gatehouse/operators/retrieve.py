@@ -18,6 +18,8 @@ from .index import RESCORE, VectorIndex, batch_search
 from .store import chunks_with_sources
 
 MOST_CANDIDATES = 4_000
+#: Ranges of a request's numbers, and of the characters of its query, a blank one having none.
+LIMITS = {"k": (1, 1_000), "candidate_multiplier": (1, 1 << 31), "query": (1, 20_000)}
 #: The columns of a citation.
 CITED = ("connector", "uri", "title", "version", "span_start", "span_end", "document_id", "chunk_id")
 #: An answer: the request, a row of schemas.RESULT, and how many candidates it was chosen from.
@@ -37,14 +39,10 @@ class Request:
     candidate_multiplier: int = 4
 
     def __post_init__(self) -> None:
-        wrong = {
-            "k must be from 1 to 1000": not 1 <= self.k <= 1000,
-            "the query is blank": not self.query.strip(),
-            "the query is longer than 20000 characters": len(self.query) > 20_000,
-            "candidate_multiplier must be positive": self.candidate_multiplier < 1,
-        }
-        for message in (m for m, is_wrong in wrong.items() if is_wrong):
-            raise InvalidRequestError(message)
+        measured = {"k": self.k, "candidate_multiplier": self.candidate_multiplier, "query": len(self.query) if self.query.strip() else 0}
+        outside = [f"{what} ({least} to {most})" for what, (least, most) in LIMITS.items() if not least <= measured[what] <= most]
+        if outside:
+            raise InvalidRequestError(f"out of range: {', '.join(outside)}")
 
     @property
     def candidate_k(self) -> int:

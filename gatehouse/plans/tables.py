@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,6 +102,32 @@ class Tables:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def note_set_aside(self, rows: DataFrame) -> int:
+        """Add rows (document_id, uri, reason) to what was set aside; returns how many there are."""
+        seen = Observation()
+        rows.select("document_id", "uri", "reason", F.current_timestamp().alias("at")).observe(seen, F.count("*").alias("n")).write.mode("append").parquet(f"{self.root}/set_aside")
+        return seen.get["n"]
+
+    def set_aside(self) -> DataFrame:
+        """Documents that weren't ingested, when and why: document_id, uri, reason, at."""
+        shape = "document_id string, uri string, reason string, at timestamp"
+        files, path = self._file("set_aside")
+        return self.spark.read.schema(shape).parquet(f"{self.root}/set_aside") if files.exists(path) else self.spark.createDataFrame([], shape)
+
+    def note_ranges(self, histograms: DataFrame, version: int, fitted: bool = False) -> None:
+        """Add how a version's vectors lie in the int8 ranges (dimension, cells); ``fitted``: the ranges are this version's own."""
+        histograms.select("dimension", "cells", F.lit(version).alias("version"), F.lit(fitted).alias("fitted")).coalesce(1).write.mode("append").parquet(f"{self.root}/ranges")
+
+    def ranges(self) -> DataFrame:
+        """(version, dimension, cells) since the ranges were fitted last."""
+        shape = "dimension int, cells array<long>, version int, fitted boolean"
+        files, path = self._file("ranges")
+        if not files.exists(path):
+            return self.spark.createDataFrame([], shape).drop("fitted")
+        all_ = self.spark.read.schema(shape).parquet(f"{self.root}/ranges")
+        last = all_.where("fitted").agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        return all_.where(F.col("version") >= last).drop("fitted")
+
     def publish(self, tables: Mapping[str, DataFrame | None], gone: DataFrame | None = None, *, after: int | None = None, anew: bool = False) -> int:
         """Write a part and the version that ends with it; returns the version.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import uuid
+import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
@@ -12,23 +12,20 @@ from pyspark.sql import functions as F
 
 from .errors import AclResolutionError, InvalidPrincipalError
 from .functions.policy import EVERYONE
-from .plans.tables import shared_folder
+from .plans.tables import written
 from .schemas import EDGES
 
 LONGEST_ID = 256
 
 
+#: What an id looks like; `functions.policy.valid_id` is the same rule for columns.
+ID = re.compile(r"[^\s\x00-\x1f]{1,%d}" % LONGEST_ID)
+
+
 def check_id(raw: str, kind: str = "principal") -> str:
     """The id, if it is well formed and not the reserved one."""
-    faults = {
-        "is empty or padded": not raw or raw.strip() != raw,
-        f"is longer than {LONGEST_ID} characters": len(raw) > LONGEST_ID,
-        "holds white space or control characters": any(c.isspace() or c < " " for c in raw),
-        "is reserved": raw == EVERYONE,
-    }
-    for fault, there in faults.items():
-        if there:
-            raise InvalidPrincipalError(f"{kind} id {fault}")
+    if raw == EVERYONE or not ID.fullmatch(raw):
+        raise InvalidPrincipalError(f"{kind} id is reserved, or isn't 1 to {LONGEST_ID} characters without white space or control characters")
     return raw
 
 
@@ -77,30 +74,60 @@ class Groups:
         return frozenset(reached | {who.id, EVERYONE})
 
 
-def group_closure(edges: DataFrame) -> DataFrame:
-    """(child, ancestor): every group that a group reaches, itself not included unless on a cycle.
+def _pairs(edges: DataFrame) -> DataFrame:
+    """Edges as pairs (child, ancestor), once each, without null ends."""
+    return edges.select("child", F.col("parent").alias("ancestor")).where("child IS NOT NULL AND ancestor IS NOT NULL").distinct()
+
+
+def _composed(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(child, ancestor) of each pair of ``first`` that ends where one of ``second`` starts."""
+    return first.join(second.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("end")), "ancestor").select("child", F.col("end").alias("ancestor"))
+
+
+def _grown(known: DataFrame, fresh: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """``known``, which is closed, with ``fresh`` pairs (none of them known) and all that follows from both.
 
-    edges: child, parent. Semi-naive rounds: the new pairs alone are joined
-    with the edges, and pairs that are known go; so cycles end and the number
-    of rounds is the depth of the nesting. Each round is written to the shared
-    folder. Null ends are dropped.
+    Each round composes what the last one found with all that is known, on
+    either side, so the length of paths doubles and the rounds are the logarithm
+    of the depth. Only new pairs are written. within: the only pairs that may be new.
     """
-    edges = edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct()
-    known = fresh = edges.select("child", F.col("parent").alias("ancestor"))
-    step = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
+    fresh = written(fresh, "closure")
     while not fresh.isEmpty():
-        found = fresh.join(step, "ancestor").select("child", F.col("next").alias("ancestor")).distinct()
-        fresh = cut_lineage(found.join(known, ["child", "ancestor"], "left_anti"))
-        known = cut_lineage(known.unionByName(fresh))
+        known = known.unionByName(fresh)
+        found = _composed(fresh, known).unionByName(_composed(known, fresh)).distinct()
+        if within is not None:
+            found = found.join(within, ["child", "ancestor"], "left_semi")
+        fresh = written(found.join(known, ["child", "ancestor"], "left_anti"), "closure")
     return known
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A round written to the shared folder and read again, so that nothing is held in memory and no plan grows."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/closure-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def group_closure(edges: DataFrame) -> DataFrame:
+    """(child, ancestor): every group that a group reaches, itself not included unless on a cycle.
+
+    edges: child, parent; cycles are allowed, null ends are dropped.
+    """
+    pairs = _pairs(edges)
+    return _grown(pairs.limit(0), pairs)
+
+
+def update_closure(closure: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """The closure of ``edges`` without ``removed`` and with ``added``, from the closure of ``edges`` (each: child, parent).
+
+    Deleting and deriving again: a pair that a removed edge may have led to is
+    in doubt; all others stay as they are. Of those in doubt, the ones that are
+    edges still, or that an edge and a pair that stays lead to, and what follows
+    from them, come back. Then what the added edges lead to is found. The work
+    is in proportion to the pairs in doubt and the new ones.
+    """
+    left = _pairs(edges).join(_pairs(removed), ["child", "ancestor"], "left_anti")
+    gone = written(_pairs(edges).join(_pairs(removed), ["child", "ancestor"], "left_semi"), "closure")
+    if not gone.isEmpty():
+        starts = gone.unionByName(_composed(closure, gone))
+        doubt = written(starts.unionByName(_composed(starts, closure)).distinct(), "closure")
+        kept = written(closure.join(doubt, ["child", "ancestor"], "left_anti"), "closure")
+        again = left.unionByName(_composed(left, kept)).distinct().join(doubt, ["child", "ancestor"], "left_semi")
+        closure = _grown(kept, again, doubt)
+    return _grown(closure, _pairs(added).join(closure, ["child", "ancestor"], "left_anti"))
 
 
 def effective_principals(callers: DataFrame, edges: DataFrame) -> DataFrame:

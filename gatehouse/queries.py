@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import policy, text, vectors
 from .operators import index as ix
 from .operators import ingest as ing
-from .operators import metrics, simulate, store, topk
+from .operators import metrics, mih, simulate, store, topk
 from .operators.index import VectorIndex
 from .operators.retrieve import answer
 from .plans.tables import Tables, shared_folder
@@ -304,6 +304,14 @@ def numbered(best: DataFrame, *order: str | Column) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "vec_id")))
 
 
+@query(SQL["vec_hamming_topk"])
+def mih_hamming_topk(spark, sf_dir):
+    """The same neighbours by multi-index hashing, which reads the buckets that may hold one."""
+    bits = entries(spark, sf_dir).select("vec_id", vectors.binarize("vector").alias("bin"))
+    asked = bits.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "bin")
+    return mih.nearest(bits, asked, 10)[0].select("query_id", "rank", "vec_id", "far")
+
+
 FIT = f"""fit AS (SELECT i, min(vector[i]) AS minimum, CASE WHEN max(vector[i]) = min(vector[i]) THEN 1 ELSE max(vector[i]) - min(vector[i]) END AS scale
     FROM entries, range(1, {DIMENSION + 1}) AS t(i) GROUP BY i), q AS (SELECT list(minimum ORDER BY i) AS minimum, list(scale ORDER BY i) AS scale FROM fit)"""
 
@@ -672,6 +680,18 @@ def latency_percentiles(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("p50", "p95", "p99", "mean")})
 
 
+@query("SELECT event_type, CAST(count(value) AS BIGINT) AS n, true AS p50_within, true AS p95_within, true AS p99_within FROM events GROUP BY event_type")
+def latency_sketch_errors(spark, sf_dir):
+    """Percentiles of sketches of each day, merged: whether the exact rank of each is within the stated error."""
+    events = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"), "value").where("value IS NOT NULL")
+    told = metrics.sketched_summary(metrics.latency_sketches(events, "value", "event_type", "day"), "event_type")
+    both = events.join(told, "event_type").groupBy("event_type", "n")
+    # A value that is repeated has all the ranks from those below it to those up to it.
+    below, upto = (lambda p: F.count_if(F.col("value") < F.col(p)) / F.count("*")), (lambda p: F.count_if(F.col("value") <= F.col(p)) / F.count("*"))
+    within = lambda p: (below(p) <= int(p[1:]) / 100 + metrics.RANK_ERROR) & (upto(p) >= int(p[1:]) / 100 - metrics.RANK_ERROR)
+    return both.agg(*[within(p).alias(f"{p}_within") for p in ("p50", "p95", "p99")])
+
+
 @query("""WITH RECURSIVE m AS (SELECT user_id, event_id, ts, event_type, count(*) FILTER (WHERE event_type IN ('signup', 'error')) OVER w AS true_version, count(*) FILTER (WHERE event_type = 'error') OVER w AS epoch
         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
     a AS (SELECT *, row_number() OVER (PARTITION BY user_id, epoch ORDER BY ts, event_id) AS i FROM m WHERE event_type NOT IN ('signup', 'error')),

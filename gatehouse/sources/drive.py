@@ -1,14 +1,13 @@
 """A drive API as a source: listing, permissions and contents as DataFrames.
 
-The listing is a few hundred bytes a file and comes page by page; permissions
-and contents are fetched on the executors, by a client that each task makes.
+Executors list (`formats.DriveSource`) and fetch permissions and contents, by
+clients that tasks make.
 What makes a client may hold a way to get a token, but no token.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..errors import SourceError
 from ..functions import policy
-from ..plans.tables import shared_folder
+from ..plans.tables import written
 from ..schemas import RAW
+from . import formats
 
 NAME, PREFIX = "gdrive", "gdrive://"
 #: MIME types that are listed; documents of the first are exported.
@@ -26,7 +26,7 @@ DOCUMENT_TYPE = "application/vnd.google-apps.document"
 TEXT_TYPES = ("text/plain", "text/markdown")
 PERMISSIONS = "array<struct<type string, emailAddress string, domain string>>"
 #: Paths, fields and parameters of the API.
-FILES = ("/drive/v3/files", {"q": f"({' or '.join(f'mimeType={m!r}' for m in (DOCUMENT_TYPE, *TEXT_TYPES))}) and trashed=false", "fields": "nextPageToken, files(id, name, mimeType, modifiedTime)", "pageSize": 100})
+FILES = ("/drive/v3/files", {"fields": "nextPageToken, files(id, name, mimeType, modifiedTime)", "pageSize": 100})
 RULES = ("/drive/v3/files/{id}/permissions", {"fields": "nextPageToken, permissions(type, emailAddress, domain)", "pageSize": 100})
 CONTENTS = {"document": ("/drive/v3/files/{id}/export", {"mimeType": "text/plain"}), "file": ("/drive/v3/files/{id}", {"alt": "media"})}
 
@@ -57,30 +57,23 @@ def answers(call: Call, path: str, parameters: dict) -> Iterator[str]:
         more = {"pageToken": after} if after else None
 
 
-def list_drive(spark: SparkSession, call: Call) -> DataFrame:
-    """(uri, title, version) of all documents that aren't in the bin. Pages are parsed by Spark; a malformed one is an error."""
-    shape = "files array<struct<id string, name string, mimeType string, modifiedTime string>>"
-    listed = spark.createDataFrame([(page,) for page in answers(call, *FILES)], "page string")
-    listed = listed.withColumn("files", F.from_json("page", shape)["files"])
-    if not listed.where("files IS NULL").isEmpty():
-        raise SourceError("drive: the listing is malformed")
-    files = listed.select(F.inline("files")).where("id IS NOT NULL")
-    kind = F.when(F.col("mimeType").eqNullSafe(DOCUMENT_TYPE), "document").otherwise("file")
-    return files.select(F.concat(F.lit(PREFIX), kind, F.lit("/"), "id").alias("uri"), F.coalesce("name", "id").alias("title"), F.nullif("modifiedTime", F.lit("")).alias("version"))
+def read_drive(spark: SparkSession, call: Call, files_a_task: int = 500) -> tuple[DataFrame, DataFrame]:
+    """`read_listed` with a transport that is sent to executors as it is."""
+    return read_listed(spark, formats.client_option(lambda: call), files_a_task)
 
 
-def read_drive(spark: SparkSession, call: Call, client: Callable[[], Call] | None = None, files_a_task: int = 500) -> tuple[DataFrame, DataFrame]:
+def read_listed(spark: SparkSession, client: str, files_a_task: int = 500) -> tuple[DataFrame, DataFrame]:
     """(documents as schemas.RAW, skipped: uri, error).
 
-    ``client`` makes the transport of a task on an executor (by default
-    ``call`` is sent there). Rules that can't be read in full admit nobody;
-    files whose contents can't be read are skipped. What was fetched is written
-    once, as both results read it.
+    client: an option of `formats.DriveSource`, which lists on executors; what
+    is listed is written, dealt out, and fetched by a client that each task
+    makes. Rules that can't be read in full admit nobody; files whose contents
+    can't be read are skipped. What was fetched is written once, as both
+    results read it.
     """
-    make = client or (lambda: call)
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = make()
+        ask = formats.client_of(client)
         for batch in batches:
             rules, texts, errors = [], [], []
             for kind, file_id in zip(batch["kind"], batch["id"], strict=True):
@@ -98,12 +91,11 @@ def read_drive(spark: SparkSession, call: Call, client: Callable[[], Call] | Non
                     errors.append(type(e).__name__)
             yield batch[["uri", "title", "version"]].assign(rules=rules, text=texts, error=errors)
 
-    listed = list_drive(spark, call).withColumn("at", uri_parts(F.col("uri"))).select("uri", "title", "version", "at.kind", "at.id")
+    formats.register(spark)
+    listed = written(spark.read.format(formats.DRIVE).option("client", client).load().select("uri", "title", "version", "kind", "id"), "listing")
     tasks = max(1, -(-listed.count() // files_a_task))
     fetched = listed.repartition(tasks).mapInPandas(fetch, "uri string, title string, version string, rules array<string>, text string, error string")
-    path = f"{shared_folder(spark)}/drive-{uuid.uuid4().hex}"
-    fetched.write.parquet(path)
-    fetched = spark.read.schema(fetched.schema).parquet(path)
+    fetched = written(fetched, "drive")
     pages = F.transform("rules", lambda x: F.from_json(x, f"permissions {PERMISSIONS}")["permissions"])
     whole = F.forall(pages, lambda p: p.isNotNull())
     permissions = F.when(whole, F.flatten(pages)).otherwise(F.array().cast(PERMISSIONS))

@@ -1,24 +1,18 @@
-"""Files with access rules in JSON sidecars, read as DataFrames.
-
-Paths are listed by the driver (Spark's file index skips names that start
-with a dot, which sidecars of directories do); contents are read by tasks.
-"""
+"""Files with access rules in JSON sidecars, read as DataFrames; `formats` has the Spark data source."""
 
 from __future__ import annotations
 
 import json
-import os
-from collections.abc import Iterator
 from pathlib import Path
-from urllib.parse import quote, unquote
+from urllib.parse import unquote
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidPrincipalError, SourceError
-from ..functions.policy import EVERYONE, no_ids
+from ..functions.policy import EVERYONE
 from ..principals import check_id
+from ..schemas import RAW
 
 #: A folder's sidecar by default; a file's has the file's name and this ending.
 DIRECTORY_SIDECAR, FILE_SIDECAR = ".gatehouse-acl.json", ".acl.json"
@@ -57,22 +51,6 @@ def path_of(uri: str, root: str) -> Path:
     return path
 
 
-def list_files(spark: SparkSession, root: str, endings: tuple[str, ...] = ENDINGS, folder_sidecar: str = DIRECTORY_SIDECAR) -> tuple[DataFrame, DataFrame]:
-    """(documents, sidecars): path, uri, title, version of the former; path of the latter. By path."""
-    top = Path(root).resolve()
-    if not top.is_dir():
-        raise SourceError("the root is not a directory")
-    docs, rules = [], []
-    for folder, _, names in os.walk(top):
-        for name in names:
-            path = Path(folder, name)
-            if name == folder_sidecar or name.endswith(FILE_SIDECAR):
-                rules.append((str(path),))
-            elif path.suffix.lower() in endings and path.is_file():
-                docs.append((str(path), f"file://{quote(str(path))}", name, str(path.stat().st_mtime_ns)))
-    return spark.createDataFrame(sorted(docs), "path string, uri string, title string, version string"), spark.createDataFrame(sorted(rules), "path string")
-
-
 def nearest_rules(documents: DataFrame, sidecars: DataFrame, root: str, folder_sidecar: str = DIRECTORY_SIDECAR) -> DataFrame:
     """(path, rules_path): the sidecar that decides for a document, null if none does.
 
@@ -91,48 +69,14 @@ def nearest_rules(documents: DataFrame, sidecars: DataFrame, root: str, folder_s
     return documents.select("path").join(nearest, "path", "left")
 
 
-def read_files(files: DataFrame, root: str, column: str = "path") -> DataFrame:
-    """Adds content (UTF-8, bad bytes replaced) and error (null if read)."""
-
-    @F.pandas_udf("struct<content string, error string>")
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for paths in batches:
-            rows = []
-            for p in paths:
-                try:
-                    rows.append((path_of(f"file://{quote(p)}", root).read_bytes().decode("utf-8", "replace"), None))
-                except (OSError, SourceError) as e:
-                    rows.append((None, type(e).__name__))
-            yield pd.DataFrame(rows, columns=["content", "error"], dtype=object)
-
-    return files.withColumn("_r", read(F.col(column))).select(*files.columns, "_r.*")
-
-
-def read_folder(spark: SparkSession, root: str, endings: tuple[str, ...] = ENDINGS, folder_sidecar: str = DIRECTORY_SIDECAR) -> tuple[DataFrame, DataFrame]:
-    """(documents as schemas.RAW, skipped: uri, error).
+def read_folder(spark: SparkSession, root: str, **options: str) -> tuple[DataFrame, DataFrame]:
+    """(documents as schemas.RAW, skipped: uri, error), by the format of `formats.FolderSource`.
 
     The nearest sidecar that exists decides; if it is malformed, nobody may
     read the document. A document that can't be read is skipped.
     """
-    root = str(Path(root).resolve())
-    documents, sidecars = list_files(spark, root, endings, folder_sidecar)
-    decided = nearest_rules(documents, sidecars, root, folder_sidecar)
-    rules = read_files(sidecars, root)
-
-    @F.pandas_udf("struct<grants array<string>, denies array<string>>")
-    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for raws in batches:
-            rows = []
-            for raw in raws:
-                try:
-                    rows.append(parse_rules(raw or ""))
-                except SourceError:
-                    rows.append(([], []))
-            yield pd.DataFrame(rows, columns=["grants", "denies"])
-
-    parsed = rules.select(F.col("path").alias("rules_path"), parse("content").alias("p")).select("rules_path", "p.*")
-    read = read_files(documents.join(decided.join(parsed, "rules_path", "left"), "path"), root)
-    raw = read.where("error IS NULL").select(F.concat(F.lit(f"{NAME}:"), "uri").alias("document_id"), F.lit(NAME).alias("connector"), "uri", "title", "version", F.coalesce("grants", no_ids()).alias("grants"), F.coalesce("denies", no_ids()).alias("denies"), F.col("content").alias("text"))
-    return raw, read.where("error IS NOT NULL").select("uri", "error")
-
+    from . import formats
 
+    formats.register(spark)
+    rows = spark.read.format(formats.FOLDER).options(root=root, **options).load()
+    return rows.where("error IS NULL").select(RAW.names), rows.where("error IS NOT NULL").select("uri", "error")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -21,52 +22,63 @@ ALL = ("all", "")
 class EpochCache:
     """Permissions that were resolved less than ``ttl`` seconds ago and not signalled since.
 
-    Signals are counted by subject (a principal, a group, all). A fetch keeps
-    the counts of its subjects, as the replay below keeps its epoch, and what is
-    kept is good while none of them has risen. So a signal costs one addition,
+    Signals are numbered, and each subject (a principal, a group, all) has the
+    number of its last one. What is kept has the number that was reached, and
+    the time, when its fetch *began*; it is good while none of its subjects has
+    a later one. So a signal during a fetch counts, and costs one addition
     however many permissions are held. If they can't be resolved, nobody is
     anything: the answer is the empty set. Without a signal, a revocation takes
-    effect after the ttl. Over ``most`` principals, those fetched first go.
+    effect after the ttl; with a ttl of 0 nothing is kept. Over ``most``
+    principals, those fetched first go. Threads may share a cache; fetches run side by side.
     """
 
     def __init__(self, fetch: Callable[[Principal], frozenset[str]], *, clock: Callable[[], float] = time.monotonic, ttl: float = 60.0, most: int = 10_000):
         if ttl < 0:
             raise AclResolutionError("the ttl must not be negative")
         self.fetch, self.clock, self.ttl, self.most = fetch, clock, ttl, most
-        self.signals: Counter[tuple[str, str]] = Counter()
+        self.lock, self.number = threading.Lock(), 0
+        self.last: dict[tuple[str, str], int] = {}
         self.held: dict[Principal, tuple[float, int, frozenset[str]]] = {}
         self.outcomes: Counter[str] = Counter()
 
-    def _epoch(self, who: Principal, found: frozenset[str]) -> int:
-        return sum(self.signals[s] for s in (ALL, ("principal", who.id), *(("group", g) for g in who.groups | found)))
+    def _good(self, who: Principal) -> bool:
+        began, number, found = self.held[who]
+        subjects = (ALL, ("principal", who.id), *(("group", g) for g in who.groups | found))
+        return self.clock() - began < self.ttl and all(self.last.get(s, 0) <= number for s in subjects)
 
     def __call__(self, who: Principal) -> frozenset[str]:
-        at, epoch, found = self.held.get(who, (0.0, -1, frozenset()))
-        if epoch == self._epoch(who, found) and self.clock() - at < self.ttl:
-            self.outcomes["hit"] += 1
-            return found
-        self.outcomes["miss"] += 1
-        self.held.pop(who, None)
+        with self.lock:
+            if who in self.held and self._good(who):
+                self.outcomes["hit"] += 1
+                return self.held[who][2]
+            self.outcomes["miss"] += 1
+            self.held.pop(who, None)
+            began, number = self.clock(), self.number
         try:
             found = self.fetch(who)
         except AclResolutionError:
-            self.outcomes["error"] += 1
+            with self.lock:
+                self.outcomes["error"] += 1
             return frozenset()
-        self.held[who] = self.clock(), self._epoch(who, found), found
-        while len(self.held) > self.most:
-            del self.held[next(iter(self.held))]
+        with self.lock:
+            if self.ttl:
+                self.held[who] = began, number, found
+            while len(self.held) > self.most:
+                del self.held[next(iter(self.held))]
         return found
 
     def signal(self, kind: str = "all", name: str = "") -> None:
         """Something about a ``principal``, a ``group`` or ``all`` has changed."""
-        self.signals[kind, name] += 1
+        with self.lock:
+            self.number += 1
+            self.last[kind, name] = self.number
 
     def narrow(self, principal: str, group: str) -> None:
         """A principal has left a group, as is known without another resolution."""
-        for who in [w for w in self.held if w.id == principal]:
-            at, epoch, found = self.held[who]
-            if epoch == self._epoch(who, found):
-                self.held[who] = at, self._epoch(who, found - {group}), found - {group}
+        with self.lock:
+            for who in [w for w in self.held if w.id == principal and self._good(w)]:
+                began, number, found = self.held[who]
+                self.held[who] = began, number, found - {group}
 
 
 #: The columns of a replay.

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gatehouse import principals
 from gatehouse.errors import AuthError, InvalidPrincipalError
 from gatehouse.functions import policy
 from gatehouse.principals import Groups, Principal, check_id, effective_principals, group_closure
@@ -130,3 +131,57 @@ def test_cache_never_outlives_its_ttl_or_a_signal():
         cache(Principal.of(who))
     assert len(cache.held) == 2
     assert EpochCache(resolve, ttl=0)(u) == {"g", "k"}
+
+
+def test_a_signal_during_a_fetch_counts():
+    rights = {"u": ["eng"]}
+
+    def resolve(who):
+        found = frozenset(rights[who.id])
+        if hook:
+            hook.pop()()
+        return found
+
+    def revoke():
+        rights["u"] = []
+        cache.signal("principal", "u")
+
+    hook = [revoke]
+    cache = EpochCache(resolve, clock=lambda: 0.0, ttl=60)
+    u = Principal.of("u")
+    assert cache(u) == {"eng"} and cache(u) == set() and cache(u) == set()
+    assert cache.outcomes["hit"] == 1 and cache.outcomes["miss"] == 2
+    none = EpochCache(resolve, ttl=0)
+    assert none(u) == set() and not none.held
+
+
+def test_closure_is_kept_up_to_date(spark, monkeypatch):
+    rng = random.Random(12)
+    nodes = [f"g{i}" for i in range(14)]
+    edges = {tuple(rng.sample(nodes, 2)) for _ in range(22)} | {("g0", "g0")}
+
+    def frame(some):
+        return spark.createDataFrame(sorted(some), "child string, parent string")
+
+    def brute(some):
+        reach = set(some)
+        while more := {(a, d) for a, b in reach for c, d in reach if b == c} - reach:
+            reach |= more
+        return reach
+
+    rounds = []
+    write = principals.written
+    monkeypatch.setattr(principals, "written", lambda df, name: (rounds.append(out := write(df, name)), out)[1])
+    closure = principals.group_closure(frame(edges))
+    assert {tuple(r) for r in closure.collect()} == brute(edges)
+    # No round writes a pair again.
+    assert sum(r.count() for r in rounds) == len(brute(edges))
+    for _ in range(3):
+        removed = set(rng.sample(sorted(edges), 4))
+        added = {tuple(rng.sample(nodes, 2)) for _ in range(3)}
+        closure = write(principals.update_closure(closure, frame(edges), frame(added), frame(removed | {("g1", "nobody")})), "closure")
+        edges = (edges - removed) | added
+        assert {tuple(r) for r in closure.collect()} == brute(edges)
+    chain = {(f"n{i:03d}", f"n{i + 1:03d}") for i in range(100)}
+    rounds.clear()
+    assert principals.group_closure(frame(chain)).count() == 5050 and len(rounds) <= 9

@@ -1,6 +1,7 @@
 """Index, store, ingestion, retrieval, sources, streaming: behaviour and the five guarantees."""
 
 import json
+import os
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from gatehouse import queries as q
 from gatehouse.errors import AclResolutionError, InvalidRequestError, SourceError, StoreError, VectorIndexError
 from gatehouse.functions import text
+from gatehouse.operators import index as ix
 from gatehouse.operators import ingest as ing
 from gatehouse.operators import store, topk
 from gatehouse.operators.index import VectorIndex, admitted_bitmaps, batch_search, intern_policies
@@ -21,8 +23,8 @@ from gatehouse.principals import Groups, Principal
 from gatehouse.schemas import CHUNKS, DOCUMENTS, INDEX, RAW
 from gatehouse.service.api import Api
 from gatehouse.service.settings import Settings
-from gatehouse.sources import drive, filesystem
-from gatehouse.sources.registry import Registry, Source
+from gatehouse.sources import drive, filesystem, formats
+from gatehouse.sources.registry import Registry
 from gatehouse.streaming.acl_cache import EpochCache, replay_log, replay_stream
 from gatehouse.streaming.ingest import stream_ingest
 
@@ -296,6 +298,43 @@ def test_requests_and_reranking(spark, tables):
         ask(spark, tables, Principal.of("u", "eng"), "retrieval index", 2, lambda q, t, n: [(9, 1.0)])
 
 
+def test_drifted_ranges_are_fitted_anew(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    made: dict[str, list[float]] = {}
+
+    def embed(chunks):
+        kept = spark.createDataFrame(list(made.items()), "text string, vector array<double>")
+        return chunks.join(kept, "text").select("chunk_id", F.col("vector").cast("array<float>").alias("vector"))
+
+    def docs(kind, n, shift):
+        texts = {f"{kind}{i}": (["eng"], [], f"{kind} text {i}") for i in range(n)}
+        for i in range(n):
+            made[f"{kind} text {i}"] = (rng.normal(size=32) * 0.1 + shift).tolist()
+        return raw(spark, texts)
+
+    t = Tables(spark, f"file://{tmp_path}/t")
+    near, far = np.r_[1.0, np.zeros(31)], np.r_[np.zeros(31), -1.0]
+    assert not ing.ingest(t, docs("a", 150, near), embed).refitted
+    assert ix.clipped_share(t.ranges()) == 0 and t.ranges().select("dimension").distinct().count() == 32
+    shifted = docs("b", 150, far)
+    kept = ing.ingest(t, shifted.limit(0), embed)
+    assert not kept.refitted
+    report = ing.ingest(t, shifted, embed)
+    assert report.refitted and report.version == t.current() == 3
+    assert ix.clipped_share(t.ranges()) == 0
+    now = t.read()
+    index = VectorIndex(now["index"], now["policies"], now["quant"]).validate(300)
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v in made.items()}
+    text_of = {r["chunk_id"]: r["text"] for r in now["chunks"].select("chunk_id", "text").collect()}
+    names = [k for i, k in enumerate(made) if i % 15 == 0]
+    asked = spark.createDataFrame([(k, ["eng"], made[k]) for k in names], "query_id string, permissions array<string>, vector array<double>")
+    hits = 0
+    for r in batch_search(index, asked, 10, candidates=300).collect():
+        best = sorted(made, key=lambda k: -float(unit[k] @ unit[r["query_id"]]))[:10]
+        hits += text_of[r["chunk_id"]] in best
+    assert hits / (10 * len(names)) >= 0.95
+
+
 def test_store_reads(spark, tables):
     now = tables.read()
     assert now["documents"].schema.names == DOCUMENTS.names and now["chunks"].schema.names == CHUNKS.names
@@ -328,21 +367,104 @@ def test_folder_source(spark, tmp_path):
     for wrong in ("[]", "{", '{"grants": [1]}', '{"grants": ["a b"]}'):
         with pytest.raises(SourceError):
             filesystem.parse_rules(wrong)
-    registry = Registry(str(tmp_path / "sources.json"))
-    registry.add(Source("docs", "filesystem", str(root)))
+    registry = Registry(spark, f"file://{tmp_path}/registry")
+    registry.put("docs", formats.FOLDER, root=str(root))
+    for name, kind, options in (("a b", formats.FOLDER, {"root": "x"}), ("x", "other", {}), ("x", formats.DRIVE, {})):
+        with pytest.raises(SourceError):
+            registry.put(name, kind, **options)
+    (root / "link.md").symlink_to(tmp_path / "outside.md")
+    (tmp_path / "outside.md").write_text("outside")
+    t = Tables(spark, f"file://{tmp_path}/t")
+    report = registry.run("docs", t, ing.local_embedder(64))
+    assert (report.documents, report.quarantined) == (6, 1)
+    assert [r["reason"] for r in t.set_aside().collect()] == ["unreadable: SourceError"]
+    registry.put("gone", formats.FOLDER, root=str(tmp_path / "nowhere"))
+    assert registry.run("gone", t, ing.local_embedder(64)) is None
+    registry.forget("gone")
+    again = Registry(spark, registry.path)
+    assert [(r["name"], r["options"]["root"]) for r in again.sources().collect()] == [("docs", str(root))]
+    assert sorted((r["name"], r["documents"], r["error"] is None) for r in again.runs().collect()) == [("docs", 6, True), ("gone", 0, False)]
     with pytest.raises(SourceError):
-        registry.add(Source("docs", "filesystem", str(root)))
-    run = registry.ingest(spark, "docs", Tables(spark, f"file://{tmp_path}/t"), ing.local_embedder(64))
-    assert (run.documents, run.error) == (6, None)
-    assert [s.name for s in Registry(str(tmp_path / "sources.json")).list()] == ["docs"]
+        again.run("gone", t, ing.local_embedder(64))
+
+
+def test_folder_of_many_files(spark, tmp_path):
+    root = tmp_path / "many"
+    for i in range(10_000):
+        path = root / f"a{i % 7}" / f"b{i % 60}" / f"{i}.md"
+        if i < 420:
+            path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(f"text {i}")
+    for i in range(7):
+        (root / f"a{i}" / filesystem.DIRECTORY_SIDECAR).write_text(json.dumps({"grants": [f"g{i}"]}))
+    formats.register(spark)
+    read = spark.read.format(formats.FOLDER).option("root", str(root)).option("shares", 20).load()
+    assert read.rdd.getNumPartitions() == 20
+    got = read.select("title", "grants", "text", "error").collect()
+    assert sorted((r["title"], r["grants"], r["text"], r["error"]) for r in got) == sorted((f"{i}.md", [f"g{i % 7}"], f"text {i}", None) for i in range(10_000))
+    some = read.where(F.col("uri").startswith(f"file://{root}/a3/b"))
+    assert some.count() == sum(i % 7 == 3 for i in range(10_000))
+    plan = executed_plan(some)
+    assert "StartsWith" not in plan.split("BatchScan")[0]
+    assert read.where(F.col("uri") == f"file://{root}/a3/b3/3.md").select("text").first()["text"] == "text 3"
+    assert read.where(f"uri IN ('file://{root}/a3/b3/3.md', 'file://{root}/x.md') AND title = '3.md'").count() == 1
+
+
+def test_a_folder_as_a_stream(spark, tmp_path):
+    root, progress = tmp_path / "docs", tmp_path / "progress.json"
+    root.mkdir()
+    rules = root / filesystem.DIRECTORY_SIDECAR
+    rules.write_text(json.dumps({"grants": ["eng"]}))
+    os.utime(rules, ns=(1, 1))
+
+    def put(name, text, at):
+        (root / name).write_text(text)
+        os.utime(root / name, ns=(at, at))
+
+    for i in range(10):
+        put(f"{i}.md", f"first {i}", 100 + i // 2)
+    formats.register(spark)
+    seen, sizes, dying = [], [], []
+
+    def take(batch, number):
+        rows = [(r["title"], r["text"]) for r in batch.collect()]
+        if dying and dying[0] == number:
+            dying.clear()
+            raise RuntimeError("the sink died")
+        seen.extend(rows)
+        sizes.append(len(rows))
+
+    def run():
+        stream = spark.readStream.format(formats.FOLDER).options(root=str(root), progress=str(progress), max_files="4", settle="0").load()
+        q = stream.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="100 milliseconds").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    dying.append(1)
+    with pytest.raises(Exception, match="the sink died"):
+        run()
+    assert len(seen) == 4
+    run()
+    assert sorted(seen) == sorted((f"{i}.md", f"first {i}") for i in range(10)) and max(sizes) == 4
+    put("3.md", "second 3", 900)
+    put("new.md", "new", 901)
+    run()
+    assert sorted(seen[10:]) == [("3.md", "second 3"), ("new.md", "new")]
+    # Other rules change what they decide for.
+    os.utime(rules, ns=(950, 950))
+    run()
+    assert len(seen) == 12 + 11 and max(sizes) == 4
 
 
 def test_drive_source(spark):
-    files = [{"id": "1", "name": "One", "mimeType": drive.DOCUMENT_TYPE, "modifiedTime": "t"}, {"id": "2", "mimeType": "text/plain"}, {"id": "3", "name": "gone"}]
+    files = [{"id": "1", "name": "One", "mimeType": drive.DOCUMENT_TYPE, "modifiedTime": "t"}, {"id": "2", "mimeType": "text/plain"}, {"id": "3", "name": "gone", "mimeType": "text/markdown"}]
 
     def call(path, parameters):
         if path.endswith("/files"):
-            return {"files": files[:1], "nextPageToken": "n"} if "pageToken" not in parameters else {"files": files[1:]}
+            asked = [f for f in files if f["mimeType"] in parameters["q"]]
+            return {"files": asked, "nextPageToken": "n"} if "pageToken" not in parameters else {"files": []}
         if path.endswith("/1/permissions"):
             if "pageToken" in parameters:
                 return {"permissions": [{"type": "domain", "domain": "d.org"}]}
@@ -360,8 +482,8 @@ def test_drive_source(spark):
     uris = ["gdrive://abc", "gdrive://document/d/1", "http://x", "gdrive://thing/1", "gdrive://file/", None]
     parts = spark.createDataFrame([(u,) for u in uris], "u string").select(drive.uri_parts(F.col("u")).alias("p")).collect()
     assert [r["p"] and tuple(r["p"]) for r in parts] == [("file", "abc"), ("document", "d/1"), None, None, None, None]
-    with pytest.raises(SourceError):
-        drive.list_drive(spark, lambda path, parameters: {"wrong": 1})
+    with pytest.raises(Exception, match="malformed"):
+        drive.read_drive(spark, lambda path, parameters: {"wrong": 1})
     rows, skipped = drive.read_drive(spark, lambda path, parameters: {"files": []})
     assert rows.count() == skipped.count() == 0
 

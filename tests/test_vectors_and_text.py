@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from gatehouse.operators import metrics, mih
 from gatehouse.functions import text, vectors
 from gatehouse.operators import index as ix
 
@@ -105,3 +106,43 @@ def test_redaction(spark):
     for r in frame.select("t", text.redact("t").alias("r")).collect():
         assert cases[r["t"]] in r["r"]
         assert not any(s in r["r"] for s in ("abc.DEF", "abcdefghijklmnop1", "AKIAABC", "a-b_c", "zzz"))
+
+
+def test_multi_index_hashing_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.integers(0, 2, (12, 128))
+    bits = (centres[rng.integers(0, 12, 900)] ^ (rng.random((900, 128)) < 0.03)).astype(np.uint8)
+    bits[:40] = bits[0]  # many equal codes
+    words = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+    codes = spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(words)] + [(5000, None)], "vec_id long, bin array<long>").repartition(3)
+    asked = [0, 41, 500, 899]
+    queries = spark.createDataFrame([(i, words[i].tolist()) for i in asked], "query_id long, bin array<long>")
+    found, read = mih.nearest(codes, queries, 7)
+    got = sorted((r["query_id"], r["rank"], r["far"], r["vec_id"]) for r in found.collect())
+    want = []
+    for i in asked:
+        far = (bits ^ bits[i]).sum(axis=1)
+        want += [(i, n + 1, int(far[j]), int(j)) for n, j in enumerate(sorted(range(900), key=lambda j: (far[j], j))[:7])]
+    assert got == want
+    # Queries stop on proof, having looked at a part of the codes.
+    shares = [r["looked_at"] / r["codes"] for r in read.collect()]
+    assert len(shares) == 4 and max(shares) < 0.35
+    few, _ = mih.nearest(codes.limit(3), queries, 7)
+    assert few.count() == 12
+    assert mih.nearest(codes.limit(0), queries, 7)[0].count() == 0
+
+
+def test_sketches_merge_within_the_stated_error(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    values = np.concatenate([rng.exponential(10, 40_000), np.full(10_000, 3.0)])
+    rows = spark.createDataFrame([(int(i % 9), float(v)) for i, v in enumerate(values)], "day int, value double")
+    days = metrics.latency_sketches(rows, "value", "day")
+    days.write.parquet(str(tmp_path / "days"))
+    # A stream of stored sketches is merged like a table of them.
+    stream = spark.readStream.schema(days.schema).parquet(str(tmp_path / "days")).withColumn("all", F.lit(1))
+    query = metrics.sketched_summary(stream, "all").writeStream.format("memory").queryName("merged").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    told = spark.table("merged").first()
+    assert told["n"] == len(values)
+    for p in (50, 95, 99):
+        assert (values < told[f"p{p}"]).mean() - metrics.RANK_ERROR <= p / 100 <= (values <= told[f"p{p}"]).mean() + metrics.RANK_ERROR
