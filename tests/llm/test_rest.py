@@ -287,6 +287,35 @@ def test_page_edge_rows(spark):
     assert html.extract_text(frame.where("false")).collect() == []
 
 
+def test_marks_take_no_main_text(spark):
+    """Pages without an article, and marks that mislead."""
+    cases = [
+        ('<div class="layout no-sidebar"><p>Main text.</p></div>', "Main text."),
+        ('<div class="blog-post social-sciences"><p>Essay</p></div>', "Essay"),
+        ('<article><h2 id="related-work">Related work</h2><p class="market-share">Shares</p><p class="share">Mine</p></article>', "Related work\n\nShares\n\nMine"),
+        ('<article><p>Law</p><section id="comments-on-the-law"><p>On it</p></section></article>', "Law\n\nOn it"),
+        ("<article><header><h1>Title</h1></header><p>Text</p><footer>by me</footer></article><header>Site</header>", "Title\n\nText"),
+        ('<div class="sidebar"><p>All there is on this page</p></div><p>more</p>', "All there is on this page\n\nmore"),
+        ('<form id="all"><p>A page in a form, as some servers make them</p><div class="menu">m</div></form>', "A page in a form, as some servers make them"),
+        ("<form><article><p>In a form</p></article></form>", "In a form"),
+        ('<article><p>Short</p></article><div class="comments"><p>Long words of readers, far longer than the page</p></div>', "Short"),
+        ('<div role="navigation">Home</div><p>The text of a page without an article</p><div class="left sidebar">side</div>', "The text of a page without an article"),
+        ('<div class="header-image"><p>Below a picture</p></div>', "Below a picture"),
+    ]
+    frame = spark.createDataFrame([(i, f"http://m{i}.org/", h) for i, (h, _) in enumerate(cases)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract_text(frame).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(cases)}
+
+
+def test_templates_decide_at_every_scale(spark):
+    """Pages from which the templates alone take something: all at sf0.1, most hosts' at sf0.01; on hosts of few pages too."""
+    for sf, least in (("/root/testdata/sf0.1", 1.0), ("/root/testdata/sf0.01", 0.5)):
+        pages = q.table(spark, sf, "pages")
+        cleaned = {r["page_id"]: r["text"] for r in html.extract_text(pages, landmarks=False).collect()}
+        whole = {r["page_id"]: "\n\n".join(html.blocks(html.parse(r["html"]), (), False)) for r in pages.collect()}
+        assert sum(cleaned[i] != whole[i] for i in whole) >= least * len(whole)
+
+
 def test_site_template_goes_and_prose_stays(spark):
     bar = "<div><span>Welcome to the site</span><ul><li>one</li><li>two</li></ul></div>"
     own_bar = "<div><span>Wylcomy to thy sity</span><ul><li>ony</li><li>other</li></ul></div>"
