@@ -84,11 +84,17 @@ def split_text(documents: DataFrame, rules: Chunking | None = None, *, text: str
         for texts in batches:
             yield pd.Series([[{"ordinal": i, "span_start": a, "span_end": b} for i, (a, b) in enumerate(chunk_spans(t, rules)) if t[a:b].strip()] for t in texts], dtype=object)
 
-    out = documents.withColumn("_span", F.explode(spans(F.col(text))))
+    out = spread(documents).withColumn("_span", F.explode(spans(F.col(text))))
     piece = F.substring(F.col(text), F.col("_span.span_start") + 1, F.col("_span.span_end") - F.col("_span.span_start"))
     return out.select("*", "_span.*", piece.alias("chunk_text")).drop("_span")
 
 
+def spread(documents: DataFrame) -> DataFrame:
+    """The rows over all cores, if they come in fewer parts: a small file with one row group is one task, however dear the work."""
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    return documents if documents.isStreaming or documents.rdd.getNumPartitions() >= cores else documents.repartition(cores)
+
+
 def _c(of: Column | str) -> Column:
     return F.col(of) if isinstance(of, str) else of
 
@@ -122,19 +128,37 @@ def counted(documents: DataFrame, key: str, features: Column) -> DataFrame:
     A row's sorted features are told apart from their neighbours before; the
     places where a new one begins give the counts. Keys have to be distinct.
     """
-    sorted_ = documents.select(key, F.array_sort(features).alias("f"))
+    return _inlined(_runs(documents, key, features), key, F.col("runs"), "feature")
+
+
+def _inlined(rows: DataFrame, key: str, structs: Column, some: str) -> DataFrame:
+    """A row for each struct. The outer form, as for the inner one the optimizer would test the arrays' sizes, and compute them, in a filter at the scan."""
+    return rows.select(key, F.inline_outer(structs)).where(F.col(some).isNotNull())
+
+
+def _runs(documents: DataFrame, key: str, features: Column) -> DataFrame:
+    """(key, runs): array<struct<feature, n>> of each row, by feature."""
+    sorted_ = spread(documents).select(key, F.array_sort(features).alias("f"))
     starts = F.filter(F.transform("f", lambda x, i: F.when((i == 0) | (x != F.get("f", i - 1)), i)), lambda i: i.isNotNull())
     runs = sorted_.select(key, "f", starts.alias("at"))
     run = F.transform("at", lambda a, i: F.struct(F.get("f", a).alias("feature"), (F.coalesce(F.get("at", i + 1), F.size("f")) - a).cast("long").alias("n")))
-    return runs.select(key, F.inline(run))
+    return runs.select(key, run.alias("runs"))
 
 
 def hashed_features(documents: DataFrame, key: str, dimension: int, *, text: str = "text") -> DataFrame:
-    """(key, bucket, value): signed counts of the hashed features; buckets of sum 0 included."""
-    feature = documents.select(key, F.explode(ngram_features(text)).alias("f"))
-    h = F.crc32(F.col("f").cast("binary"))
-    sign = F.when(F.shiftright(h, 31).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)
-    return feature.select(key, (h % dimension).alias("bucket"), sign.alias("sign")).groupBy(key, "bucket").agg(F.sum("sign").alias("value"))
+    """(key, bucket, value): signed counts of the hashed features; buckets of sum 0 included. Rows are summed one by one, so nothing is shuffled.
+
+    A bucket's features of either sign are two runs, one after the other. Keys have to be distinct.
+    """
+    h = lambda f: F.crc32(f.cast("binary"))
+    codes = F.transform(ngram_features(text), lambda f: (h(f) % dimension) * 2 + F.call_function("shiftright", h(f), F.lit(31)).bitwiseAND(F.lit(1)))
+    runs = _runs(documents, key, codes)
+    signed = lambda r: F.when(r["feature"] % 2 == 1, r["n"]).otherwise(-r["n"])
+    bucket = lambda r: F.floor(r["feature"] / 2)
+    other = lambda r, i: F.when(bucket(F.get("runs", i + 1)) == bucket(r), signed(F.get("runs", i + 1)))
+    first = lambda r, i: (i == 0) | (bucket(F.get("runs", i - 1)) != bucket(r))
+    sums = F.transform("runs", lambda r, i: F.when(first(r, i), F.struct(bucket(r).alias("bucket"), (signed(r) + F.coalesce(other(r, i), F.lit(0))).alias("value"))))
+    return _inlined(runs, key, F.array_compact(sums), "bucket")
 
 
 def embed_texts(texts: Sequence[str | None], dimension: int) -> np.ndarray:
@@ -190,7 +214,7 @@ def local_embeddings(documents: DataFrame, key: str, dimension: int, *, text: st
             # Some at a time: what they have in common is hashed once, and no more than that is in memory.
             yield pd.Series([v for at in range(0, len(texts), 1024) for v in embed_texts(texts.iloc[at : at + 1024].tolist(), dimension)], dtype=object)
 
-    return documents.select(key, embed(F.col(text)).alias("vector"))
+    return spread(documents).select(key, embed(F.col(text)).alias("vector"))
 
 
 def content_hash(text: Column | str) -> Column:

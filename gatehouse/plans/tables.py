@@ -20,6 +20,9 @@ WHOLE = {"policies": schemas.POLICIES, "quant": schemas.QUANT}
 TABLES = PARTED | WHOLE
 
 
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Where tables that all hosts need may be written; local sessions without a checkpoint folder get a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,9 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
         return shared
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise StoreError("set spark.checkpoint.dir to a folder that all hosts share")
-    shared = f"file://{tempfile.mkdtemp(prefix='gatehouse-')}"
-    spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    # One a local application, as a session can't set this folder later.
+    return _local.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='gatehouse-')}")
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
