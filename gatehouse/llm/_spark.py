@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_local: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
 
@@ -24,8 +27,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")
-        shared = f"file://{tempfile.mkdtemp(prefix='gatehouse-')}"
-        spark.conf.set("spark.checkpoint.dir", shared)
+        # One a local application, as a session can't set this folder later.
+        shared = _local.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='gatehouse-')}")
     return shared
 
 
