@@ -31,7 +31,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise StoreError("set spark.checkpoint.dir to a folder that all hosts share")
     # One a local application, as a session can't set this folder later.
-    return _local.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='gatehouse-')}")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = f"file://{tempfile.mkdtemp(prefix='gatehouse-')}"
+    return _local[app]
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
