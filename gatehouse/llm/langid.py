@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import boxed, held, name
@@ -16,6 +16,8 @@ from ._spark import boxed, held, name
 UNKNOWN = "und"
 #: Bounds of the labelled sample: characters a language, all together, of one text.
 CHARS, ALL_CHARS, TEXT_CHARS = 40_000, 1_000_000, 20_000
+#: What each language gets of them at least, and how many there may be.
+LEAST_CHARS, MAX_LANGUAGES = 2_000, 5_000
 #: Rows of a language that are fetched, at most, to fill its characters.
 ROWS = 400
 #: Characters of a language's sample up to which its automaton is a plain table; that of a larger script is hashed.
@@ -217,23 +219,29 @@ def learn_languages(labelled: DataFrame, *, text: str = "text", lang: str = "lan
 
     Of every language, about ROWS rows with the smallest seeded hashes of id
     and length are fetched, and their whole texts joined up to CHARS characters
-    (ALL_CHARS over all languages). Texts of over TEXT_CHARS characters aren't
+    (ALL_CHARS over all languages, but LEAST_CHARS of each; more than
+    MAX_LANGUAGES languages raise an error). Texts of over TEXT_CHARS characters aren't
     learned from, unless a language has no other.
     """
     usable = labelled.select(name(lang).alias("lang"), name(text).alias("text"), name(doc_id).alias("id")).where("lang IS NOT NULL AND length(text) > 0")
     usable = usable.withColumns({"u": F.pmod(F.xxhash64(F.lit(seed), "id", F.length("text")), F.lit(1 << 30)) / float(1 << 30), "long": F.length("text") > TEXT_CHARS})
-    counts = usable.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count("*").alias("n")).collect()
+    counts = usable.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if not counts:
         return CrossParser({})
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     spark = labelled.sparkSession
     rows = [(r[0], r["short"] == 0, min(1.0, ROWS / max(1, r["short"] or r["n"]))) for r in counts]
     chosen = spark.createDataFrame(rows, f"of {labelled.schema[lang].dataType.simpleString()}, any boolean, upto double")
     piece = F.substring("text", 1, TEXT_CHARS)
     sample = usable.join(F.broadcast(chosen), (F.col("lang") == F.col("of")) & (F.col("u") < F.col("upto")) & (F.col("any") | ~F.col("long")))
-    # Half a million characters a language at most leave the executors.
-    budget = max(2_000, min(CHARS, ALL_CHARS // len(rows)))
+    budget = max(LEAST_CHARS, min(CHARS, ALL_CHARS // len(rows)))
+    # A language has about ROWS rows here. No more leaves the executors than is learned from; a line break parts two texts.
+    before = F.coalesce(F.sum(F.length("t") + 1).over(Window.partitionBy("lang").orderBy("u", "t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = sample.select("u", "lang", piece.alias("t")).withColumn("before", before).where(F.col("before") < budget)
+    cut = cut.select("u", "lang", F.substring("t", F.lit(1), (F.lit(budget) - F.col("before")).cast("int")).alias("t"), "before")
     texts: dict[str, list[str]] = {}
-    for r in sorted(sample.select("u", "lang", piece.alias("t")).collect(), key=lambda r: (r["lang"], r["u"], r["t"])):
+    for r in sorted(cut.collect(), key=lambda r: (r["lang"], r["before"])):
         texts.setdefault(r["lang"], []).append(r["t"])
     return CrossParser({k: "\n".join(v)[:budget] for k, v in texts.items()})
 

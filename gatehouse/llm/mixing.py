@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
-from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import boxed, name
+from ._spark import boxed, materialise, name
 
 #: Patterns and sources are aggregates that go to the driver; more than this raises.
 MAX_PATTERNS = 100_000
 #: Documents that a bucket of the seeded order holds on average.
 BUCKET_ROWS = 512
 #: Buckets of a pattern, at most: the sums of one pattern are added up in one task.
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 65_536
+#: Parts of the rows of the edge's bucket that are equal, so that no task numbers them all.
+SALTS = 1024
 
 
 def words_in(column: str):
@@ -43,50 +43,68 @@ def fill_targets(sizes: Sequence[int], weights: Sequence[float], total: float, m
 
 
 class Flow:
-    """Min-cost flow with integer capacities, by successive shortest paths with potentials."""
+    """Largest flow with integer capacities, by blocking flows in graphs of shortest distances.
+
+    Edges may get more room after a run; the next run adds to the flow.
+    """
 
     def __init__(self) -> None:
-        self.out: dict[object, list[int]] = defaultdict(list)
-        self.to: list[object] = []
+        self.number: dict[object, int] = {}
+        self.out: list[list[int]] = []
+        self.to: list[int] = []
         self.room: list[int] = []
-        self.cost: list[int] = []
 
-    def edge(self, a: object, b: object, room: int, cost: int = 0) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            self.out[x].append(len(self.to))
-            self.to.append(y)
+    def node(self, label: object) -> int:
+        if label not in self.number:
+            self.number[label] = len(self.out)
+            self.out.append([])
+        return self.number[label]
+
+    def edge(self, a: object, b: object, room: int) -> int:
+        for x, y, r in ((a, b, room), (b, a, 0)):
+            self.out[self.node(x)].append(len(self.to))
+            self.to.append(self.node(y))
             self.room.append(r)
-            self.cost.append(c)
         return len(self.to) - 2
 
-    def run(self, source: object, sink: object) -> None:
-        height: dict[object, int] = defaultdict(int)
-        while True:
-            best, via, order, heap = {source: 0}, {}, 0, [(0, 0, source)]
-            done = set()
-            while heap:
-                d, _, a = heappop(heap)
-                if a in done:
-                    continue
-                done.add(a)
+    def _distances(self, source: int) -> list[int]:
+        far, layer = [-1] * len(self.out), [source]
+        far[source] = 0
+        while layer:
+            after = []
+            for a in layer:
                 for e in self.out[a]:
-                    b = self.to[e]
-                    if self.room[e] > 0 and b not in done and (n := d + self.cost[e] + height[a] - height[b]) < best.get(b, n + 1):
-                        best[b], via[b], order = n, e, order + 1
-                        heappush(heap, (n, order, b))
-            if sink not in best:
-                return
-            far = max(best.values())
-            for a in self.out:
-                height[a] += best.get(a, far)
-            path, a = [], sink
-            while a != source:
-                path.append(via[a])
-                a = self.to[via[a] ^ 1]
-            amount = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= amount
-                self.room[e ^ 1] += amount
+                    if self.room[e] > 0 and far[self.to[e]] < 0:
+                        far[self.to[e]] = far[a] + 1
+                        after.append(self.to[e])
+            layer = after
+        return far
+
+    def run(self, source: object, sink: object) -> None:
+        source, sink = self.node(source), self.node(sink)
+        while (far := self._distances(source))[sink] >= 0:
+            tried, path, a = [0] * len(self.out), [], source
+            while True:
+                if a == sink:
+                    amount = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= amount
+                        self.room[e ^ 1] += amount
+                    full = next(i for i, e in enumerate(path) if self.room[e] == 0)
+                    a = self.to[path[full] ^ 1]
+                    del path[full:]
+                elif tried[a] < len(self.out[a]):
+                    e = self.out[a][tried[a]]
+                    if self.room[e] > 0 and far[self.to[e]] == far[a] + 1:
+                        path.append(e)
+                        a = self.to[e]
+                    else:
+                        tried[a] += 1
+                elif path:
+                    a = self.to[path.pop() ^ 1]
+                    tried[a] += 1
+                else:
+                    break
 
 
 def route(patterns: dict[tuple, int], quotas: dict[object, int], repeats: int) -> dict[tuple, dict[object, int]]:
@@ -96,16 +114,22 @@ def route(patterns: dict[tuple, int], quotas: dict[object, int], repeats: int) -
     The n-th use of a document costs n - 1, so fresh documents go first and
     repetition spreads; the costs are convex, and the flow is the cheapest one
     that fills the quotas as far as they can be filled.
+
+    Only the ways into the patterns cost anything, so the cheapest flow comes in
+    rounds: the largest flow of first uses, what second uses can add to it, and
+    so on. A round over patterns of one source each takes one pass of the graph.
     """
     flow, arcs = Flow(), {}
+    ways = {p: flow.edge("start", ("pattern", p), 0) for p in patterns}
     for p, size in patterns.items():
-        for n in range(repeats):
-            flow.edge("start", ("pattern", p), size, n)
         for s in p:
             arcs[p, s] = flow.edge(("pattern", p), ("source", s), repeats * size)
     for s, quota in quotas.items():
         flow.edge(("source", s), "end", quota)
-    flow.run("start", "end")
+    for _ in range(repeats):
+        for p, e in ways.items():
+            flow.room[e] += patterns[p]
+        flow.run("start", "end")
     sent: dict[tuple, dict[object, int]] = {p: {} for p in patterns}
     for (p, s), e in arcs.items():
         sent[p][s] = flow.room[e ^ 1]
@@ -113,14 +137,20 @@ def route(patterns: dict[tuple, int], quotas: dict[object, int], repeats: int) -
 
 
 def _fill_edge(table: pa.Table) -> pa.Table:
-    """Whole documents of the bucket that holds the quota's edge, in seeded order, while they fit."""
-    table = table.sort_by([("_seeded", "ascending"), ("_size", "ascending")])
-    room = table["_room"][0].as_py()
-    more = []
-    for size in table["_size"].to_pylist():
-        more.append(int(size <= room))
-        room -= size * more[-1]
-    return table.append_column("_more", pa.array(more, pa.int64()))
+    """How many of each kind of row in the edge's bucket are taken: in seeded order while they fit.
+
+    One more follows if that brings the sum nearer to the quota, the one that brings it nearest.
+    """
+    table = table.sort_by([(c, "ascending") for c in ("_seeded", "_size", "_rest", "_salt")])
+    room, sizes, counts = table["_room"][0].as_py(), table["_size"].to_pylist(), table["_n"].to_pylist()
+    take = []
+    for size, n in zip(sizes, counts, strict=True):
+        take.append(min(n, room // size) if size else n)
+        room -= size * take[-1]
+    left = [i for i, n in enumerate(counts) if take[i] < n]
+    if left and abs(room - sizes[i := min(left, key=lambda i: abs(room - sizes[i]))]) < room:
+        take[i] += 1
+    return table.append_column("_take", pa.array(take, pa.int64()))
 
 
 def mix_sources(docs: DataFrame, sources: str, quotas: dict[object, int], *, size: str = "size", doc_id: str = "doc_id", repeats: int = 2, seed: int = 42) -> DataFrame:
@@ -136,8 +166,10 @@ def mix_sources(docs: DataFrame, sources: str, quotas: dict[object, int], *, siz
        times, and once more a seeded selection of w % its size words. The
        seeded order is cut into buckets of about BUCKET_ROWS documents, at most
        MAX_BUCKETS; sums of buckets tell which are taken whole. In the one
-       bucket at the edge, documents are taken in seeded order while they fit.
-       So no task holds more of a source than a bucket, and reruns agree.
+       bucket at the edge, documents are taken in seeded order while they fit,
+       and one more if that is nearer. Only hashes, sizes and counts of that
+       bucket go to one task, not its rows; equal rows are counted, and are
+       numbered in SALTS parts where just some of them are taken. Reruns agree.
 
     Repeated rows count as documents of their own. Documents without a size, a
     source or a quota get taken = 0. Columns ``copies`` and ``taken`` of the
@@ -161,22 +193,34 @@ def mix_sources(docs: DataFrame, sources: str, quotas: dict[object, int], *, siz
     kind = kind.simpleString()
 
     # Both broadcasts have one row for each pattern, so at most MAX_PATTERNS.
-    planned = spark.createDataFrame(plan, f"_pattern {kind}, _whole long, _part long, _buckets long")
-    keyed = keyed.join(F.broadcast(planned), "_pattern")
-    keyed = keyed.withColumn("_seeded", F.xxhash64(F.lit(seed), "_id", "_size")).withColumn("_bucket", F.pmod("_seeded", "_buckets"))
-    sums = keyed.where("_part > 0").groupBy("_pattern", "_bucket").agg(F.sum("_size").alias("_sum"), F.first("_part").alias("_part"))
-    upto = F.sum("_sum").over(Window.partitionBy("_pattern").orderBy("_bucket"))
-    edges = sums.withColumn("_upto", upto).where("_upto > _part").groupBy("_pattern").agg(F.min(F.struct("_bucket", (F.col("_part") - F.col("_upto") + F.col("_sum")).alias("room"))).alias("e"))
-    edges = [(r["_pattern"], r["e"]["_bucket"], r["e"]["room"]) for r in edges.collect()]
-    edged = spark.createDataFrame(edges, f"_pattern {kind}, _edge long, _room long")
-    keyed = keyed.join(F.broadcast(edged), "_pattern", "left")
+    planned = spark.createDataFrame([(i, *p) for i, p in enumerate(plan)], f"_no int, _pattern {kind}, _whole long, _part long, _buckets long")
+    keyed = keyed.join(F.broadcast(planned), "_pattern").drop("_pattern")
+    keyed = keyed.withColumn("_seeded", F.xxhash64(F.lit(seed), "_id", "_size")).withColumn("_bucket", F.pmod("_seeded", "_buckets")).drop("_id")
+    sums = keyed.where("_part > 0").groupBy("_no", "_bucket").agg(F.sum("_size").alias("_sum"), F.first("_part").alias("_part"))
+    upto = F.sum("_sum").over(Window.partitionBy("_no").orderBy("_bucket"))
+    edges = sums.withColumn("_upto", upto).where("_upto > _part").groupBy("_no").agg(F.min(F.struct("_bucket", (F.col("_part") - F.col("_upto") + F.col("_sum")).alias("room"))).alias("e"))
+    edges = [(r["_no"], r["e"]["_bucket"], r["e"]["room"]) for r in edges.collect()]
+    edged = spark.createDataFrame(edges, "_no int, _edge long, _room long")
+    keyed = keyed.join(F.broadcast(edged), "_no", "left")
 
     at_edge = F.col("_edge").isNotNull() & (F.col("_bucket") == F.col("_edge"))
-    clear = keyed.where(~at_edge).withColumn("_more", F.when(F.col("_edge").isNotNull() & (F.col("_bucket") < F.col("_edge")), 1).otherwise(0).cast("long"))
-    schema = T.StructType([*keyed.schema.fields, T.StructField("_more", T.LongType())])
-    filled = keyed.where(at_edge).groupBy("_pattern").applyInArrow(_fill_edge, schema)
+    more = F.when(F.col("_edge").isNotNull() & (F.col("_bucket") < F.col("_edge")), 1).otherwise(0).cast("long")
+    clear = keyed.where(~at_edge).withColumn("_more", more)
+    # Rows of one id and size are told apart by their other columns, of the types that can be hashed.
+    rest = [F.col("row").getField(f.name) for f in docs.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    edge = materialise(keyed.where(at_edge).withColumns({"_rest": F.xxhash64(F.lit(seed), *rest), "_salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))}))
+    kinds = ["_no", "_seeded", "_size", "_rest", "_salt"]
+    counts = edge.groupBy(*kinds).agg(F.count("*").alias("_n"), F.first("_room").alias("_room"))
+    taken = materialise(counts.groupBy("_no").applyInArrow(_fill_edge, T.StructType([*counts.schema.fields, T.StructField("_take", T.LongType())])))
+    met = edge.drop("_room").join(taken.drop("_room"), kinds)
+    surely = met.where("_take = 0 OR _take = _n").withColumn("_more", F.least("_take", F.lit(1)).cast("long"))
+    # Of rows that are equal in all that is hashed, it doesn't matter which are taken.
+    number = F.row_number().over(Window.partitionBy(*kinds).orderBy("_seeded"))
+    some = met.where("_take > 0 AND _take < _n").withColumn("_more", (number <= F.col("_take")).cast("long"))
+    columns = ["row", "_whole", "_more", "_size"]
     copies = F.col("_whole") + F.col("_more")
-    return clear.unionByName(filled).select("row.*", copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
+    out = clear.select(columns).unionByName(surely.select(columns)).unionByName(some.select(columns))
+    return out.select("row.*", copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
 
 
 def mix_to_weights(docs: DataFrame, *, source: str = "source", size: str = "size", doc_id: str = "doc_id", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:

@@ -216,8 +216,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", la
 
     The ids are chosen from the labels alone and, as they are few, broadcast to
     the documents, so no text is shuffled. Only labels 0 and 1 count, and texts
-    of at most TEXT_CHARS characters; of a repeated id one row. With one label
-    alone, or none, the model gives every text that label's side (none: 0).
+    of at most TEXT_CHARS characters; of a repeated id one row, and label 1
+    if its labels differ. With one label alone, or none, the model gives every text that label's side (none: 0).
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y"), (F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << 30)) / float(1 << 30)).alias("u"))
@@ -225,7 +225,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", la
     upto = F.lit(0.0)
     for y, n in counts.items():
         upto = F.when(F.col("y") == y, min(1.0, ROWS / n)).otherwise(upto)
-    chosen = known.where(F.col("u") < upto).dropDuplicates(["_id"]).collect()
+    chosen = known.where(F.col("u") < upto).groupBy("_id").agg(F.max("y").alias("y"), F.min("u").alias("u")).collect()
     ids = spark.createDataFrame([tuple(r) for r in chosen], known.schema)
     texts = docs.where(F.length(text) <= TEXT_CHARS).select(F.col(doc_id).alias("_id"), F.col(text).alias("t"))
     found = texts.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min_by(F.struct("t", "y", "u"), "t").alias("r")).select("r.*")

@@ -19,8 +19,9 @@ MAX_RULES = 1_000_000
 class _Node:
     labels: dict[str, _Node] = field(default_factory=dict)
     segments: dict[str, _Node] = field(default_factory=dict)
-    #: Rules that end inside a segment: (rest of the path, verdict, rule text), longest first.
-    partial: list[tuple[str, str, str]] = field(default_factory=list)
+    #: Rules that end inside a segment: rest of the path to (verdict, rule text), and the lengths of these rests, longest first.
+    partial: dict[str, tuple[str, str]] = field(default_factory=dict)
+    lengths: list[int] = field(default_factory=list)
     rule: tuple[str, str] | None = None
 
 
@@ -52,10 +53,10 @@ class UrlTrie:
             node = node.segments.setdefault(segment, _Node())
         name = f"{host}{path}"
         if rest:
-            known = {p: (v, n) for p, v, n in node.partial}
-            if known.get(rest, ("allow",))[0] != "block":
-                known[rest] = (verdict, name)
-            node.partial = sorted(((p, *x) for p, x in known.items()), key=lambda x: (-len(x[0]), x[0]))
+            if node.partial.get(rest, ("allow",))[0] != "block":
+                node.partial[rest] = (verdict, name)
+            if len(rest) not in node.lengths:
+                node.lengths = sorted([*node.lengths, len(rest)], reverse=True)
         elif node.rule is None or node.rule[0] != "block":
             node.rule = (verdict, name)
 
@@ -63,8 +64,7 @@ class UrlTrie:
     def _path(node: _Node, path: str) -> tuple[str, str] | None:
         best, segments, at = None, path.split("/"), 0
         for segment in segments:
-            rest = path[at:]
-            if hit := next(((v, n) for p, v, n in node.partial if rest.startswith(p)), None):
+            if hit := next((node.partial[p] for n in node.lengths if n <= len(segment) and (p := segment[:n]) in node.partial), None):
                 best = hit
             elif node.rule:
                 best = node.rule

@@ -1,7 +1,9 @@
 """Mixing, top-k, packing, URL rules, chats, page text: against brute force and on edge rows."""
 
+import itertools
 import math
 import random
+import time
 import zlib
 from collections import defaultdict
 from fractions import Fraction
@@ -82,6 +84,37 @@ def test_overlapping_sources_and_edge_rows(spark):
     assert mixing.mix_to_weights(one.where("false")).collect() == []
 
 
+def test_flow_is_cheapest_and_fast():
+    rng = random.Random(1)
+    for _ in range(60):
+        keys = rng.sample([("a",), ("b",), ("a", "b")], rng.randint(1, 3))
+        patterns, quotas = {p: rng.randint(1, 3) for p in keys}, {"a": rng.randint(0, 6), "b": rng.randint(0, 6)}
+        choices = [[(x if "a" in p else 0, y if "b" in p else 0) for x in range(7 if "a" in p else 1) for y in range(7 if "b" in p else 1) if x + y <= 2 * n] for p, n in patterns.items()]
+        cost = lambda used: sum(max(0, sum(u) - n) for u, n in zip(used, patterns.values(), strict=True))
+        fits = [c for c in itertools.product(*choices) if sum(x for x, _ in c) <= quotas["a"] and sum(y for _, y in c) <= quotas["b"]]
+        best = min((-sum(map(sum, c)), cost(c)) for c in fits)
+        sent = mixing.route(patterns, quotas, 2)
+        got = [(x.get("a", 0), x.get("b", 0)) for x in sent.values()]
+        assert (-sum(map(sum, got)), cost(got)) == best
+    start = time.perf_counter()
+    sent = mixing.route({(i,): 100 + i % 7 for i in range(20_000)}, {i: 150 for i in range(20_000)}, 2)
+    assert all(x == {i: 150} for i, x in zip(range(20_000), sent.values(), strict=True))
+    assert time.perf_counter() - start < 20
+
+
+def test_mix_takes_the_nearest_sum_and_counts_equal_rows(spark):
+    kind = "doc_id long, s array<string>, size long, text string, m map<string, int>"
+    lone = mixing.mix_sources(spark.createDataFrame([(1, ["a"], 1000, "x", {"k": 1})], kind), "s", {"a": 1900}).collect()
+    assert [(r["copies"], r["taken"]) for r in lone] == [(2, 2000)]
+    # Equal rows, and rows of one id and size with other texts: exactly as many words as wanted, and the same in a rerun.
+    rows = [(None, ["a"], 10, "same", None)] * 300 + [(7, ["a"], 10, f"t{i}", None) for i in range(300)]
+    docs = spark.createDataFrame(rows, kind)
+    for quota in (10, 2990, 3010, 7770, 12000):
+        first, again = (sorted((r["doc_id"] or 0, r["text"], r["copies"]) for r in mixing.mix_sources(docs.repartition(n), "s", {"a": quota}).collect()) for n in (3, 5))
+        assert first == again and len(first) == 600
+        assert sum(10 * c for _, _, c in first) == quota
+
+
 # -- top-k --------------------------------------------------------------------
 
 
@@ -213,6 +246,20 @@ def test_url_edge_rows(spark):
     assert urls.judge_urls(frame.where("false"), []).collect() == []
 
 
+def test_many_rules_that_end_in_one_segment():
+    rng = random.Random(3)
+    rules = [(rng.choice(["allow", "block"]), "a.b", "/x/" + "".join(rng.choices("pqr", k=rng.randint(1, 6)))) for _ in range(300)]
+    trie = urls.UrlTrie(rules)
+    for _ in range(300):
+        path = "/x/" + "".join(rng.choices("pqr", k=rng.randint(0, 9))) + rng.choice(["", "/y"])
+        fit = [(len(p), v == "block", v, f"a.b{p}") for v, _, p in rules if path.startswith(p)]
+        assert trie.lookup("www.a.b", path) == (max(fit)[2:] if fit else None)
+    start = time.perf_counter()
+    large = urls.UrlTrie([("block", "a.b", f"/x/{i}") for i in range(100_000)])
+    assert all(large.lookup("a.b", f"/x/{i}z") == ("block", f"a.b/x/{i}") for i in range(20_000))
+    assert time.perf_counter() - start < 20
+
+
 def test_chats(spark):
     def turns(conv, *texts):
         return [(conv, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(texts)]
