@@ -184,3 +184,36 @@ def test_many_copies_of_few_vectors(spark, monkeypatch, sample):
     got = {tuple(r) for r in embed_dedup.near_duplicates(frame).where("vec_id % 3 = 0").groupBy("n_links", "component_id").count().collect()}
     group = {c: sum(1 for i in range(0, n, 3) if i // 3 % 3 == c) for c in range(3)}
     assert got == {(group[0] + group[1] - 1, 0, group[0] + group[1]), (group[2] - 1, 6, group[2])}
+
+
+@pytest.mark.parametrize(("block", "mass"), [(256, 1 << 18), (16, 1 << 18), (256, 3000), (8, 1500)])
+def test_proven_links_join_what_brute_force_joins(spark, block, mass):
+    """Groups that candidates chain: a hot one of near copies, texts that grow step by step, unrelated texts, short and long ones."""
+    rng = np.random.default_rng(block)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+
+    def changed(words, share):
+        return [w if rng.random() > share else f"x{rng.integers(0, 5000)}" for w in words]
+
+    seed, other, longer = word(120), word(90), word(1500)
+    hot = [changed(seed, rng.choice([0.002, 0.01, 0.03])) for _ in range(220)] + [changed(other, 0.03) for _ in range(25)]
+    steps = [longer[: int(20 * 1.12**i)] for i in range(38)]
+    texts = {1: hot + steps + [word(n) for n in rng.integers(5, 300, 20)], 2: [changed(other, 0.02) for _ in range(9)], 3: [["a"], ["a", "b"], *[word(4) for _ in range(30)]], 4: [word(50)]}
+    rows, seen = [], set()
+    for group, members in texts.items():
+        for words in members:
+            text = " ".join(words)
+            if text not in seen:
+                seen.add(text)
+                fp = np.packbits(simhash.fingerprint_bits(text, 5, 4, once=True)).view(">i8").tolist()
+                rows.append((len(rows), group, fp, np.unique(simhash.shingle_hashes(text, 5)).view(np.int64).tolist()))
+    sets = [set(r[3]) for r in rows]
+    alike = [
+        (i, j) for i in range(len(rows)) for j in range(i) if rows[i][1] == rows[j][1] and len(sets[i] & sets[j]) + 1e-9 >= 0.8 * (len(sets[i]) * len(sets[j])) ** 0.5
+    ]
+    want = least_reachable(len(rows), alike)
+    assert len(set(want)) > 40 and max(want.count(x) for x in set(want)) > 100
+    table = spark.createDataFrame(rows, "id long, group long, fp array<long>, shingles array<long>")
+    found = [(r["a"], r["b"]) for r in simhash.proven_links(table, 0.8, 79, block, mass).collect()]
+    assert least_reachable(len(rows), found) == want
+    assert simhash.proven_links(table.where("false"), 0.8, 79, block, mass).collect() == []
