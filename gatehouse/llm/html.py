@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Sequence, Set
+from collections.abc import Container, Iterable, Iterator, Sequence
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -18,10 +21,8 @@ from ._spark import boxed, materialise, name
 LEAST_PAGES, LEAST_SHARE = 8, 0.05
 #: Of a host or section of few pages: on so many of them, and on this share.
 FEW_PAGES, MOST_SHARE = 3, 0.6
-#: Share of all pages from which a subtree of several hosts is template everywhere; it bounds their number.
+#: Share of all pages from which a subtree of several hosts is template everywhere, whatever their number.
 LEAST_SHARE_OF_ALL = 0.002
-#: Templates of all hosts that are broadcast, at most (8 bytes each): beyond, the share is doubled.
-MOST_EVERYWHERE = 1_000_000
 #: Leading directories of a page's path, each of which names a section.
 SECTIONS = 2
 #: Elements of HTML whose text is never shown as text of the page.
@@ -195,7 +196,7 @@ def main_hash(root: Element) -> int:
     return root.hash
 
 
-def blocks(root: Element, templates: Sequence[Set[int]] = (), landmarks: bool = True) -> list[str]:
+def blocks(root: Element, templates: Sequence[Container[int]] = (), landmarks: bool = True) -> list[str]:
     """Texts of the blocks that remain, in page order, without templates; ``landmarks``: and without what tags and marks put beside the main text."""
     out: list[str] = []
     line: list[str] = []
@@ -228,6 +229,19 @@ def blocks(root: Element, templates: Sequence[Set[int]] = (), landmarks: bool =
     return out
 
 
+class _Sorted:
+    """A set of 64-bit hashes in 8 bytes each."""
+
+    def __init__(self, hashes: Iterable[int]):
+        self.hashes = array("q", hashes)
+        # In place: sorted() would make an object of each.
+        np.frombuffer(self.hashes, np.int64).sort()
+
+    def __contains__(self, x: int) -> bool:
+        at = bisect_left(self.hashes, x)
+        return at < len(self.hashes) and self.hashes[at] == x
+
+
 #: Stands for the page itself among the hashes of its subtrees, none of which is 0.
 _PAGE = 0
 
@@ -284,7 +298,8 @@ def extract_text(pages: DataFrame, *, url: str = "url", html: str = "html", leas
     Templates of sites are written first, so that their size is known when they
     are joined: if it is under the session's broadcast threshold no page is
     shuffled, otherwise Spark sorts both sides and splits hot hosts. Those of
-    all hosts are at most (subtrees of a page) / ``least_share_of_all``.
+    all hosts are at most (subtrees of a page) / ``least_share_of_all``, however
+    many pages there are; they are broadcast as sorted numbers of 8 bytes.
     """
     spark = pages.sparkSession
     link = name(url)
@@ -301,10 +316,8 @@ def extract_text(pages: DataFrame, *, url: str = "url", html: str = "html", leas
     counts = materialise(subtree_counts(keyed, least_pages))
     of_site = counts.where(F.col("tree") == _PAGE).select("site", F.col("n").alias("pages"))
     often = counts.where(F.col("tree") != _PAGE).join(of_site, "site")
-    of_all = often.where("site = '' AND several").where(F.col("n") >= least_pages)
-    while of_all.where(F.col("n") >= F.col("pages") * least_share_of_all).count() > MOST_EVERYWHERE:
-        least_share_of_all *= 2
-    everywhere = spark.sparkContext.broadcast(frozenset(r[0] for r in of_all.where(F.col("n") >= F.col("pages") * least_share_of_all).select("tree").collect()))
+    of_all = often.where("site = '' AND several").where((F.col("n") >= least_pages) & (F.col("n") >= F.col("pages") * least_share_of_all))
+    everywhere = spark.sparkContext.broadcast(_Sorted(r[0] for r in of_all.select("tree").toLocalIterator()))
     recurs = (F.col("n") >= least_pages) & (F.col("n") >= F.col("pages") * least_share) | (F.col("n") >= min(FEW_PAGES, least_pages)) & (F.col("n") >= F.col("pages") * MOST_SHARE)
     templates = materialise(often.where(F.col("site") != "").where(recurs).groupBy("site").agg(F.collect_list("tree").alias("template")))
 
