@@ -33,7 +33,9 @@ def norm(v: Column | str) -> Column:
 def l2_normalize(v: Column | str) -> Column:
     """The vector at length 1; a zero vector stays zero."""
     n = norm(v)
-    return F.transform(_c(v), lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+    # Beside the components: inside the lambda, the length would be computed again for each of them.
+    lengths = F.array_repeat(F.when(n == 0, 1.0).otherwise(n), F.size(_c(v)))
+    return F.zip_with(_c(v), lengths, lambda x, n: x / n)
 
 
 def binarize(v: Column | str) -> Column:

@@ -6,11 +6,12 @@ so they are matched first, and their ids are pushed into the scan of the codes.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,19 +32,46 @@ _BUCKET_BYTES = 4096
 def fit_int8(entries: DataFrame, vector: str = "vector", *, dimension: int | None = None) -> DataFrame:
     """One row: minimum, scale, dimension. A dimension without a range gets scale 1.
 
-    One aggregation with a minimum and a maximum per dimension: partial sums on
-    the map side, one small row per task.
+    Each task takes the minima and maxima of its vectors as matrices; only
+    those, a row for each dimension, leave it.
     """
     if dimension is None:
         first = entries.select(F.size(vector)).first()
         if first is None:
             raise VectorIndexError("no vectors to fit on")
         dimension = first[0]
-    low = F.array(*[F.min(F.element_at(vector, i + 1)) for i in range(dimension)])
-    high = F.array(*[F.max(F.element_at(vector, i + 1)) for i in range(dimension)])
-    fitted = entries.agg(low.alias("minimum"), high.alias("_high"))
-    scale = F.zip_with("_high", "minimum", lambda h, m: F.when(h - m == 0, F.lit(1.0)).otherwise(h.cast("double") - m.cast("double")))
-    return fitted.select(F.col("minimum").cast("array<double>").alias("minimum"), scale.alias("scale"), F.lit(dimension).alias("dimension"))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.full(dimension, np.inf), np.full(dimension, -np.inf)
+        # Whether a dimension has any component, as the ends of none are null.
+        any_ = np.zeros(dimension, bool)
+        for batch in batches:
+            rows, known = _components(batch.column(0), dimension)
+            if len(rows):
+                any_ |= known.any(axis=0)
+                # In Spark's order NaN is above all numbers.
+                low = np.fmin(low, np.fmin.reduce(np.where(known, rows, np.inf), axis=0))
+                high = np.maximum(high, np.where(known, rows, -np.inf).max(axis=0))
+        at = np.flatnonzero(any_)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(low[at], pa.float64()), pa.array(high[at], pa.float64())], ["d", "low", "high"])
+
+    of_tasks = entries.select(F.col(vector).cast("array<double>")).mapInArrow(ends, "d int, low double, high double")
+    whole = of_tasks.groupBy("d").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    # A row a dimension.
+    fitted = whole.agg(F.map_from_entries(F.collect_list(F.struct("d", F.struct("low", "high")))).alias("m"))
+    each = lambda field: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.try_element_at("m", i)[field])
+    ranges = fitted.select(each("low").alias("minimum"), each("high").alias("_high"))
+    scale = F.zip_with("_high", "minimum", lambda h, m: F.when(h - m == 0, F.lit(1.0)).otherwise(h - m))
+    return ranges.select("minimum", scale.alias("scale"), F.lit(dimension).alias("dimension"))
+
+
+def _components(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors that aren't null as a matrix, and which of its components aren't null."""
+    column = column.drop_null()
+    flat = column.flatten()
+    if any(n != dimension for n in pc.unique(pc.list_value_length(column)).to_pylist()):
+        raise VectorIndexError("vectors have different dimensions")
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, dimension), flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, dimension)
 
 
 def fit_entries(entries: DataFrame) -> DataFrame:
@@ -61,15 +89,25 @@ def range_histograms(entries: DataFrame, quant: DataFrame) -> DataFrame:
     cells: counts below the range, in CELLS equal parts of it, and above. Histograms of
     versions, tasks or batches add up cell by cell.
     """
-    ranges = quant.select(F.posexplode(F.arrays_zip("minimum", "scale")).alias("dimension", "r"))
-    # As many rows as a vector has dimensions.
-    met = entries.select(F.posexplode(vectors.l2_normalize("vector")).alias("dimension", "x")).join(F.broadcast(ranges), "dimension")
-    at = F.floor((F.col("x") - F.col("r.minimum")) / F.col("r.scale") * CELLS)
+    q = quant.first()  # one row: the ranges of the dimensions
+    low, scale = np.array(q["minimum"]), np.array(q["scale"])
+    dims = np.arange(len(low))
     # The upper end is in the range; rounding may put a bound just outside.
     slack = 1e-9
-    cell = F.when(F.col("x") < F.col("r.minimum") - slack, 0).when(F.col("x") > F.col("r.minimum") + F.col("r.scale") + slack, CELLS + 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(CELLS), at + 1)))
-    counted = met.select("dimension", cell.alias("cell"))
-    return counted.groupBy("dimension").agg(F.array(*[F.count_if(F.col("cell") == i) for i in range(CELLS + 2)]).alias("cells"))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros((len(low), CELLS + 2), np.int64)
+        for batch in batches:
+            x, known = _components(batch.column(0), len(low))
+            at = np.clip(np.floor((x - low) / scale * CELLS) + 1, 1, CELLS)
+            at = np.where(x < low - slack, 0, np.where(x > low + scale + slack, CELLS + 1, at))
+            place = (dims * (CELLS + 2) + np.nan_to_num(at, nan=CELLS + 1).astype(np.int64))[known]
+            cells += np.bincount(place, minlength=cells.size).reshape(cells.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(dims, pa.int32()), *[pa.array(c) for c in cells.T]], ["dimension", *names])
+
+    names = [f"c{i}" for i in range(CELLS + 2)]
+    of_tasks = entries.select(vectors.l2_normalize("vector").alias("vector")).mapInArrow(counts, "dimension int, " + ", ".join(f"{c} long" for c in names))
+    return of_tasks.groupBy("dimension").agg(F.array(*[F.sum(c) for c in names]).alias("cells"))
 
 
 def clipped_share(histograms: DataFrame) -> float:
@@ -225,23 +263,6 @@ def exact_top_k(rows: DataFrame, query: Column, k: int, *, key: str = "vec_id",
     return rows.select(key, vectors.dot(vector, query).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-#: Rows of a block that meets every query of a batch in a task.
-BLOCK_ROWS = 65_536
-
-
-def in_blocks(rows: DataFrame, queries: DataFrame, key: str, on: Column | None = None) -> DataFrame:
-    """Every row with every query (``on``: that also fits): rows are dealt into blocks, and queries copied to each block.
-
-    For results that have a row for each pair; `topk.k_best` is for the best of them.
-    """
-    spark = rows.sparkSession
-    blocks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // BLOCK_ROWS))
-    dealt = rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
-    copied = queries.withColumn("_of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    fits = F.col("_block") == F.col("_of")
-    return dealt.join(copied, fits if on is None else fits & on).drop("_block", "_of")
-
-
 def folded(queries: DataFrame, quant: DataFrame, vector: str = "vector") -> DataFrame:
     """Queries with bin, weights and bias, so that an inner product with codes needs no decoding; quant is one row."""
     q = queries.join(F.broadcast(quant.select("minimum", "scale")))

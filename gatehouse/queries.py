@@ -350,8 +350,8 @@ def quant_rescore(spark, sf_dir):
     """Every code against every query vector."""
     rows = entries(spark, sf_dir)
     asked = ix.folded(asked_vectors(rows), ix.fit_int8(rows, dimension=DIMENSION)).select("query_id", "weights", "bias")
-    both = ix.in_blocks(coded(spark, sf_dir).select("vec_id", "i8"), asked, "vec_id")
-    return both.select("query_id", "vec_id", F.round(vectors.rescore("i8", "weights", F.col("bias")), 6).alias("score"))
+    codes = text.spread(coded(spark, sf_dir).select("vec_id", "i8"))
+    return topk.every_score(codes, asked, key="vec_id", digits=6)
 
 
 def asked_vectors(rows: DataFrame) -> DataFrame:
