@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import InvalidDocumentError
 
@@ -90,9 +93,13 @@ def split_text(documents: DataFrame, rules: Chunking | None = None, *, text: str
 
 
 def spread(documents: DataFrame) -> DataFrame:
-    """The rows over all cores, if they come in fewer parts: a small file with one row group is one task, however dear the work."""
+    """The rows over all cores, if fewer have rows or one has over twice its share: a row group is one task, however dear the work and however many parts its file is cut into."""
+    if documents.isStreaming:
+        return documents
     cores = documents.sparkSession.sparkContext.defaultParallelism
-    return documents if documents.isStreaming or documents.rdd.getNumPartitions() >= cores else documents.repartition(cores)
+    rows = [r[0] for r in documents.groupBy(F.spark_partition_id().alias("p")).count().select("count").collect()]
+    even = len(rows) >= cores and max(rows) * cores <= 2 * sum(rows)
+    return documents if even else documents.repartition(max(cores, documents.rdd.getNumPartitions()))
 
 
 def _c(of: Column | str) -> Column:
@@ -122,79 +129,136 @@ def ngram_features(text: Column | str) -> Column:
     return F.concat(words, word_pairs(words), char_trigrams(words))
 
 
-def counted(documents: DataFrame, key: str, features: Column) -> DataFrame:
-    """(key, feature, n): how often a row has each of its features. Rows are counted one by one, so nothing is shuffled.
+#: Texts that are counted together: at most so many, and of so many bytes but for a longer one alone.
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 1024, 4 << 20
+
+
+def _of_texts(documents: DataFrame, key: str, text: str, made: str, make: Callable[[list[str | None]], tuple[np.ndarray, list[pa.Array]]]) -> DataFrame:
+    """(key, columns ``made``): what ``make`` gives of some texts at a time, with the number of its text for each row. Nothing is shuffled but to spread the rows."""
+    shape = T.StructType([documents.schema[key], *T.StructType.fromDDL(made).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            start, held = 0, 0
+            for at, length in enumerate([*lengths, BYTES_AT_ONCE + 1]):
+                if at > start and (held + length > BYTES_AT_ONCE or at - start >= TEXTS_AT_ONCE):
+                    part = batch.slice(start, at - start)
+                    of, columns = make(part.column(1).to_pylist())
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), *columns], shape.names)
+                    start, held = at, 0
+                held += length
+
+    return spread(documents.select(key, F.col(text).alias("_text" if key != "_text" else "_text_"))).mapInArrow(run, shape)
+
+
+def counted(documents: DataFrame, key: str, kind: str, *, text: str = "text") -> DataFrame:
+    """(key, feature, n): how often a row has each of its features of a ``kind``: words, pairs or trigrams (see `ngram_features`)."""
+    if kind not in ("words", "pairs", "trigrams"):
+        raise ValueError(f"unknown kind of features: {kind}")
+
+    def make(texts: list[str | None]) -> tuple[np.ndarray, list[pa.Array]]:
+        words, ids = _word_ids(texts)
+        n, names = max(len(words), 1), pa.array(words, pa.string())
+        if kind == "pairs":
+            of = np.repeat(np.arange(len(ids)), [max(0, len(i) - 1) for i in ids])
+            met, times = np.unique(of * (n * n) + _pairs(ids, n), return_counts=True)
+            of, pair = np.divmod(met, n * n)
+            features = pc.binary_join_element_wise(names.take(pa.array(pair // n)), names.take(pa.array(pair % n)), " ")
+        else:
+            of, word, times = _met(ids, n)
+            features = names.take(pa.array(word))
+        if kind == "trigrams":
+            known: dict[str, int] = {}
+            own = [[known.setdefault(g, len(known)) for g in _trigrams(w)] for w in words]
+            many, at = _each(np.array([len(o) for o in own], np.int64), word)
+            grams, g = np.array([x for o in own for x in o], np.int64)[at], max(len(known), 1)
+            met, place = np.unique(np.repeat(of, many) * g + grams, return_inverse=True)
+            times = np.bincount(place, weights=np.repeat(times, many), minlength=len(met)).astype(np.int64)
+            of, features = met // g, pa.array(list(known), pa.string()).take(pa.array(met % g))
+        return of, [features, pa.array(times, pa.int64())]
+
+    return _of_texts(documents, key, text, "feature string, n long", make)
+
+
+def _word_ids(texts: Sequence[str | None]) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct words of some texts, and each text as their numbers."""
+    known: dict[str, int] = {}
+    ids = [np.array([known.setdefault(w, len(known)) for w in _WORD.findall((t or "").lower())], np.int64) for t in texts]
+    return list(known), ids
+
+
+def _met(ids: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, word and how often, for each distinct word of each text."""
+    of = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+    met, times = np.unique(of * n + np.concatenate([np.zeros(0, np.int64), *ids]), return_counts=True)
+    return met // n, met % n, times
 
-    A row's sorted features are told apart from their neighbours before; the
-    places where a new one begins give the counts. Keys have to be distinct.
-    """
-    return _inlined(_runs(documents, key, features), key, F.col("runs"), "feature")
 
+def _pairs(ids: list[np.ndarray], n: int) -> np.ndarray:
+    """Neighbouring words of each text: the first's number times ``n`` plus the second's."""
+    return np.concatenate([np.zeros(0, np.int64), *(i[:-1] * n + i[1:] for i in ids)])
 
-def _inlined(rows: DataFrame, key: str, structs: Column, some: str) -> DataFrame:
-    """A row for each struct. The outer form, as for the inner one the optimizer would test the arrays' sizes, and compute them, in a filter at the scan."""
-    return rows.select(key, F.inline_outer(structs)).where(F.col(some).isNotNull())
 
+def _each(sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many features of its own each of the words has, and the places of them all; ``sizes``: of the distinct words, one after the other."""
+    starts, many = np.cumsum(sizes) - sizes, sizes[word]
+    return many, np.repeat(starts[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
 
-def _runs(documents: DataFrame, key: str, features: Column) -> DataFrame:
-    """(key, runs): array<struct<feature, n>> of each row, by feature."""
-    sorted_ = spread(documents).select(key, F.array_sort(features).alias("f"))
-    starts = F.filter(F.transform("f", lambda x, i: F.when((i == 0) | (x != F.get("f", i - 1)), i)), lambda i: i.isNotNull())
-    runs = sorted_.select(key, "f", starts.alias("at"))
-    run = F.transform("at", lambda a, i: F.struct(F.get("f", a).alias("feature"), (F.coalesce(F.get("at", i + 1), F.size("f")) - a).cast("long").alias("n")))
-    return runs.select(key, run.alias("runs"))
+
+def _trigrams(word: str) -> list[str]:
+    padded = f" {word} "
+    return [f"#{padded[i : i + 3]}" for i in range(len(word))]
 
 
 def hashed_features(documents: DataFrame, key: str, dimension: int, *, text: str = "text") -> DataFrame:
-    """(key, bucket, value): signed counts of the hashed features; buckets of sum 0 included. Rows are summed one by one, so nothing is shuffled.
+    """(key, bucket, value): signed counts of the hashed features; buckets of sum 0 included."""
 
-    A bucket's features of either sign are two runs, one after the other. Keys have to be distinct.
-    """
-    h = lambda f: F.crc32(f.cast("binary"))
-    codes = F.transform(ngram_features(text), lambda f: (h(f) % dimension) * 2 + F.call_function("shiftright", h(f), F.lit(31)).bitwiseAND(F.lit(1)))
-    runs = _runs(documents, key, codes)
-    signed = lambda r: F.when(r["feature"] % 2 == 1, r["n"]).otherwise(-r["n"])
-    bucket = lambda r: F.floor(r["feature"] / 2)
-    other = lambda r, i: F.when(bucket(F.get("runs", i + 1)) == bucket(r), signed(F.get("runs", i + 1)))
-    first = lambda r, i: (i == 0) | (bucket(F.get("runs", i - 1)) != bucket(r))
-    sums = F.transform("runs", lambda r, i: F.when(first(r, i), F.struct(bucket(r).alias("bucket"), (signed(r) + F.coalesce(other(r, i), F.lit(0))).alias("value"))))
-    return _inlined(runs, key, F.array_compact(sums), "bucket")
+    def make(texts: list[str | None]) -> tuple[np.ndarray, list[pa.Array]]:
+        plus, minus = _hashed_counts(texts, dimension)
+        of, bucket = np.nonzero(plus + minus)
+        return of, [pa.array(bucket, pa.int64()), pa.array((plus - minus)[of, bucket].astype(np.int64))]
+
+    return _of_texts(documents, key, text, "bucket long, value long", make)
 
 
 def embed_texts(texts: Sequence[str | None], dimension: int) -> np.ndarray:
-    """The unit vectors (float32) of the texts' hashed features, one a row; zeros for a text that has none.
+    """The unit vectors (float32) of the texts' hashed features, one a row; zeros for a text that has none."""
+    plus, minus = _hashed_counts(texts, dimension)
+    out = plus - minus
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return (out / np.where(length == 0, 1.0, length)).astype(np.float32)
+
+
+def _hashed_counts(texts: Sequence[str | None], dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many features of either sign each text has in each bucket.
 
     Of the texts together, every word and every pair of words is hashed once;
     the rest are sums over (text, word) and (text, pair).
     """
-    known: dict[str, int] = {}
-    ids = [np.array([known.setdefault(w, len(known)) for w in _WORD.findall((t or "").lower())], np.int64) for t in texts]
-    words, n = list(known), len(known)
+    words, ids = _word_ids(texts)
+    n = max(len(words), 1)
     # The features of a word alone: itself and its trigrams.
-    own = [[w, *(f"#{p[i : i + 3]}" for i in range(len(w)))] for w in words for p in (f" {w} ",)]
-    sizes = np.array([len(f) for f in own], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    of_text = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-    met, times = np.unique(of_text * max(n, 1) + np.concatenate([np.zeros(0, np.int64), *ids]), return_counts=True)
-    text, word = met // max(n, 1), met % max(n, 1)
-    many = sizes[word] if n else sizes
-    at = np.repeat(starts[word] - (np.cumsum(many) - many), many) + np.arange(many.sum()) if n else np.zeros(0, np.int64)
+    own = [[w, *_trigrams(w)] for w in words]
+    text, word, times = _met(ids, n)
+    many, at = _each(np.array([len(f) for f in own], np.int64), word)
     hashes = _hashed(f for x in own for f in x)[at]
-    out = _signed(np.repeat(text, many), hashes, np.repeat(times, many), len(ids), dimension)
-    later = np.concatenate([np.zeros(0, np.int64), *(i[:-1] * n + i[1:] for i in ids)])
+    out = _by_sign(np.repeat(text, many), hashes, np.repeat(times, many), len(ids), dimension)
+    later = _pairs(ids, n)
     pairs, place = np.unique(later, return_inverse=True)
     hashes = _hashed(f"{words[x // n]} {words[x % n]}" for x in pairs.tolist())[place]
-    out += _signed(np.repeat(np.arange(len(ids)), [max(0, len(i) - 1) for i in ids]), hashes, np.ones(len(later)), len(ids), dimension)
-    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return (out / np.where(length == 0, 1.0, length)).astype(np.float32)
+    of_pairs = _by_sign(np.repeat(np.arange(len(ids)), [max(0, len(i) - 1) for i in ids]), hashes, np.ones(len(later)), len(ids), dimension)
+    return out[0] + of_pairs[0], out[1] + of_pairs[1]
 
 
 def _hashed(features: Iterable[str]) -> np.ndarray:
     return np.fromiter((zlib.crc32(f.encode()) for f in features), np.int64)
 
 
-def _signed(text: np.ndarray, hashes: np.ndarray, times: np.ndarray, rows: int, dimension: int) -> np.ndarray:
-    return np.bincount(text * dimension + hashes % dimension, weights=np.where(hashes >> 31, times, -times), minlength=rows * dimension).reshape(rows, dimension)
+def _by_sign(text: np.ndarray, hashes: np.ndarray, times: np.ndarray, rows: int, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    place = (text * dimension + hashes % dimension) * 2 + (hashes >> 31)
+    both = np.bincount(place, weights=times, minlength=rows * dimension * 2).reshape(rows, dimension, 2)
+    return both[:, :, 1], both[:, :, 0]
 
 
 def embed_text(text: str | None, dimension: int) -> np.ndarray:
@@ -204,17 +268,16 @@ def embed_text(text: str | None, dimension: int) -> np.ndarray:
 def local_embeddings(documents: DataFrame, key: str, dimension: int, *, text: str = "text") -> DataFrame:
     """(key, vector array<float>): the features of `hashed_features` as unit vectors, one row per row.
 
-    A vectorised UDF, because the dense vector of a text needs nothing from
+    Made in the tasks, because the dense vector of a text needs nothing from
     other rows: the native form would shuffle every feature.
     """
 
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            # Some at a time: what they have in common is hashed once, and no more than that is in memory.
-            yield pd.Series([v for at in range(0, len(texts), 1024) for v in embed_texts(texts.iloc[at : at + 1024].tolist(), dimension)], dtype=object)
+    def make(texts: list[str | None]) -> tuple[np.ndarray, list[pa.Array]]:
+        made = embed_texts(texts, dimension)
+        ends = np.arange(len(texts) + 1, dtype=np.int32) * dimension
+        return np.arange(len(texts)), [pa.ListArray.from_arrays(pa.array(ends), pa.array(made.ravel()))]
 
-    return spread(documents).select(key, embed(F.col(text)).alias("vector"))
+    return _of_texts(documents, key, text, "vector array<float>", make)
 
 
 def content_hash(text: Column | str) -> Column:

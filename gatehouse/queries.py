@@ -561,23 +561,23 @@ WORDS = "words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')),
 
 
 def _grams(spark, sf_dir, kind) -> DataFrame:
-    return text.counted(table(spark, sf_dir, "documents"), "doc_id", kind(text.feature_words("text")))
+    return text.counted(table(spark, sf_dir, "documents"), "doc_id", kind)
 
 
 @query(f"WITH {WORDS} SELECT doc_id, feature, count(*) AS n FROM (SELECT doc_id, unnest(w) AS feature FROM words) GROUP BY 1, 2")
 def ngrams_words(spark, sf_dir):
-    return _grams(spark, sf_dir, lambda w: w)
+    return _grams(spark, sf_dir, "words")
 
 
 @query(f"WITH {WORDS} SELECT doc_id, feature, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS feature FROM words) GROUP BY 1, 2")
 def ngrams_bigrams(spark, sf_dir):
-    return _grams(spark, sf_dir, text.word_pairs)
+    return _grams(spark, sf_dir, "pairs")
 
 
 @query(f"""WITH {WORDS}, t AS (SELECT doc_id, ' ' || unnest(w) || ' ' AS p FROM words)
     SELECT doc_id, feature, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, length(p) - 1), lambda i: '#' || substr(p, i, 3))) AS feature FROM t) GROUP BY 1, 2""")
 def ngrams_trigrams(spark, sf_dir):
-    return _grams(spark, sf_dir, text.char_trigrams)
+    return _grams(spark, sf_dir, "trigrams")
 
 
 #: CRC-32 of ASCII strings (fixed value: the reversed polynomial), of each distinct feature once.
