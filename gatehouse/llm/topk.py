@@ -34,13 +34,15 @@ class ImpactIndex:
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors, self.stopped = ids, vectors, 0
+        self.ids, self.vectors, self.stopped, self.first = ids, vectors, 0, 0
         self.wide = float(np.abs(vectors).max(initial=0)) >= 1 << 40
-        dims, levels, self.postings = [], [], []
+        dims, levels, self.postings, self.segments = [], [], [], []
         for d in range(0 if self.wide else vectors.shape[1]):
             level = vectors[:, d].astype(np.int64) // STEP
             order = np.argsort(level, kind="stable")
             values, starts = np.unique(level[order], return_index=True)
+            # The number of each vector's segment in this dimension.
+            self.segments.append(len(levels) + np.searchsorted(values, level))
             dims += [d] * len(values)
             levels += values.tolist()
             self.postings += np.split(order, starts[1:])
@@ -65,11 +67,12 @@ class ImpactIndex:
         """Places in ``others`` of the vectors that may be among its k best.
 
         Impacts are doubled, so that the middle of a step is an integer.
-        Segments are added up from the largest impact on. When the largest of
+        Segments are added up from the largest impact on; many at once by what
+        each vector has in each dimension, few one by one. When the largest of
         those left is t, a vector of which m postings are missing has a score
         within m * t, and what quantising adds, of its sum. Vectors whose most
         is under the k-th largest least are proven out; the scan stops when few
-        are left.
+        are left. The proof is tried first a step before the last query's.
         """
         if len(others) <= k:
             return np.arange(len(others))
@@ -77,12 +80,20 @@ class ImpactIndex:
         order = np.argsort(-np.abs(impact), kind="stable")
         error, wanted = int(np.abs(query).sum()) * (STEP - 1), max(k, int(len(others) * FEW))
         stops = sorted({int(len(order) * share) for share in TRIALS} | {len(order)})
-        values, size = (impact + (1 << _COUNT)).tolist(), np.abs(impact)
-        totals, at, places = np.zeros(len(self.ids), np.int64), 0, order.tolist()
-        for stop in stops:
-            for s in places[at:stop]:
-                totals[self.postings[s]] += values[s]
-            at = stop
+        values, size = impact + (1 << _COUNT), np.abs(impact)
+        totals, at, own = np.zeros(len(self.ids), np.int64), 0, np.empty(len(self.ids), np.int64)
+        first = min(self.first, len(stops) - 1)
+        for trial, stop in enumerate(stops[first:], first):
+            part = order[at:stop]
+            if len(part) > len(query):
+                added = np.zeros(len(order), np.int64)
+                added[part] = values[part]
+                for segments in self.segments:
+                    totals += np.take(added, segments, out=own, mode="clip")
+            else:
+                for s in part.tolist():
+                    totals[self.postings[s]] += values[s]
+            at, self.first = stop, max(0, trial - 1)
             counts = (totals[others] + (1 << _COUNT - 1)) >> _COUNT
             sums = totals[others] - (counts << _COUNT)
             span = (len(query) - counts) * (int(size[order[at]]) if at < len(order) else 0) + error
