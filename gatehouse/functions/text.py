@@ -62,7 +62,8 @@ def chunk_spans(text: str | None, rules: Chunking) -> list[tuple[int, int]]:
     """(start, end) of the chunks of a text, in code points; none for a blank text."""
     text = text or ""
     spans, start = [], 0
-    while text.strip():
+    # Once: each time copies the text.
+    while spans or text.strip():
         end = min(len(text), start + rules.max_chars)
         if end == len(text):
             return [*spans, (start, end)]

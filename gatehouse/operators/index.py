@@ -110,11 +110,11 @@ def range_histograms(entries: DataFrame, quant: DataFrame) -> DataFrame:
     return of_tasks.groupBy("dimension").agg(F.array(*[F.sum(c) for c in names]).alias("cells"))
 
 
-def clipped_share(histograms: DataFrame) -> float:
-    """The share of components outside their ranges, of all histograms together; 0 for none."""
+def clipped_share(histograms: DataFrame, least_vectors: int = 1) -> float:
+    """The share of components outside their ranges, of all histograms together; 0 if they count fewer vectors."""
     outside = F.element_at("cells", 1) + F.element_at("cells", CELLS + 2)
-    row = histograms.agg(F.sum(outside), F.sum(F.aggregate("cells", F.lit(0).cast("long"), lambda a, x: a + x))).first()
-    return row[0] / row[1] if row[1] else 0.0
+    row = histograms.agg(F.sum(outside), F.sum(F.aggregate("cells", F.lit(0).cast("long"), lambda a, x: a + x)), F.count_distinct("dimension")).first()
+    return row[0] / row[1] if row[1] and row[1] >= least_vectors * row[2] else 0.0
 
 
 def intern_policies(entries: DataFrame, known: DataFrame | None = None) -> DataFrame:

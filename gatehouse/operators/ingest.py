@@ -20,6 +20,8 @@ EmbedChunks = Callable[[DataFrame], DataFrame]
 LONGEST_DOCUMENT_ID = 512
 #: Share of components outside the int8 ranges, of all that came in since they were fitted, beyond which they are fitted anew.
 MOST_CLIPPED = 0.01
+#: Vectors since the ranges were fitted from which that share is judged: of fewer, a single one may be beyond it.
+LEAST_JUDGED = 100
 
 
 @dataclass(frozen=True)
@@ -66,7 +68,7 @@ def ingest(tables: Tables, raw: DataFrame, embed: EmbedChunks, *, rules: text.Ch
     document the last by ``seq`` counts. Vectors are made before the version is
     published, so a failure publishes nothing and a retry starts afresh. The
     int8 ranges stay while at most ``most_clipped`` of the components that came
-    in since lie outside; beyond, all chunks are coded anew (`refit`). With ``prune``, documents that ``raw`` lacks are deleted.
+    in since lie outside; beyond, all chunks are coded anew (`refit`), once LEAST_JUDGED vectors came in. With ``prune``, documents that ``raw`` lacks are deleted.
     """
     fine = raw.where(valid_document_id("document_id"))
     aside = raw.select("document_id", "uri", id_fault("document_id").alias("reason")).where("reason IS NOT NULL")
@@ -104,7 +106,7 @@ def ingest(tables: Tables, raw: DataFrame, embed: EmbedChunks, *, rules: text.Ch
     version = tables.publish({**out, "documents": new, "chunks": chunks, "index": codes}, ended, after=at)
     if count:
         tables.note_ranges(ix.range_histograms(entries, out["quant"]), version)
-    drifted = bool(count) and ix.clipped_share(tables.ranges()) > most_clipped
+    drifted = bool(count) and ix.clipped_share(tables.ranges(), LEAST_JUDGED) > most_clipped
     return Report(n, count, unchanged, bad, refit(tables, embed) if drifted else version, drifted)
 
 
