@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import held, name
+from ._spark import held, materialise, name, small_batches
 
 #: Documents that one task packs together, about. A task leaves at most a few sequences half empty.
 DOCS_A_TASK = 40_000
@@ -292,9 +292,12 @@ def pack_documents(docs: DataFrame, load: Callable[[], WordTokenizer], *, text:
     than ``room`` are cut. Repeated rows are packed as documents of their own.
     The empty table gives the empty table.
 
-    Texts are encoded where they lie. The short rows of pieces are then dealt
-    evenly, whatever their ids, to tasks of about DOCS_A_TASK documents, each of
-    which packs its own by best fit and local search. A task wastes at most
+    Texts are encoded where they lie, in batches of a few MB, and their pieces
+    written. Pieces of ``room`` tokens are sequences of their own and stay where
+    they are. The others, at most one of each document, are dealt evenly,
+    whatever their ids, to tasks of about DOCS_A_TASK, each of which packs its
+    own by best fit and local search. So a task's memory depends neither on the
+    number nor on the length of the documents. A task wastes at most
     what its last few sequences have free, so the waste falls with the size of
     the tasks and not with the size of the input. ``load`` makes the tokenizer
     on an executor.
@@ -329,23 +332,25 @@ def pack_documents(docs: DataFrame, load: Callable[[], WordTokenizer], *, text:
         rows = pd.concat(parts, ignore_index=True)
         # A fixed order, so that a task that is run again numbers its sequences alike.
         rows = rows.sort_values(["doc_id", "piece", "ids_crc32", "length"], kind="stable", ignore_index=True, na_position="last")
-        sizes = rows["length"].to_numpy()
-        short = np.flatnonzero(sizes < room)
-        own = sizes[short].tolist()
+        own = rows["length"].tolist()
         bins = improve(best_fit(own, room), own, room)
         sequence, offset = np.empty(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        full = np.flatnonzero(sizes == room)
-        sequence[full] = np.arange(len(full))
         for k, items in enumerate(bins):
             at = 0
             for i in items:
-                sequence[short[i]], offset[short[i]] = len(full) + k, at
+                sequence[i], offset[i] = k, at
                 at += own[i]
         rows["sequence_id"] = sequence + (TaskContext.get().partitionId() << 36)
         rows["offset"] = offset
         yield rows
 
-    tasks = max(1, -(-docs.count() // DOCS_A_TASK))
-    slim = docs.select(name(doc_id).cast(travels).alias("doc_id"), name(text).alias("text")).mapInPandas(encode, pieces)
-    packed = slim.repartition(tasks).mapInPandas(pack, f"{pieces}, sequence_id long, offset long")
+    slim = docs.select(name(doc_id).cast(travels).alias("doc_id"), name(text).alias("text"))
+    with small_batches(docs.sparkSession):
+        encoded = materialise(slim.mapInPandas(encode, pieces))
+    short, full = encoded.where(F.col("length") < room), encoded.where(F.col("length") == room)
+    tasks = max(1, -(-short.count() // DOCS_A_TASK))
+    packed = short.repartition(tasks).mapInPandas(pack, f"{pieces}, sequence_id long, offset long")
+    # Far above the numbers of the packed ones.
+    alone = full.select("*", (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    packed = packed.unionByName(alone)
     return packed.withColumn("doc_id", F.col("doc_id").cast(id_type))

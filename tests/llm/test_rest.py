@@ -217,6 +217,33 @@ def test_packing_edge_rows(spark):
     assert packing.pack_documents(docs.where("false"), q.load_tokenizer).collect() == []
 
 
+def test_packing_holds_little_of_a_large_input(spark):
+    """A worker holds a few MB of texts at once, and a packing task no pieces that fill a sequence, however many there are."""
+
+    class Tells:
+        """Its first token is the number of texts that came with this one; then come zeros, as many as the text says."""
+
+        def ids(self, text):
+            import sys
+
+            return np.array([len(sys._getframe(1).f_locals["batch"]), *[0] * int(text[:5])], "<u4").tobytes()
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("00639"), F.repeat(F.lit("x"), 10_000)).alias("text"))
+    packed = packing.pack_documents(docs, Tells, room=64, keep_ids=True)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+    got = packed.orderBy("doc_id", "piece").collect()
+    held = [int.from_bytes(r["ids"][:4], "little") for r in got if r["piece"] == 0]
+    assert len(held) == 3000 and max(held) * 10_000 < 6 << 20
+    # 641 tokens are one piece of 1 and ten of 64, each of which is a sequence.
+    assert [(r["piece"], r["start"], r["length"]) for r in got] == [(k, k and 64 * k - 63, 64 if k else 1) for _ in range(3000) for k in range(11)]
+    fills = defaultdict(list)
+    for r in got:
+        fills[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(map(len, fills.values())) == [1] * 30_000 + [56] + [64] * 46
+    assert all(sorted(f) == [(0, 64)] or sorted(f) == [(i, 1) for i in range(len(f))] for f in fills.values())
+
+
 # -- urls, chats, pages -------------------------------------------------------
 
 
