@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.llm import langid, mixing, packing, simhash, toxicity
 from gatehouse.llm import queries as registered
-from gatehouse.llm._spark import boxed, materialise, name, sieved
+from gatehouse.llm._spark import boxed, materialise, name, sieved, small_batches
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +16,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Rows with a null or repeated doc_id, and repeated rows, are judged one by one.
     """
     judged = langid.identify_languages(boxed(docs, text=F.col("text")), registered.language_model(spark, sf_dir))
-    return judged.where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+    with small_batches(spark):
+        return materialise(judged.where(F.col("lang_pred") != langid.UNKNOWN).select("row.*"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     unless most learned texts are toxic.
     """
     judged = toxicity.score_toxicity(boxed(docs, text=F.col("text")), registered.toxicity_model(spark, sf_dir))
-    return judged.where("predicted = 0").select("row.*")
+    with small_batches(spark):
+        return materialise(judged.where("predicted = 0").select("row.*"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import boxed, held, name
+from ._spark import boxed, held, name, small_table
 
 #: What a text without a letter, or any text where nothing was learned, is called.
 UNKNOWN = "und"
@@ -24,6 +24,8 @@ ROWS = 400
 DENSE = 128
 #: Characters of a window; windows are parsed side by side.
 WINDOW = 512
+#: Characters of texts that are parsed at once, about.
+AT_ONCE = 1_000_000
 
 
 class SuffixAutomaton:
@@ -183,7 +185,7 @@ class CrossParser:
                 at.append(i)
                 some.append(codes)
                 chars += len(codes)
-                if chars > 4_000_000:
+                if chars > AT_ONCE:
                     flush()
                     chars = 0
         flush()
@@ -232,7 +234,7 @@ def learn_languages(labelled: DataFrame, *, text: str = "text", lang: str = "lan
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     spark = labelled.sparkSession
     rows = [(r[0], r["short"] == 0, min(1.0, ROWS / max(1, r["short"] or r["n"]))) for r in counts]
-    chosen = spark.createDataFrame(rows, f"of {labelled.schema[lang].dataType.simpleString()}, any boolean, upto double")
+    chosen = small_table(spark, rows, f"of {labelled.schema[lang].dataType.simpleString()}, any boolean, upto double")
     piece = F.substring("text", 1, TEXT_CHARS)
     sample = usable.join(F.broadcast(chosen), (F.col("lang") == F.col("of")) & (F.col("u") < F.col("upto")) & (F.col("any") | ~F.col("long")))
     budget = max(LEAST_CHARS, min(CHARS, ALL_CHARS // len(rows)))

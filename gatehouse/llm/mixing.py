@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import boxed, materialise, name
+from ._spark import boxed, materialise, name, small_table
 
 #: Patterns and sources are aggregates that go to the driver; more than this raises.
 MAX_PATTERNS = 100_000
@@ -193,14 +193,14 @@ def mix_sources(docs: DataFrame, sources: str, quotas: dict[object, int], *, siz
     kind = kind.simpleString()
 
     # Both broadcasts have one row for each pattern, so at most MAX_PATTERNS.
-    planned = spark.createDataFrame([(i, *p) for i, p in enumerate(plan)], f"_no int, _pattern {kind}, _whole long, _part long, _buckets long")
+    planned = small_table(spark, [(i, *p) for i, p in enumerate(plan)], f"_no int, _pattern {kind}, _whole long, _part long, _buckets long")
     keyed = keyed.join(F.broadcast(planned), "_pattern").drop("_pattern")
     keyed = keyed.withColumn("_seeded", F.xxhash64(F.lit(seed), "_id", "_size")).withColumn("_bucket", F.pmod("_seeded", "_buckets")).drop("_id")
     sums = keyed.where("_part > 0").groupBy("_no", "_bucket").agg(F.sum("_size").alias("_sum"), F.first("_part").alias("_part"))
     upto = F.sum("_sum").over(Window.partitionBy("_no").orderBy("_bucket"))
     edges = sums.withColumn("_upto", upto).where("_upto > _part").groupBy("_no").agg(F.min(F.struct("_bucket", (F.col("_part") - F.col("_upto") + F.col("_sum")).alias("room"))).alias("e"))
     edges = [(r["_no"], r["e"]["_bucket"], r["e"]["room"]) for r in edges.collect()]
-    edged = spark.createDataFrame(edges, "_no int, _edge long, _room long")
+    edged = small_table(spark, edges, "_no int, _edge long, _room long")
     keyed = keyed.join(F.broadcast(edged), "_no", "left")
 
     at_edge = F.col("_edge").isNotNull() & (F.col("_bucket") == F.col("_edge"))
@@ -241,7 +241,7 @@ def mix_to_weights(docs: DataFrame, *, source: str = "source", size: str = "size
     w = [weights[i % len(weights)] for i in range(len(sizes))]
     targets = fill_targets(list(sizes.values()), w, share * sum(sizes.values()), most)
     rows = [(s, n, float(t)) for (s, n), t in zip(sizes.items(), targets, strict=True)]
-    known = spark.createDataFrame(rows, f"of {docs.schema[source].dataType.simpleString()}, source_size long, target double")
+    known = small_table(spark, rows, f"of {docs.schema[source].dataType.simpleString()}, source_size long, target double")
     keyed = boxed(docs, id=name(doc_id), size=name(size), sources=F.array(name(source)))
     # One row for each source, so at most MAX_PATTERNS.
     keyed = keyed.join(F.broadcast(known), F.get("sources", F.lit(0)).eqNullSafe(F.col("of"))).drop("of")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import held
+from ._spark import held, small_table
 
 #: Bounds of the labelled sample: rows of each label, and characters of a text that is learned from.
 ROWS, TEXT_CHARS = 1_500, 50_000
@@ -225,8 +225,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", la
     upto = F.lit(0.0)
     for y, n in counts.items():
         upto = F.when(F.col("y") == y, min(1.0, ROWS / n)).otherwise(upto)
-    chosen = known.where(F.col("u") < upto).groupBy("_id").agg(F.max("y").alias("y"), F.min("u").alias("u")).collect()
-    ids = spark.createDataFrame([tuple(r) for r in chosen], known.schema)
+    chosen = known.where(F.col("u") < upto).groupBy("_id").agg(F.max("y").alias("y"), F.min("u").alias("u"))
+    ids = small_table(spark, [tuple(r) for r in chosen.collect()], chosen.schema)
     texts = docs.where(F.length(text) <= TEXT_CHARS).select(F.col(doc_id).alias("_id"), F.col(text).alias("t"))
     found = texts.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min_by(F.struct("t", "y", "u"), "t").alias("r")).select("r.*")
     sample = sorted(found.collect(), key=lambda r: (r["u"], r["t"], r["y"]))
